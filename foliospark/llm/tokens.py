@@ -15,7 +15,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: No alternative of PATTERN matches across a change from other characters to white space, so the
 #: splitter starts a piece at each such place, whatever stands around it: tokens left of it depend on
 #: the left text only and tokens from it on depend on the right text only.
-PROOF = re.compile(r"(?<=\S)(?=\s)")
+#: (The controls 0x1c to 0x1f are white space to `re` but not to the splitter: no place stands at them.)
+PROOF = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
 _codecs: dict[int, Codec] = {}
 
 
