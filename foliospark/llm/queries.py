@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .jaccard import near_duplicates
+from .langid import identify
 from .lines import recurring_lines
 from .mixing import mix_sources
 from .pii import find_pii
@@ -36,6 +37,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("rk")
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op3_source_mix, op5_line_dedup, op6_ngram_jaccard, op8_pii, op10_decontamination]
+    found = [op1_token_counts, op3_source_mix, op5_line_dedup, op6_ngram_jaccard, op7_language_mixture, op8_pii, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
