@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import lots
+
 #: Labelled rows that the models are fitted on (the expected size of a sample by hashed doc_id, which is
 #: the whole table where that is smaller), and the rows that a language needs in it.
 TRAIN_ROWS, LEAST_ROWS = 4_000, 5
@@ -167,18 +169,6 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, least_rows: int = LEAST_R
     return langs, np.stack(columns, 1).astype(np.float32)
 
 
-def _lots(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about PIECE characters, a longer one by itself."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > PIECE:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE, penalty: float = PENALTY, margin: float = MARGIN) -> DataFrame:
     """doc_id, languages, shares, accepted of every row.
 
@@ -200,7 +190,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float = M
         for b in batches:
             texts = b.column(1).to_pylist()
             found, shares, accepted = [], [], []
-            for i, j in _lots(texts):
+            for i, j in lots(texts):
                 s, known = infer(*word_scores([t or "" for t in texts[i:j]], shipped.value), min_share, penalty, margin)
                 for row in s:
                     at = np.argsort(-row, kind="stable")[: int((row > 0).sum())]
@@ -223,7 +213,7 @@ def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: fl
         for b in batches:
             texts = b.column(at).to_pylist()
             accepted: list[bool] = []
-            for i, j in _lots(texts):
+            for i, j in lots(texts):
                 s, known = infer(*word_scores([t or "" for t in texts[i:j]], shipped.value), min_share, penalty, margin)
                 accepted += known.tolist() if langs else (s.sum(1) > 0).tolist()
             yield b.filter(pa.array(accepted, pa.bool_()))

@@ -12,6 +12,7 @@ from .langid import identify
 from .lines import recurring_lines
 from .mixing import mix_sources
 from .pii import find_pii
+from .repeats import repeated_passages
 from .tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +46,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op3_source_mix, op5_line_dedup, op6_ngram_jaccard, op7_language_mixture, op8_pii, op10_decontamination]
+    found = [op1_token_counts, op3_source_mix, op5_line_dedup, op6_ngram_jaccard, op7_language_mixture, op8_pii, op9_repeated_passages, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
@@ -118,6 +123,22 @@ hits AS (SELECT doc_id, text, item_id, count(*) AS n FROM texts JOIN strings ON
 SELECT doc_id, item_id, max(n) AS n_strings FROM hits GROUP BY doc_id, item_id
 """
 
+_REPEATS = rf"""
+WITH numbered AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS node, regexp_extract_all(lower(text), {_WORDS}) AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+suffixes AS (
+  SELECT node, doc_id, i - 1 AS f, array_to_string(w[i : i + 49], ' ') AS s
+  FROM (SELECT node, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM numbered WHERE len(w) >= 50)),
+shared AS (SELECT s FROM suffixes GROUP BY s HAVING min(node) <> max(node)),
+spans AS (SELECT node, doc_id, f, f + 50 AS t FROM suffixes WHERE s IN (SELECT s FROM shared)),
+marked AS (
+  SELECT *, CASE WHEN max(t) OVER (PARTITION BY node ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= f THEN 0 ELSE 1 END AS new
+  FROM spans),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY node ORDER BY f) AS island FROM marked)
+SELECT doc_id, min(f) AS word_from, max(t) AS word_to, max(t) - min(f) AS n_words FROM islands GROUP BY node, doc_id, island
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": _MIX, "op6_ngram_jaccard": _JACCARD, "op10_decontamination": _CONTAMINATED}
+    return {"op3_source_mix": _MIX, "op6_ngram_jaccard": _JACCARD, "op9_repeated_passages": _REPEATS, "op10_decontamination": _CONTAMINATED}

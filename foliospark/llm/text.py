@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,18 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
+def lots(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `size` characters, so that arrays over them stay small; a longer text ends its run."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held > size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> np.uint64(30))
