@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .decontaminate import contaminated
 from .jaccard import near_duplicates
 from .langid import identify
@@ -26,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op3_source_mix, op5_line_dedup, op6_ngram_jaccard, op7_language_mixture, op8_pii, op9_repeated_passages, op10_decontamination]
+    found = [op1_token_counts, op2_nearest_neighbours, op3_source_mix, op5_line_dedup, op6_ngram_jaccard, op7_language_mixture, op8_pii, op9_repeated_passages, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
