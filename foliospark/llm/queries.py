@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .decontaminate import contaminated
+from .html import extract_text
 from .jaccard import near_duplicates
 from .langid import identify
 from .lines import recurring_lines
@@ -35,6 +36,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurring_lines(_table(spark, sf_dir, "documents")).drop("rk")
 
@@ -60,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_nearest_neighbours, op3_source_mix, op5_line_dedup, op6_ngram_jaccard, op7_language_mixture, op8_pii, op9_repeated_passages, op10_decontamination]
+    found = [op1_token_counts, op2_nearest_neighbours, op3_source_mix, op4_main_text, op5_line_dedup, op6_ngram_jaccard, op7_language_mixture, op8_pii, op9_repeated_passages, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
