@@ -150,7 +150,7 @@ def features(doms: list[Dom], vocabulary: dict[str, int]) -> tuple[np.ndarray, d
 
     link = inside(_KIND["a"])
     chars, linked, tags = below(own), below(own * link), (end - here).astype(float)
-    density, share = chars / tags, linked / (chars + 1)
+    density, share = chars / tags, linked / np.maximum(chars, 1)
     before = np.concatenate(([0.0], np.cumsum(own)))[here]
     whole = chars[root]
     children = np.bincount(parent[here != root], minlength=n).astype(float)
