@@ -20,8 +20,9 @@ RULES: list[tuple[str, str, str, float, str]] = [
     ("secret", "", r"(?i)(?<![a-z0-9])(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)[\"']?\s*[=:]\s*[\"']?[^\s\"']{8,}", 0.8, r"token|secret|key|password|credential"),
     ("key", "", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])", 0.9, r"key|token|aws"),
 ]
-#: A span is reported from this score on; context near it adds, a negating word takes away.
-THRESHOLD, BONUS, MALUS, REACH = 0.5, 0.2, 0.3, 48
+#: A span is reported from this score on; a context word within REACH characters adds to it, a negating
+#: word within the BEFORE characters on its left takes away.
+THRESHOLD, BONUS, MALUS, REACH, BEFORE = 0.5, 0.2, 0.3, 48, 16
 _against = re.compile(r"(?i)(?<!\w)(?:isbn|version|sample|dummy|order|part no)(?!\w)")
 _digit = re.compile(r"[0-9]")
 
@@ -61,7 +62,7 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
                     continue
                 e = cut
             near = text[max(0, s - REACH) : s] + "\n" + text[e : e + REACH]
-            score = base + BONUS * (words.search(near) is not None) - MALUS * (_against.search(near) is not None)
+            score = base + BONUS * (words.search(near) is not None) - MALUS * (_against.search(text, max(0, s - BEFORE), s) is not None)
             if score >= THRESHOLD:
                 found.append((kind, s, e, round(min(score, 1.0), 3), check is not None))
     found.sort(key=lambda x: (-x[3], x[1] - x[2], x[1], x[0]))
