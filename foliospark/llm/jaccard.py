@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .text import checkpoint_ready, gram_hashes, join_small, mix, row_key, word_hashes
+from .text import checkpoint_ready, gram_hashes, join_small, lots, mix, row_key, word_hashes
 
 #: Words of a gram, least Jaccard similarity of a pair, and orders in which sets are looked up.
-GRAM, THRESHOLD, ORDERS = 3, 0.6, 8
+GRAM, THRESHOLD, ORDERS = 3, 0.6, 9
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -34,28 +33,38 @@ def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 
 
 class _Node:
-    __slots__ = ("label", "children", "sets", "least", "most")
+    __slots__ = ("label", "children", "sets", "least", "most", "part")
 
-    def __init__(self, label: np.ndarray):
+    def __init__(self, label: np.ndarray, number: int):
         self.label = label
         self.children: dict[int, _Node] = {}
         self.sets: list[int] = []
         self.least = self.most = 0
+        self.part = number
 
 
 class PrefixTree:
-    """Globally ordered sets with their common prefixes stored once; edges hold runs of elements."""
+    """Globally ordered sets with their common prefixes stored once; edges hold runs of elements.
+
+    The numbered sets belong to parts, `root(number)`, that may be united as time goes on; every node
+    knows a set of the one part that all sets below it belong to, or -1 where there are several.
+    """
 
     #: Elements of an edge that are compared before its pruning bound is looked at.
     STEP = 96
 
-    def __init__(self, threshold: float):
-        self.root = _Node(np.zeros(0, np.uint32))
+    def __init__(self, threshold: float, root: Callable[[int], int] = lambda number: number):
+        self.root = _Node(np.zeros(0, np.uint32), -1)
         self.t = threshold
+        self.of = root
 
     def add(self, s: np.ndarray, number: int) -> None:
         node, at, size = self.root, 0, len(s)
         while True:
+            if not node.most:
+                node.part = number
+            elif node.part >= 0 and self.of(node.part) != self.of(number):
+                node.part = -1
             node.least = min(node.least, size) if node.most else size
             node.most = max(node.most, size)
             if at == size:
@@ -63,7 +72,7 @@ class PrefixTree:
                 return
             child = node.children.get(int(s[at]))
             if child is None:
-                leaf = _Node(s[at:])
+                leaf = _Node(s[at:], number)
                 leaf.least = leaf.most = size
                 leaf.sets.append(number)
                 node.children[int(s[at])] = leaf
@@ -72,7 +81,7 @@ class PrefixTree:
             differ = np.flatnonzero(child.label[:k] != s[at : at + k])
             same = int(differ[0]) if len(differ) else k
             if same < len(child.label):
-                top = _Node(child.label[:same])
+                top = _Node(child.label[:same], child.part)
                 top.least, top.most = child.least, child.most
                 child.label = child.label[same:]
                 top.children[int(child.label[0])] = child
@@ -80,20 +89,28 @@ class PrefixTree:
                 child = top
             node, at = child, at + same
 
-    def matches(self, x: np.ndarray, skip) -> Iterator[tuple[int, int]]:
+    def _only(self, node: _Node, part: int) -> bool:
+        """Whether all sets below the node belong to the part by now."""
+        if node.part < 0 and len(node.children) + len(node.sets) <= 64:
+            below = [c.part for c in node.children.values()] + node.sets
+            if below and min(below) >= 0 and len({self.of(b) for b in below}) == 1:
+                node.part = below[0]
+        return node.part >= 0 and self.of(node.part) == part
+
+    def matches(self, x: np.ndarray, number: int | None = None) -> Iterator[tuple[int, int]]:
         """(number, overlap) of the stored sets with Jaccard similarity of at least t to x.
 
         On the way down the partial overlap of a prefix is shared by all sets below it. With o elements
         in common so far, r of x above the prefix's last element, and depth d, a set of size s below has
         an overlap of at most o + min(r, s - d); a subtree goes when that falls short for all its sizes.
-        `skip(numbers)` may be asked whether the sets that end at a node are wanted.
+        With a number of x, sets that are of its part when they are met are left out.
         """
         t, n = self.t, len(x)
         low, high = t * n - 1e-9, n / t + 1e-9
         stack = [(self.root, 0, 0, 0)]
         while stack:
             node, depth, overlap, used = stack.pop()
-            if node.most < low or node.least > high:
+            if node.most < low or node.least > high or (number is not None and self._only(node, self.of(number))):
                 continue
             label, dead, at = node.label, False, 0
             while at < len(label):
@@ -111,10 +128,15 @@ class PrefixTree:
             if dead:
                 continue
             depth += len(label)
-            if node.sets and overlap >= t * (n + depth - overlap) - 1e-9 and not skip(node.sets):
+            if node.sets and overlap >= t * (n + depth - overlap) - 1e-9:
                 for k in node.sets:
-                    yield k, overlap
-            stack += [(c, depth, overlap, used) for c in node.children.values()]
+                    if number is None or self.of(k) != self.of(number):
+                        yield k, overlap
+            # the branch that x itself would take comes first
+            own = node.children.get(int(x[used])) if used < n else None
+            stack += [(c, depth, overlap, used) for c in node.children.values() if c is not own]
+            if own is not None:
+                stack.append((own, depth, overlap, used))
 
     def _possible(self, o: int, n: int, r: int, d: int, least: float, most: float) -> bool:
         s = min(max(least, d + r), most)
@@ -137,9 +159,9 @@ def join_block(sets: list[np.ndarray], ids: list[int], threshold: float) -> list
             k = root[k]
         return k
 
-    tree, out = PrefixTree(threshold), []
+    tree, out = PrefixTree(threshold, find), []
     for k in order:
-        for other, _ in tree.matches(sets[k], lambda numbers: all(find(q) == find(k) for q in numbers)):
+        for other, _ in tree.matches(sets[k], k):
             a, b = find(k), find(other)
             if a != b:
                 root[a] = b
@@ -156,9 +178,11 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     doc_id of the group and keeper marks the row that stays: the least doc_id, then the least key.
 
     Equal sets are merged first. The others meet in blocks: each of `orders` random orders of all grams
-    puts a set into the block of its first gram, within bands of set sizes; a block's sets go into a
-    prefix tree. Two sets of similarity J miss each other with probability (1 - J) ** orders (0.0007 at
-    0.6), and only if nothing else links them; every pair found is exact up to 32-bit hash collisions.
+    gives a set its first gram, and every two of these grams are a key, so that sets which merely share
+    a passage seldom meet. The blocks with the same least member are one; its sets go into a prefix
+    tree, once. Two sets of similarity J miss each other with probability (1 - J)**k + k J (1 - J)**(k - 1)
+    for k orders (0.004 at 0.6, 1e-5 at 0.8), and only if nothing else links them; every pair found is
+    exact up to 32-bit hash collisions.
 
     Texts that are NULL or have no words are nobody's duplicates. Repeated rows (same doc_id and text)
     appear once; NULL doc_ids are the least. Other columns are ignored.
@@ -166,46 +190,48 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     spark = checkpoint_ready(docs.sparkSession)
     rng = np.random.default_rng(17)
     turns = [(np.uint64(int(rng.integers(1 << 63)) * 2 + 1), np.uint64(int(rng.integers(1 << 63)))) for _ in range(orders)]
-    base = math.log(1 / threshold)
+    two = [(i, j) for i in range(orders) for j in range(i)]
+    first_of, second_of = [i for i, _ in two], [j for _, j in two]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = gram_sets(b.column(2).to_pylist(), n)
-            full = [k for k, s in enumerate(sets) if len(s)]
-            if not full:
-                continue
-            size = np.array([len(sets[k]) for k in full])
-            first = np.concatenate(([0], np.cumsum(size)[:-1]))
-            g = np.concatenate([sets[k] for k in full])
-            whole = np.add.reduceat(mix(g), first)
-            keys = np.stack([mix(np.minimum.reduceat(mix(g * a + c), first) + np.uint64(j)) for j, (a, c) in enumerate(turns)], 1)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * orders, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            pick = pa.array(full)
-            band = np.floor(np.log(size) / base + 1e-9).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pick), b.column(1).take(pick), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(band), flat],
-                ["doc_id", "rk", "whole", "size", "band", "keys"],
-            )
+            texts = b.column(2).to_pylist()
+            for i, j in lots(texts):
+                sets = gram_sets(texts[i:j], n)
+                full = [k for k, s in enumerate(sets) if len(s)]
+                if not full:
+                    continue
+                size = np.array([len(sets[k]) for k in full])
+                first = np.concatenate(([0], np.cumsum(size)[:-1]))
+                g = np.concatenate([sets[k] for k in full])
+                whole = np.add.reduceat(mix(g), first)
+                least = np.stack([mix(np.minimum.reduceat(mix(g * a + c), first) + np.uint64(j)) for j, (a, c) in enumerate(turns)], 1)
+                keys = mix(least[:, first_of] + np.uint64(31) * least[:, second_of])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * len(two), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                pick = pa.array([i + k for k in full])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pick), b.column(1).take(pick), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int32)), flat],
+                    ["doc_id", "rk", "whole", "size", "keys"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("rk"), "text").where("text is not null")
-    signed = rows.mapInArrow(sign, "doc_id long, rk long, whole long, size int, band int, keys array<long>").checkpoint()
-    rep = signed.groupBy("whole", "size").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("band").alias("band"), F.first("keys").alias("keys"))
-    rep = rep.selectExpr("r.rk node", "whole", "size", "band", "keys")
-    # a pair's sizes differ by a factor of at most 1 / threshold: same or neighbouring bands
-    blocks = rep.select("node", "keys", F.explode(F.expr("array(band, band + 1)")).alias("b")).select("node", "b", F.explode("keys").alias("key"))
-    blocks = blocks.groupBy("key", "b").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1")
-    # most blocks hold the same few copies as another: each list once
-    blocks = blocks.select("nodes", F.xxhash64("nodes").alias("block")).dropDuplicates(["block"]).select("block", F.explode("nodes").alias("rk")).checkpoint()
-    wanted = blocks.select("rk").distinct()
-    wanted_rows = wanted.count()
+    signed = rows.mapInArrow(sign, "doc_id long, rk long, whole long, size int, keys array<long>").checkpoint()
+    rep = signed.groupBy("whole", "size").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("keys").alias("keys"))
+    rep = rep.selectExpr("r.rk node", "whole", "size", "keys")
+    blocks = rep.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1")
+    blocks = blocks.select(F.col("nodes")[0].alias("block"), F.explode("nodes").alias("rk")).groupBy("rk").agg(F.collect_set("block").alias("blocks")).checkpoint()
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in gram_sets(b.column(1).to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rk", "grams"])
-
-    members = join_small(rows.select("rk", "text"), wanted, ["rk"], "left_semi", wanted_rows).mapInArrow(shrink, "rk long, grams binary")
-    filled = blocks.join(members, "rk").select("block", "rk", "grams")
+            rk, texts, found = b.column("rk").to_pylist(), b.column("text").to_pylist(), b.column("blocks").to_pylist()
+            for i, j in lots(texts):
+                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in gram_sets(texts[i:j], n)]
+                flat = [(block, k, s) for k, s, blocks in zip(rk[i:j], sets, found[i:j], strict=True) for block in blocks]
+                cols = list(zip(*flat, strict=True)) if flat else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "rk", "grams"])
+
+    met = join_small(rows.select("rk", "text"), blocks, ["rk"], "inner", blocks.count(), 200_000).select("rk", "text", "blocks")
+    filled = met.mapInArrow(shrink, "block long, rk long, grams binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: dict[int, bytes]) -> pa.RecordBatch:
