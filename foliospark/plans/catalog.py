@@ -1,4 +1,714 @@
 """All queries of the core library by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fields as FF
+from ..functions import frontmatter as FM
+from ..functions import links as L
+from ..functions import markdown as M
+from ..functions import paths as P
+from ..functions import texts as T
+from ..operators import diffs as D
+from ..operators import history as H
+from ..operators import integrity as I
+from ..operators import mirror as R
+from ..operators import report
+from ..operators import scan as S
+from ..operators import split as C
+from ..operators import translate as X
+from .corpus import (
+    HEADINGS_SQL, LINES_SQL, LINKS_SQL, MD_SQL, MIRROR_SQL, RAW_SQL, assets, md, mirrored, norm_sql, parent_sql, raw, resolved_sql, slug_sql, table,
+)
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
+# scans
+
+_EXCLUDE = [".*/src1", r".*-7\.md", "de/src2/.*", " "]
+
+
+@query(
+    rf"""WITH {MD_SQL}
+SELECT path FROM md WHERE regexp_full_match(path, '(?i).*\.md') AND NOT regexp_full_match({parent_sql("path")}, '.*/src1')
+  AND NOT regexp_full_match(path, '.*/src1') AND NOT regexp_full_match(path, '.*-7\.md') AND NOT regexp_full_match(path, 'de/src2/.*')"""
+)
+def scan_filter_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.select_files(md(spark, sf_dir), exclusions=_EXCLUDE).select("path").orderBy("path")
+
+
+@query(
+    """WITH files AS (
+  SELECT lang || '/' || source || '/doc-' || doc_id || '.md' AS path, lang, CAST(substr(source, 4) AS INT) AS k FROM documents)
+SELECT path, CASE WHEN k % 3 = 0 THEN 'only ' || k ELSE 'all' || chr(10) || chr(10) || upper(lang) END
+  || CASE WHEN k % 4 = 0 THEN chr(10) || chr(10) || 'and ' || k ELSE '' END AS instructions FROM files"""
+)
+def instructions_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat("lang", F.lit("/"), "source", F.lit("/doc-"), "doc_id", F.lit(".md")).alias("path"))
+    dirs = docs.select("lang", "source", F.substring("source", 4, 9).cast("int").alias("k")).distinct()
+    here = F.concat("lang", F.lit("/"), "source").alias("dir")
+    notes = (
+        spark.sql("select '' dir, 'normal' kind, ' all\n' content")
+        .unionByName(docs.select(F.col("lang").alias("dir"), F.lit("normal").alias("kind"), F.upper("lang").alias("content")).distinct())
+        .unionByName(dirs.where("k % 3 = 0").select(here, F.lit("replace").alias("kind"), F.concat(F.lit("only "), "k").alias("content")))
+        .unionByName(dirs.where("k % 4 = 0").select(here, F.lit("normal").alias("kind"), F.concat(F.lit("and "), "k", F.lit("\n\n")).alias("content")))
+        .unionByName(dirs.where("k % 5 = 0").select(F.concat("lang", F.lit("/"), "source", F.lit("/x")).alias("dir"), F.lit("normal").alias("kind"), F.lit("elsewhere").alias("content")))
+    )
+    return S.instructions_of(files, notes)
+
+
+# front matter
+
+
+@query(
+    f"""WITH {RAW_SQL}
+SELECT doc_id, CAST(0 AS BIGINT) AS pos, 'title' AS key, title AS vals FROM raw UNION ALL SELECT doc_id, 1, 'source', source FROM raw
+UNION ALL SELECT doc_id, 2, 'tags', lang || '|x' FROM raw UNION ALL SELECT doc_id, 3, 'note', 'line ' || doc_id || chr(10) || 'second' FROM raw"""
+)
+def front_matter_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw(spark, sf_dir).select("doc_id", F.posexplode(FM.parse_properties(F.col("raw"))).alias("pos", "p"))
+    return _long(rows.select("doc_id", "pos", "p.key", F.array_join("p.values", "|").alias("vals")), "pos")
+
+
+_QUOTED = (
+    "CASE WHEN {v} = '' THEN '''''' WHEN regexp_matches({v}, '[:#''\"]') OR regexp_matches({v}, '^[-\\[{{!&*>|@`0-9]') "
+    "OR lower({v}) IN ('true', 'false', 'null', 'yes', 'no') THEN '''' || replace({v}, '''', '''''') || '''' ELSE {v} END"
+)
+
+
+@query(
+    f"""WITH {RAW_SQL}
+SELECT doc_id, '---' || chr(10) || CASE WHEN title = '' THEN '' ELSE 'title: ' || {_QUOTED.format(v="title")} || chr(10) END || 'source: ' || source || chr(10)
+  || 'tags:' || chr(10) || '  - ' || lang || chr(10) || '  - x' || chr(10) || 'note: |' || chr(10) || '  line ' || doc_id || chr(10) || '  second' || chr(10)
+  || 'commit: ' || CASE WHEN regexp_matches(md5(source), '^[0-9]') THEN '''' || md5(source) || '''' ELSE md5(source) END || chr(10) || '---' || chr(10) AS text FROM raw"""
+)
+def front_matter_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = FM.set_property(FM.parse_properties(F.col("raw")), "commit", F.array(F.md5("source")))
+    return raw(spark, sf_dir).select("doc_id", FM.serialize_properties(props).alias("text"))
+
+
+@query(
+    f"""WITH {RAW_SQL}
+SELECT doc_id, title AS first_title, 'source' AS second_key, source || '!' AS replaced, CAST(6 AS BIGINT) AS n, 'added' AS last_key, 'v' AS last_value FROM raw WHERE title <> ''"""
+)
+def property_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = F.array(F.struct(F.lit("source").alias("key"), F.array(F.concat("source", F.lit("!"))).alias("values")), F.struct(F.lit("extra").alias("key"), F.array(F.lit("e")).alias("values")))
+    rows = raw(spark, sf_dir).where("title <> ''").withColumn("p", FM.set_property(FM.merge_properties(FM.parse_properties(F.col("raw")), added), "added", F.array(F.lit("v"))))
+    got = rows.select("doc_id", FM.get_property(F.col("p"), "title").alias("first_title"), F.get("p", F.lit(1))["key"].alias("second_key"), FM.get_property(F.col("p"), "source").alias("replaced"), F.size("p").alias("n"), F.element_at("p", -1)["key"].alias("last_key"), FM.get_property(F.col("p"), "added").alias("last_value"))
+    return _long(got, "n")
+
+
+@query(
+    f"""WITH vals AS (SELECT DISTINCT props AS v FROM events UNION SELECT DISTINCT substr(text, 1, 20) FROM documents UNION SELECT DISTINCT p_type FROM part
+  UNION SELECT unnest(['', 'Yes', 'null', '- x', '[a]', 'it''s', 'a: b', '9 lives', 'plain', '# c', '@x', 'x#y', 'TRUE']))
+SELECT v, {_QUOTED.format(v="v")} AS quoted FROM vals WHERE v IS NOT NULL"""
+)
+def yaml_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(x,) for x in ["", "Yes", "null", "- x", "[a]", "it's", "a: b", "9 lives", "plain", "# c", "@x", "x#y", "TRUE"]], "v string")
+    vals = table(spark, sf_dir, "events").select(F.col("props").alias("v")).union(table(spark, sf_dir, "documents").select(F.substring("text", 1, 20))).union(table(spark, sf_dir, "part").select("p_type")).union(more)
+    return vals.where("v is not null").distinct().select("v", FM.quote(F.col("v")).alias("quoted"))
+
+
+@query(rf"""WITH {RAW_SQL} SELECT doc_id, md5(regexp_replace(raw, '(?s)\A---\s*\n(.*?)\n---\s*\n?', '')) AS body FROM raw""")
+def body_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir).select("doc_id", F.md5(M.body(F.col("raw"))).alias("body"))
+
+
+# headings
+
+
+@query(f"WITH {MD_SQL}, {HEADINGS_SQL} SELECT path, pos, CAST(level AS BIGINT) AS level, text, slug FROM headings")
+def headings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(I.heading_rows(md(spark, sf_dir, True)), "pos", "level")
+
+
+@query(f"WITH {MD_SQL}, {HEADINGS_SQL} SELECT DISTINCT path, slug FROM headings")
+def anchors_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.anchor_rows(md(spark, sf_dir, True))
+
+
+@query(f"SELECT doc_id, {slug_sql('substr(text, 1, 60)')} AS slug FROM documents")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", M.slugify(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query(
+    f"""WITH {MD_SQL}, {HEADINGS_SQL}
+SELECT h.path, h.slug, min(h.pos) AS at, (SELECT count(*) FROM headings x WHERE x.path = h.path) AS n FROM headings h GROUP BY h.path, h.slug"""
+)
+def heading_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = md(spark, sf_dir, True).select("path", M.anchors(F.col("content")).alias("slugs"))
+    rows = docs.select("path", "slugs", F.explode(F.array_distinct("slugs")).alias("slug"))
+    found = rows.select("path", "slug", M.anchor_index(F.col("slugs"), F.upper("slug")).alias("at"), F.size("slugs").alias("n"), "slugs")
+    return _long(found.where(M.anchor_at(F.col("slugs"), F.col("at")) == F.col("slug")).drop("slugs"), "at", "n")
+
+
+# links
+
+
+@query(
+    """WITH found AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages)
+SELECT page_id, unnest(range(len(hs))) AS pos, unnest(hs) AS href FROM found"""
+)
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return _long(table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "href")), "pos")
+
+
+@query(f"WITH {MD_SQL}, {LINKS_SQL} SELECT path, pos, destination FROM links")
+def links_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(I.link_rows(md(spark, sf_dir, True)).select("path", "pos", "destination"), "pos")
+
+
+@query(f"WITH {MD_SQL}, {LINKS_SQL} SELECT path, pos, destination, link_path, anchor, is_external, starts_with(destination, '/') AS is_absolute FROM parts")
+def link_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(I.link_rows(md(spark, sf_dir), block_aware=False), "pos")
+
+
+@query(
+    r"""WITH u AS (SELECT url AS d FROM pages UNION ALL SELECT substr(url, strpos(url, '://') + 1) FROM pages UNION ALL SELECT '#' || page_id FROM pages UNION ALL SELECT 'MAILTO:a' || page_id FROM pages UNION ALL SELECT '/p' || page_id || '#x' FROM pages),
+k AS (SELECT d, regexp_matches(lower(d), '^(https?://|mailto:|tel:|ftp://|//)') AS e FROM u)
+SELECT CASE WHEN e THEN 'external' WHEN starts_with(d, '#') THEN 'anchor' WHEN starts_with(d, '/') THEN 'absolute' ELSE 'relative' END AS kind, count(*) AS n FROM k GROUP BY 1"""
+)
+def link_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = table(spark, sf_dir, "pages")
+    forms = ["url", "substr(url, instr(url, '://') + 1)", "concat('#', page_id)", "concat('MAILTO:a', page_id)", "concat('/p', page_id, '#x')"]
+    d = url.select(F.explode(F.array(*[F.expr(f) for f in forms])).alias("d"))
+    kind = F.when(L.is_external(F.col("d")), "external").when(L.is_anchor_only(F.col("d")), "anchor").when(L.parse_link(F.col("d"))["is_absolute"], "absolute").otherwise("relative")
+    return d.where(L.should_validate(F.col("d")) | L.is_external(F.col("d"))).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH v AS (SELECT page_id, unnest(['a%20b%2Fc', 'x+y', 'bad%zz', upper('H%C3%A9') || page_id, '50%']) AS x FROM pages)
+SELECT page_id, x, CASE x WHEN 'bad%zz' THEN x WHEN '50%' THEN x ELSE url_decode(replace(x, '+', ' ')) END AS decoded,
+  lower(CASE x WHEN 'bad%zz' THEN x WHEN '50%' THEN x ELSE url_decode(replace(x, '+', ' ')) END) AS anchor FROM v"""
+)
+def url_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "pages").select("page_id", F.explode(F.expr("array('a%20b%2Fc', 'x+y', 'bad%zz', concat(upper('H%C3%A9'), page_id), '50%')")).alias("x"))
+    return x.select("page_id", "x", L.url_decode(F.col("x")).alias("decoded"), L.normalize_anchor(F.col("x")).alias("anchor"))
+
+
+@query(
+    r"""WITH v AS (SELECT doc_id, unnest(['img/' || doc_id || '.png', 'http://x.org/a.png', '/abs/a.png', source, source || '.md', 'a\b', '  ', '//h/x', substr(text, 1, 12)]) AS v FROM documents)
+SELECT doc_id, v, trim(v) <> '' AND NOT regexp_matches(lower(v), '^(https?://|mailto:|tel:|ftp://|//)') AND NOT starts_with(v, '/')
+  AND (contains(v, '/') OR contains(v, chr(92)) OR regexp_full_match(v, '.*\.\w+')) AS likely FROM v"""
+)
+def likely_file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.array(F.concat(F.lit("img/"), "doc_id", F.lit(".png")), F.lit("http://x.org/a.png"), F.lit("/abs/a.png"), F.col("source"), F.concat("source", F.lit(".md")), F.lit("a\\b"), F.lit("  "), F.lit("//h/x"), F.substring("text", 1, 12))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(v).alias("v"))
+    return rows.select("doc_id", "v", L.is_likely_file_path(F.col("v")).alias("likely"))
+
+
+# paths
+
+
+@query(f"WITH {MD_SQL}, {LINKS_SQL}, {HEADINGS_SQL}, {resolved_sql()} SELECT path, pos, target FROM resolved")
+def path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = I.resolved_links(I.link_rows(md(spark, sf_dir))).where("link_path is not null")
+    return _long(found.select("path", "pos", "target"), "pos")
+
+
+@query(
+    r"""WITH p AS (SELECT a.lang || '/' || a.source AS dir, b.lang || '/' || b.source || '/doc-' || b.doc_id || '.md' AS path, a.lang AS al, b.lang AS bl, a.source AS asrc, b.source AS bsrc, b.doc_id
+  FROM documents a JOIN documents b ON b.doc_id = (a.doc_id * 31 + 7) % (SELECT count(*) FROM documents))
+SELECT dir, path, CASE WHEN al = bl AND asrc = bsrc THEN 'doc-' || doc_id || '.md' WHEN al = bl THEN '../' || bsrc || '/doc-' || doc_id || '.md' ELSE '../../' || path END AS way,
+  dir || '/' || CASE WHEN al = bl AND asrc = bsrc THEN 'doc-' || doc_id || '.md' WHEN al = bl THEN '../' || bsrc || '/doc-' || doc_id || '.md' ELSE '../../' || path END AS joined, path AS again FROM p"""
+)
+def path_relativize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    n = d.agg(F.count("*").alias("n"))
+    both = d.alias("a").crossJoin(F.broadcast(n)).join(d.alias("b"), F.expr("b.doc_id = (a.doc_id * 31 + 7) % n"))
+    rows = both.select(F.expr("concat(a.lang, '/', a.source)").alias("dir"), F.expr("concat(b.lang, '/', b.source, '/doc-', b.doc_id, '.md')").alias("path"))
+    way = P.relativize(F.col("dir"), F.col("path"))
+    return rows.select("dir", "path", way.alias("way"), F.concat("dir", F.lit("/"), way).alias("joined"), P.resolve(F.col("dir"), way).alias("again"))
+
+
+@query(f"WITH {MD_SQL} SELECT path, 'mirror/cs/' || path AS target, regexp_replace(path, '^.*/', '') AS name, {parent_sql('path')} AS dir FROM md")
+def mirror_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return md(spark, sf_dir).select("path", P.mirror(F.concat(F.lit("docs/"), p), "docs", "mirror/cs/").alias("target"), P.file_name(p).alias("name"), P.parent(p).alias("dir"))
+
+
+@query(
+    rf"""WITH {MD_SQL}
+SELECT path, starts_with(path, 'en/') AND regexp_full_match(regexp_replace(path, '^.*/', ''), 'doc-.*\.md') AND NOT regexp_full_match(substr(path, 4), 'src3/.*') AS translatable FROM md"""
+)
+def translatable_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return md(spark, sf_dir).select("path", P.is_translatable(F.col("path"), "en", r"doc-.*\.md", ["src3/.*"]).alias("translatable"))
+
+
+# integrity
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(I.link_errors(md(spark, sf_dir, True), assets(spark)), "pos")
+
+
+_ERRORS = f"WITH {MD_SQL}, {LINKS_SQL}, {HEADINGS_SQL}, {resolved_sql()} "
+
+
+@query(_ERRORS + "SELECT * FROM errors WHERE type = 'FILE_NOT_FOUND'")
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _errors(spark, sf_dir).where(F.col("type") == I.FILE_NOT_FOUND)
+
+
+@query(_ERRORS + "SELECT * FROM errors WHERE type = 'ANCHOR_NOT_FOUND'")
+def broken_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _errors(spark, sf_dir).where(F.col("type") == I.ANCHOR_NOT_FOUND)
+
+
+_STATES = """, git AS (SELECT path, CASE WHEN doc_id % 11 = 3 THEN 'UNTRACKED' ELSE 'UNCOMMITTED_CHANGES' END AS type FROM md WHERE doc_id % 11 = 3 OR doc_id % 13 = 5)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = md(spark, sf_dir)
+    return I.git_errors(docs, docs.where("doc_id % 13 = 5 or doc_id % 11 = 3"), docs.where("doc_id % 11 <> 3"))
+
+
+@query(f"WITH {MD_SQL} {_STATES} SELECT * FROM git")
+def version_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir)
+
+
+@query(
+    _ERRORS.rstrip() + _STATES + """
+SELECT (SELECT count(*) FROM md) AS files, (SELECT count(*) FROM git) AS git_errors, count(*) AS link_errors, count(*) FILTER (type = 'FILE_NOT_FOUND') AS file_not_found,
+  count(*) FILTER (type = 'ANCHOR_NOT_FOUND') AS anchor_not_found, count(*) = 0 AND (SELECT count(*) FROM git) = 0 AS success FROM errors"""
+)
+def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = md(spark, sf_dir, True)
+    return I.check_totals(docs, _states(spark, sf_dir), I.link_errors(docs, assets(spark)))
+
+
+@query(
+    _ERRORS.rstrip() + _STATES + """
+SELECT path, '[' || type || '] ' || path || ' ' || destination AS line FROM errors UNION ALL SELECT path, '[' || type || '] ' || path FROM git"""
+)
+def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.error_lines(_errors(spark, sf_dir)).unionByName(report.error_lines(_states(spark, sf_dir)))
+
+
+# mirrors
+
+_MIRROR = f"WITH {MD_SQL}, {HEADINGS_SQL}, {MIRROR_SQL} "
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src, made = mirrored(spark, sf_dir)
+    links = I.resolved_links(I.link_rows(made)).where("anchor <> ''")
+    asked = links.select(F.regexp_replace("target", "^mirror/", "source/").alias("source_path"), F.col("target").alias("target_path"), "anchor")
+    return _long(R.translate_anchors(asked, src, made), "n_source", "n_target")
+
+
+@query(_MIRROR + "SELECT DISTINCT 'mirror/' || target AS target_path, anchor, status, CASE WHEN status = 'TRANSLATED' THEN new_anchor END AS new_anchor FROM corrected WHERE anchor <> ''")
+def anchor_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchors(spark, sf_dir).select("target_path", "anchor", "status", "new_anchor")
+
+
+@query(_MIRROR + "SELECT DISTINCT 'source/' || target AS source_path, 'mirror/' || target AS target_path, n_source, n_target FROM corrected WHERE status = 'MISMATCH'")
+def heading_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchors(spark, sf_dir).where(F.col("status") == R.MISMATCH).select("source_path", "target_path", "n_source", "n_target").distinct()
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src, made = mirrored(spark, sf_dir)
+    return R.correct_links(made, src, src.select("path"), "source", "mirror")
+
+
+@query(_MIRROR + "SELECT 'mirror/' || path AS path, pos, new AS destination FROM corrected UNION ALL SELECT 'mirror/' || path, pos, destination FROM mlinks WHERE starts_with(destination, 'https://')")
+def links_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(I.link_rows(_corrected(spark, sf_dir)).select("path", "pos", "destination"), "pos")
+
+
+_BY_FILE = """
+per AS (
+  SELECT m.path, count(c.path) FILTER (c.new <> c.destination AND ends_with(c.destination, '.png')) AS asset_corrections, count(c.path) FILTER (c.status = 'TRANSLATED') AS anchor_corrections,
+         count(c.path) FILTER (c.status = 'MISMATCH') AS errors FROM md m LEFT JOIN corrected c ON c.path = m.path GROUP BY m.path)"""
+
+
+@query(
+    _MIRROR.rstrip() + "," + _BY_FILE + """
+SELECT 'mirror/' || path AS path, asset_corrections, anchor_corrections, CAST(0 AS BIGINT) AS front_matter_corrections, errors, errors = 0 AND asset_corrections + anchor_corrections > 0 AS writable FROM per"""
+)
+def corrections_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_corrected(spark, sf_dir).drop("content").withColumn("errors", F.size("errors")), "errors")
+
+
+@query(
+    _MIRROR.rstrip() + "," + _BY_FILE + """
+SELECT count(*) AS files, count(*) FILTER (asset_corrections + anchor_corrections > 0) AS files_corrected, CAST(sum(asset_corrections) AS BIGINT) AS asset_corrections,
+  CAST(sum(anchor_corrections) AS BIGINT) AS anchor_corrections, CAST(0 AS BIGINT) AS front_matter_corrections, count(*) FILTER (errors > 0) AS files_with_errors FROM per"""
+)
+def correction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.correction_totals(_corrected(spark, sf_dir))
+
+
+@query(
+    """SELECT 'mirror/' || lang || '/doc-' || doc_id || '.md' AS path,
+  CASE WHEN doc_id % 3 < 2 THEN '../../source/img/hero-' || (doc_id % 3) || '.png' ELSE '../img/hero-2.png' END AS image, CAST(CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS BIGINT) AS front_matter_corrections FROM documents"""
+)
+def front_matter_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    name = F.concat("lang", F.lit("/doc-"), "doc_id", F.lit(".md"))
+    text = F.concat(F.lit("---\ntitle: t\nimage: ../img/hero-"), F.col("doc_id") % 3, F.lit(".png\n---\n# h\n"))
+    made = d.select(F.concat(F.lit("mirror/"), name).alias("path"), text.alias("content"))
+    src = d.select(F.concat(F.lit("source/"), name).alias("path"), text.alias("content"))
+    files = spark.range(2).select(F.concat(F.lit("source/img/hero-"), "id", F.lit(".png")).alias("path"))
+    got = R.correct_links(made, src, files, "source", "mirror")
+    return _long(got.select("path", FM.get_property(FM.parse_properties(F.col("content")), "image").alias("image"), "front_matter_corrections"), "front_matter_corrections")
+
+
+@query(
+    _MIRROR.rstrip() + """,
+after AS (SELECT path, target, new, destination, strpos(new, '#') > 0 AS has, substr(new, strpos(new, '#') + 1) AS anchor FROM corrected)
+SELECT 'mirror/' || path AS path, CASE WHEN ends_with(new, '.png') THEN 'FILE_NOT_FOUND' WHEN target NOT IN (SELECT path FROM md) THEN 'FILE_NOT_FOUND' ELSE 'ANCHOR_NOT_FOUND' END AS type, count(*) AS n
+FROM after a WHERE (ends_with(new, '.png') AND target NOT IN (SELECT 'assets/img-' || k || '.png' FROM range(5) r(k)))
+  OR (NOT ends_with(new, '.png') AND target NOT IN (SELECT path FROM md))
+  OR (has AND target IN (SELECT path FROM md) AND NOT EXISTS (SELECT 1 FROM mheadings h WHERE h.path = a.target AND lower(h.slug) = lower(a.anchor)))
+GROUP BY 1, 2"""
+)
+def corrected_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = assets(spark).select(F.concat(F.lit("source/"), "path").alias("path"))
+    left = R.check_corrected(_corrected(spark, sf_dir), there)
+    return left.groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+# history
+
+_VERSIONS = "v AS (SELECT 'docs/f' || conv_id || '.md' AS path, turn AS seq, md5(CAST(turn AS VARCHAR)) AS hash, text AS content FROM conversations)"
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.concat(F.lit("docs/f"), "conv_id", F.lit(".md")).alias("path"), F.col("turn").alias("seq"), F.md5(F.col("turn").cast("string")).alias("hash"), F.col("text").alias("content"))
+
+
+@query(f"WITH {_VERSIONS} SELECT path, max(seq) AS seq, arg_max(hash, seq) AS hash FROM v GROUP BY path")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.latest_versions(_versions(spark, sf_dir))
+
+
+@query(f"WITH {_VERSIONS} SELECT path, CAST(2 AS BIGINT) AS at_seq, nullif(arg_max(content, seq) FILTER (seq <= 2), '') AS content FROM v GROUP BY path")
+def version_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _versions(spark, sf_dir)
+    return H.content_as_of(v, v.select("path").distinct().withColumn("at_seq", F.lit(2).cast("bigint")))
+
+
+@query(f"WITH {_VERSIONS} SELECT path, count(*) FILTER (seq > 1 AND seq <= 4) AS n FROM v GROUP BY path")
+def version_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _versions(spark, sf_dir)
+    return H.commits_between(v, v.select("path").distinct().selectExpr("path", "1L from_seq", "4L to_seq"))
+
+
+_JOBS = f"""WITH {_VERSIONS},
+src AS (SELECT DISTINCT 'docs/f' || conv_id || '.md' AS path, conv_id AS k FROM conversations UNION ALL SELECT 'docs/extra' || k || '.md', k FROM range(3) r(k)),
+head AS (SELECT path, max(seq) AS head_seq, arg_max(hash, seq) AS current_commit FROM v GROUP BY path),
+t(locale) AS (VALUES ('de'), ('fr')),
+had AS (
+  SELECT s.path, s.k, t.locale, CASE WHEN (s.k + length(t.locale || s.path)) % 4 = 0 THEN NULL ELSE s.k % 5 END AS kind FROM src s, t),
+com AS (
+  SELECT h.*, e.head_seq, e.current_commit,
+         CASE WHEN kind IN (0, 1) THEN md5('1') WHEN kind = 2 THEN current_commit WHEN kind = 3 THEN NULL WHEN kind = 4 THEN md5('none') END AS translated_commit
+  FROM had h LEFT JOIN head e ON e.path = h.path),
+orig AS (
+  SELECT c.*, CASE WHEN translated_commit = md5('1') THEN (SELECT arg_max(content, seq) FROM v WHERE v.path = c.path AND v.seq <= 1) END AS original,
+         (SELECT count(*) FROM v WHERE v.path = c.path AND v.seq > 1) AS since FROM com c),
+reason AS (
+  SELECT *, CASE WHEN k % 9 = 4 THEN 'uncommitted' WHEN current_commit IS NULL THEN 'untracked' WHEN translated_commit = current_commit THEN 'up_to_date' END AS skip_reason FROM orig),
+jobs AS (
+  SELECT locale, path, replace(path, 'docs/', locale || '/docs/') AS target_path, skip_reason,
+         CASE WHEN skip_reason IS NOT NULL THEN 'SKIP' WHEN kind IS NULL OR translated_commit IS NULL OR original IS NULL THEN 'NEW' ELSE 'UPDATE' END AS type,
+         kind, translated_commit AS tc, since, original FROM reason)"""
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _versions(spark, sf_dir)
+    k = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("bigint")
+    latest = v.groupBy("path").agg(F.max_by("content", "seq").alias("content"))
+    extra = spark.range(3).select(F.concat(F.lit("docs/extra"), "id", F.lit(".md")).alias("path"), F.lit("x").alias("content"))
+    src = latest.unionByName(extra).withColumn("instructions", F.lit(None).cast("string"))
+    targets = spark.createDataFrame([("de", "de/docs"), ("fr", "fr/docs")], "locale string, target_root string")
+    head = H.latest_versions(v).select("path", F.col("hash").alias("head"))
+    had = src.join(head, "path", "left").crossJoin(targets).withColumn("k", k).where("(k + length(concat(locale, path))) % 4 <> 0")
+    commit = F.when(F.col("k") % 5 < 2, F.md5(F.lit("1").cast("string"))).when(F.col("k") % 5 == 2, F.col("head")).when(F.col("k") % 5 == 4, F.md5(F.lit("none")))
+    front = F.when(commit.isNull(), F.lit("---\ntitle: t\n---\n")).otherwise(F.concat(F.lit("---\ncommit: '"), commit, F.lit("'\n---\n")))
+    translations = had.select(F.concat("locale", F.lit("/"), "path").alias("path"), F.concat(front, F.lit("alt")).alias("content"))
+    return H.classify(src, v, translations, targets, "docs", src.withColumn("k", k).where("k % 9 = 4"))
+
+
+@query(
+    _JOBS + """ SELECT locale, path, target_path, type, skip_reason,
+  CASE WHEN type = 'NEW' AND kind IS NOT NULL THEN CASE WHEN tc IS NULL THEN 'no commit field' ELSE 'original unavailable' END END AS warning,
+  CASE WHEN type = 'UPDATE' THEN tc END AS translated_commit, CASE WHEN type = 'UPDATE' THEN since END AS commit_count,
+  CASE WHEN type = 'UPDATE' THEN md5(original) END AS original FROM jobs"""
+)
+def job_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jobs(spark, sf_dir).select("locale", "path", "target_path", "type", "skip_reason", "warning", "translated_commit", "commit_count", F.md5("original_source").alias("original"))
+
+
+@query(_JOBS + " SELECT locale, path, type FROM (SELECT *, row_number() OVER (PARTITION BY locale ORDER BY path) AS n FROM jobs WHERE type <> 'SKIP') WHERE n <= 20")
+def job_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.limit_jobs(_jobs(spark, sf_dir), 20).select("locale", "path", "type")
+
+
+@query(
+    _JOBS + """ SELECT locale, count(*) FILTER (type = 'NEW') AS "new", count(*) FILTER (type = 'UPDATE') AS updated,
+  count(*) FILTER (type = 'SKIP' AND skip_reason = 'up_to_date') AS skipped, count(*) FILTER (type = 'SKIP' AND skip_reason <> 'up_to_date') AS errors FROM jobs GROUP BY locale"""
+)
+def job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.job_counts(_jobs(spark, sf_dir))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'other' END AS was FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN source <> was THEN 'source=' || source END, 'lang=' || lang], lambda x: x IS NOT NULL), ';') AS changed FROM a"""
+)
+def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    front = lambda *kv: F.concat(F.lit("---\n"), *[F.concat(F.lit(f"{k}: "), v, F.lit("\n")) for k, v in kv], F.lit("---\n"))
+    now = front(("source", F.col("source")), ("lang", F.col("lang")), ("same", F.lit("s")))
+    old = front(("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("other")), ("same", F.lit("s")))
+    keys = ["source", "lang", "same"]
+    changed = FF.changed_fields(FF.extract_fields(FM.parse_properties(now), keys), FF.extract_fields(FM.parse_properties(old), keys))
+    return d.select("doc_id", F.array_join(F.transform(changed, lambda f: F.concat(f["key"], F.lit("="), f["value"])), ";").alias("changed"))
+
+
+# chunks
+
+_SPLIT = rf"""WITH RECURSIVE {MD_SQL}, {LINES_SQL},
+lo AS (SELECT path, ln, line, CAST(coalesce(sum(octet_length(encode(line)) + 1) OVER w, 0) AS BIGINT) AS boff, CAST(coalesce(sum(length(line) + 1) OVER w, 0) AS BIGINT) AS coff
+  FROM lines WINDOW w AS (PARTITION BY path ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tot AS (SELECT path, octet_length(encode(content)) AS total, length(content) AS chars FROM md),
+hd AS (SELECT path, boff, coff, length(regexp_extract(line, '^(#+)', 1)) AS lv, trim(regexp_replace(line, '^#+\s+', '')) AS heading FROM lo WHERE regexp_matches(line, '^#{{1,6}}\s+.+$')),
+starts AS (SELECT path, boff AS s FROM hd UNION SELECT path, 0 FROM tot),
+firsts AS (SELECT path, min(boff) AS f FROM hd GROUP BY path),
+edges AS (
+  SELECT st.path, st.s, CASE WHEN st.s = 0 AND f.f > 1600 THEN f.f ELSE coalesce(arg_min(h.boff, row(h.lv, h.boff)) FILTER (h.boff - st.s BETWEEN 1600 AND 2400), min(h.boff) FILTER (h.boff - st.s > 2400)) END AS nx
+  FROM starts st JOIN tot t ON t.path = st.path AND t.total > 2000 JOIN firsts f ON f.path = st.path
+  JOIN hd h ON h.path = st.path AND h.boff > st.s WHERE t.total - st.s > 2400 OR (st.s = 0 AND f.f > 1600) GROUP BY st.path, st.s, f.f),
+ck AS (SELECT path, 0 AS idx, CAST(0 AS BIGINT) AS s FROM tot UNION ALL SELECT ck.path, ck.idx + 1, CAST(e.nx AS BIGINT) FROM ck JOIN edges e ON e.path = ck.path AND e.s = ck.s WHERE e.nx IS NOT NULL),
+cut AS (
+  SELECT ck.path, CAST(ck.idx AS BIGINT) AS "index", coalesce(h.coff, 0) AS start, CAST(coalesce(lead(h.coff) OVER (PARTITION BY ck.path ORDER BY ck.idx), t.chars) AS BIGINT) AS "end",
+         CASE WHEN t.total <= 2000 THEN 0 ELSE coalesce(h.lv, 0) END AS level, CASE WHEN t.total > 2000 THEN h.heading END AS heading
+  FROM ck JOIN tot t ON t.path = ck.path LEFT JOIN hd h ON h.path = ck.path AND h.boff = ck.s)"""
+
+
+@query(_SPLIT + ' SELECT path, "index", start, "end", CAST(level AS BIGINT) AS level, heading FROM cut')
+def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(C.chunk_rows(md(spark, sf_dir), 2_000).select("path", "index", "start", "end", "level", "heading"), "index", "start", "end", "level")
+
+
+@query(_SPLIT + ' SELECT level, count(*) AS chunks, CAST(sum("end" - start) AS BIGINT) AS chars, count(*) FILTER (level = 0) AS intros FROM (SELECT CAST(level AS BIGINT) AS level, start, "end" FROM cut) GROUP BY level')
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.chunk_rows(md(spark, sf_dir), 2_000)
+    return _long(rows.groupBy("level").agg(F.count("*").alias("chunks"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.count_if("is_intro").alias("intros")), "level")
+
+
+@query(f"WITH {MD_SQL} SELECT path, md5(content) AS content, CAST(octet_length(encode(content)) AS BIGINT) AS bytes FROM md")
+def chunks_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.chunk_rows(md(spark, sf_dir), 2_000)
+    sizes = rows.groupBy("path").agg(F.sum("bytes").alias("bytes"))
+    return C.joined_chunks(rows).join(sizes, "path").select("path", F.md5("content").alias("content"), F.col("bytes").cast("bigint").alias("bytes"))
+
+
+# diffs
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, old, new: every document and a copy with changed, added and removed lines."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 2, F.concat(x, F.lit(" changed"))).when(i % 7 == 3, F.concat(x, F.lit("\nadded"))).otherwise(x)), lambda x: ~x.startswith("E"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("old"), F.array_join(lines, "\n").alias("new"))
+
+
+_EDITS = """e AS (SELECT doc_id, text AS old, coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 2 THEN x || ' changed'
+  WHEN (i - 1) % 7 = 3 THEN x || chr(10) || 'added' ELSE x END), lambda x: NOT starts_with(x, 'E')), chr(10)), '') AS new FROM documents)"""
+
+
+@query(f"WITH {_EDITS} SELECT doc_id, md5(rtrim(new, chr(10))) AS result FROM e")
+def diff_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _edits(spark, sf_dir).withColumn("diff", D.unified_diff(F.col("old"), F.col("new")))
+    applied = made.select("doc_id", D.applied_diff(F.col("old"), F.col("diff")).alias("x"))
+    return applied.where("x.error is null").select("doc_id", F.md5(F.regexp_replace("x.text", r"\n+$", "")).alias("result"))
+
+
+_HUNKS = "concat('@@ -1 +1,2 @@\\n-', substring_index(old, '\\n', 1), '\\n+new first\\n+', doc_id, '\\n')"
+
+
+@query("SELECT doc_id, CAST(1 AS BIGINT) AS hunks, CAST(2 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS context, true AS looks FROM documents")
+def diff_parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _edits(spark, sf_dir).withColumn("diff", F.expr(_HUNKS))
+    p = d.select("doc_id", "diff", D.parsed_diff(F.col("diff"))["hunks"].alias("h"))
+    return _long(
+        p.select("doc_id", F.size("h").alias("hunks"), D.count_lines(F.col("h"), "ADD").alias("added"), D.count_lines(F.col("h"), "REMOVE").alias("removed"), D.count_lines(F.col("h"), "CONTEXT").alias("context"), D.looks_like_diff(F.col("diff")).alias("looks")),
+        "hunks", "added", "removed", "context",
+    )
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls, text FROM documents),
+w AS (SELECT doc_id, 1 AS line, ls[1] AS expected, ls FROM l UNION ALL SELECT doc_id, 2, 'not there', ls FROM l)
+SELECT doc_id, CAST(0 AS BIGINT) AS hunk, CAST(line AS BIGINT) AS line, expected, coalesce(ls[line], '<EOF>') AS actual FROM w WHERE expected <> coalesce(ls[line], '<EOF>')"""
+)
+def diff_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = F.expr("concat('@@ -1,2 +1 @@\\n ', substring_index(old, '\\n', 1), '\\n-not there\\n')")
+    rows = _edits(spark, sf_dir).withColumn("old", F.regexp_replace("old", "\n+$", "")).withColumn("diff", diff)
+    return _long(D.mismatches(rows.select("doc_id", F.col("old").alias("text"), D.parsed_diff(F.col("diff"))["hunks"].alias("hunks")), "doc_id"), "hunk", "line")
+
+
+@query(r"SELECT doc_id, '--- a' || chr(10) || '+++ b' || chr(10) || '@@ -1,1 +1,2 @@' || chr(10) || '-' || split_part(text, chr(10), 1) || chr(10) || '+new first' || chr(10) || '+' || doc_id || chr(10) AS text FROM documents")
+def diff_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _edits(spark, sf_dir).withColumn("diff", F.expr(_HUNKS))
+    return d.select("doc_id", D.serialize_hunks(D.parsed_diff(F.col("diff"))["hunks"], "a", "b").alias("text"))
+
+
+@query(
+    r"""WITH p AS (SELECT conv_id, turn, regexp_split_to_array(text || CASE WHEN turn % 2 = 0 THEN chr(13) || chr(10) ELSE chr(10) END || 'x', '\r\n|\r|\n') AS ls FROM conversations)
+SELECT conv_id, turn, CAST(len(ls) AS BIGINT) AS n, array_to_string(ls, chr(10)) || chr(10) AS joined FROM p"""
+)
+def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\n")), F.lit("x\n"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.lines(x).alias("ls"))
+    return _long(rows.select("conv_id", "turn", F.size("ls").alias("n"), T.join_lines(F.col("ls"), F.lit(True)).alias("joined")), "n")
+
+
+# fields, prompts, small texts
+
+
+@query("SELECT doc_id, 'To German: ' || source || ' {{unknown}} ' || substr(text, 1, 30) || ' [' || '{{source}}' || ']' AS prompt FROM documents")
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit("To {{language}}: {{source}} {{unknown}} {{text}} [{{mark}}]")
+    values = {"language": T.language_name(F.lit("de-AT")), "source": F.col("source"), "text": F.substring("text", 1, 30), "mark": F.lit("{{source}}")}
+    return table(spark, sf_dir, "documents").select("doc_id", T.interpolate(text, values).alias("prompt"))
+
+
+@query(
+    r"""WITH v AS (SELECT doc_id, source, trim(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 50)) AS t FROM documents)
+SELECT doc_id, 'Front matter fields to translate:' || chr(10) || chr(10) || '[[title]]' || chr(10) || t || chr(10) || '[[/title]]' || chr(10) || chr(10) || '[[source]]' || chr(10) || source || chr(10) || '[[/source]]' || chr(10) || chr(10) AS blocks,
+  t AS title, source AS source_field, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE '' END AS missing, 'the body' AS body FROM v WHERE t <> ''"""
+)
+def field_block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 50))
+    rows = table(spark, sf_dir, "documents").withColumn("t", t).where("t <> ''")
+    fields = F.array(F.struct(F.lit("title").alias("key"), F.col("t").alias("value")), F.struct(F.lit("source").alias("key"), F.col("source").alias("value")))
+    rows = rows.withColumn("fields", fields).withColumn("blocks", FF.format_fields(F.col("fields")))
+    extra = F.when(F.col("doc_id") % 3 == 0, F.array(F.struct(F.lit("missing").alias("key"), F.lit("m").alias("value")))).otherwise(F.array().cast(FF.FIELDS))
+    expected = F.concat("fields", extra)
+    response = F.concat("blocks", F.lit("[[other]]\nx\n[[/other]]\n\n\n\nthe body\n"))
+    rows = rows.withColumn("p", FF.parse_fields(response, expected)).withColumn("body", FF.strip_fields(response, expected))
+    value = lambda k: F.get(F.filter("p.fields", lambda f: f["key"] == k), F.lit(0))["value"]
+    return rows.select("doc_id", "blocks", value("title").alias("title"), value("source").alias("source_field"), F.array_join("p.missing", ",").alias("missing"), "body")
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN '****' ELSE '****' || right(c_name, 4) END AS masked, '****' AS short, left(md5(c_name), 7) AS hash,
+  CASE WHEN length(c_name) > 10 THEN left(c_name, 10) || '...' ELSE c_name END AS cut FROM customer"""
+)
+def mask_short_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.mask_secret(n).alias("masked"), T.mask_secret(F.left(n, F.lit(4))).alias("short"), T.short_hash(F.md5(n)).alias("hash"), T.truncate(n, 10).alias("cut"))
+
+
+@query("SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS name FROM documents")
+def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("lang", T.language_name(F.col("lang")).alias("name")).distinct()
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS c, count(*) OVER () AS n, o_orderkey * 97 AS ms FROM orders)
+SELECT o_orderkey, '[' || repeat('=', CAST((c * 20) // n AS INT)) || repeat(' ', CAST(20 - (c * 20) // n AS INT)) || '] ' || format('{:3d}', (c * 100) // n) || '%' AS bar,
+  CASE WHEN ms < 60000 THEN '' ELSE CAST(ms // 60000 AS VARCHAR) || 'm ' || CAST((ms // 1000) % 60 AS VARCHAR) || 's' END AS took FROM t"""
+)
+def progress_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.col("o_orderkey") * 97
+    rows = report.progress(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    return rows.select("o_orderkey", "bar", F.when(ms < 60_000, "").otherwise(T.elapsed(ms)).alias("took"))
+
+
+# translation
+
+_WORDS = r"len(regexp_extract_all({x}, '\S+'))"
+
+
+def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    jobs = _jobs(spark, sf_dir)
+    return X.translate(jobs, X.UpperCase(), ["title"], parallelism=8), jobs
+
+
+@query(
+    _JOBS + f""", latest AS (SELECT path, arg_max(content, seq) AS content FROM v GROUP BY path UNION ALL SELECT 'docs/extra' || k || '.md', 'x' FROM range(3) r(k)),
+done AS (SELECT j.*, l.content FROM jobs j JOIN latest l ON l.path = j.path WHERE type <> 'SKIP')
+SELECT locale, path, type, true AS success, CASE WHEN type = 'NEW' THEN upper(replace(content, 'ß', 'ss')) ELSE 'alt' END AS body,
+  CASE WHEN type = 'NEW' THEN {_WORDS.format(x="content")} END AS input_tokens FROM done"""
+)
+def translate_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, _ = _results(spark, sf_dir)
+    return done.select("locale", "path", "type", "success", "body", F.when(F.col("type") == "NEW", F.col("input_tokens")).alias("input_tokens"))
+
+
+@query(
+    _JOBS + """, latest AS (SELECT path, arg_max(content, seq) AS content, arg_max(hash, seq) AS hash FROM v GROUP BY path)
+SELECT locale, target_path AS path, '---' || chr(10) || 'commit: ' || CASE WHEN regexp_matches(hash, '^[0-9]') THEN '''' || hash || '''' ELSE hash END || chr(10) || '---' || chr(10)
+  || CASE WHEN type = 'NEW' THEN upper(replace(content, 'ß', 'ss')) ELSE 'alt' END AS content FROM jobs j JOIN latest l ON l.path = j.path WHERE type <> 'SKIP'"""
+)
+def translated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, jobs = _results(spark, sf_dir)
+    return X.assemble(done, jobs)
+
+
+@query(
+    _JOBS + """ SELECT count(*) FILTER (type <> 'SKIP') AS success, CAST(0 AS BIGINT) AS failed, count(*) FILTER (type = 'SKIP') AS skipped, true AS all_successful, false AS has_failures FROM jobs"""
+)
+def translation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, jobs = _results(spark, sf_dir)
+    return X.summary(done, jobs.where(F.col("type") == H.SKIP)).select("success", "failed", "skipped", "all_successful", "has_failures")
+
+
+@query("SELECT DISTINCT target_path FROM (" + _JOBS + " SELECT * FROM jobs) WHERE type <> 'SKIP'")
+def successful_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.successful_targets(_results(spark, sf_dir)[0])
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn AS i, length(text) AS n, turn % 4 <> 3 AS ok FROM conversations), f AS (SELECT conv_id, min(i) FILTER (NOT ok) AS failed_chunk FROM c GROUP BY conv_id)
+SELECT CAST(c.conv_id AS VARCHAR) AS path, failed_chunk, CAST(sum(n) AS BIGINT) AS input_tokens, CAST(sum(n * 2) AS BIGINT) AS output_tokens, CAST(sum(i) AS BIGINT) AS elapsed_millis
+FROM c JOIN f ON f.conv_id = c.conv_id WHERE failed_chunk IS NULL OR i <= failed_chunk GROUP BY 1, 2"""
+)
+def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("index"), (F.col("turn") % 4 != 3).alias("success"), F.length("text").alias("input_tokens"), (F.length("text") * 2).alias("output_tokens"), F.col("turn").alias("elapsed_millis"))
+    return X.chunk_totals(c)
+
+
+@query(
+    """SELECT CAST(sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS success, CAST(sum(turn % 2) AS BIGINT) AS failed, count(*) AS skipped, CAST(sum(length(text)) AS BIGINT) AS input_tokens,
+  CAST(sum(turn) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS attempted_input_tokens, CAST(0 AS BIGINT) AS attempted_output_tokens, sum(turn % 2) = 0 AS all_successful, sum(turn % 2) > 0 AS has_failures FROM conversations"""
+)
+def summaries_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").selectExpr("if(turn % 3 = 0, 1, 2) success", "turn % 2 failed", "1 skipped", "length(text) input_tokens", "turn output_tokens", "0 attempted_input_tokens", "0 attempted_output_tokens")
+    return X.merge_summaries(c)
+
+
+@query("SELECT 'f' || min(conv_id) AS path, '[PERMANENT] stop' AS error FROM conversations WHERE conv_id = (SELECT arg_min(conv_id, CAST(conv_id AS VARCHAR)) FROM conversations WHERE turn = 2)")
+def first_permanent_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("f"), "conv_id").alias("path"), F.when(F.col("turn") == 2, "[PERMANENT] stop").when(F.col("turn") == 1, "[BODY] other").alias("error"))
+    return X.first_permanent_failure(c)
