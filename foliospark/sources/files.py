@@ -1,19 +1,81 @@
-"""Document trees in a file system that Spark reaches."""
+"""Document trees in a file system that the driver and all executors reach under the same paths."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import file_name, parent
-from ..operators.scan import DEFAULT_INCLUDE, NORMAL, REPLACE, select_files
+from ..operators.scan import DEFAULT_INCLUDE, NORMAL, REPLACE
 
+#: Files that a task reads.
+FILES_PER_TASK = 256
 
-def _plain(path: str = "path"):
-    return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/+", "/"), "%20", " ")
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
+
+
+class _Reader(DataSourceReader):
+    """Lists on the driver, where whole directories are left out before they are entered; reads in tasks."""
+
+    def __init__(self, root: str, include: str, exclusions: list[str], contents: bool):
+        self.root, self.contents = root, contents
+        self.include, self.exclusions = re.compile(include), [re.compile(x) for x in exclusions if x.strip()]
+
+    def _walk(self, directory: str) -> Iterator[str]:
+        with os.scandir(directory) as found:
+            for e in found:
+                if e.is_symlink():
+                    continue
+                if e.is_dir():
+                    if not any(x.fullmatch(e.path) or x.fullmatch(e.path + "/") for x in self.exclusions):
+                        yield from self._walk(e.path)
+                elif e.is_file() and self.include.fullmatch(e.path) and not any(x.fullmatch(e.path) for x in self.exclusions):
+                    yield e.path
+
+    def partitions(self) -> list[InputPartition]:
+        paths = sorted(self._walk(self.root))
+        return [_Files(paths[i : i + FILES_PER_TASK]) for i in range(0, len(paths), FILES_PER_TASK)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            if not self.contents:
+                yield (path,)
+                continue
+            with open(path, "rb") as f:
+                yield path, f.read().decode("utf-8", "replace")
+
+
+class DocumentTree(DataSource):
+    """Format `document_tree`: path, content of text files, hidden and empty ones too. Links aren't followed.
+
+    Options: root; include and exclusions (separated by newlines), regular expressions that match whole
+    paths, the latter also directories; contents (`false` for the paths alone).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "document_tree"
+
+    def schema(self) -> str:
+        return "path string, content string" if self.options.get("contents", "true") == "true" else "path string"
+
+    def reader(self, schema) -> _Reader:
+        o = self.options
+        return _Reader(o["root"], o.get("include", ".*"), o.get("exclusions", "").split("\n"), o.get("contents", "true") == "true")
+
+
+def _tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    spark.dataSource.register(DocumentTree)
+    return spark.read.format("document_tree").options(root=checked_root(root), **options).load()
 
 
 def checked_root(root: str) -> str:
@@ -27,29 +89,20 @@ def checked_root(root: str) -> str:
 
 
 def read_tree(spark: SparkSession, root: str, include: str = DEFAULT_INCLUDE, exclusions: list[str] | None = None) -> DataFrame:
-    """path, content of the chosen files below a directory, ordered by path.
-
-    Malformed bytes are replaced. Paths are filtered before contents are decoded.
-    """
-    full = checked_root(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{full}").withColumn("path", _plain())
-    chosen = select_files(files, include, exclusions)
-    return chosen.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")).orderBy("path")
+    """path, content of the chosen files below a directory, ordered by path; malformed bytes are replaced."""
+    return _tree(spark, root, include=include, exclusions="\n".join(exclusions or [])).orderBy("path")
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """path of every file below a directory; contents aren't read."""
-    full = checked_root(root)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{full}").select(_plain().alias("path"))
+    return _tree(spark, root, contents="false")
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """dir, kind, content of the instruction files below a directory."""
-    full = checked_root(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{full}").withColumn("path", _plain())
-    named = files.where(file_name(F.col("path")).isin(NORMAL, REPLACE))
+    files = _tree(spark, root, include=f"(?s).*/(?:{re.escape(NORMAL)}|{re.escape(REPLACE)})")
     kind = F.when(file_name(F.col("path")) == REPLACE, "replace").otherwise("normal")
-    return named.select(parent(F.col("path")).alias("dir"), kind.alias("kind"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return files.select(parent(F.col("path")).alias("dir"), kind.alias("kind"), "content")
 
 
 def write_documents(docs: DataFrame, root: str | None = None) -> None:
