@@ -13,7 +13,7 @@ from .graph import connected_components
 from .text import checkpoint_ready, gram_hashes, join_small, lots, mix, row_key, word_hashes
 
 #: Words of a gram, least Jaccard similarity of a pair, and orders in which sets are looked up.
-GRAM, THRESHOLD, ORDERS = 3, 0.6, 9
+GRAM, THRESHOLD, ORDERS = 3, 0.5, 10
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     gives a set its first gram, and every two of these grams are a key, so that sets which merely share
     a passage seldom meet. The blocks with the same least member are one; its sets go into a prefix
     tree, once. Two sets of similarity J miss each other with probability (1 - J)**k + k J (1 - J)**(k - 1)
-    for k orders (0.004 at 0.6, 1e-5 at 0.8), and only if nothing else links them; every pair found is
+    for k orders (0.01 at 0.5, 0.002 at 0.6, 4e-6 at 0.8), and only if nothing else links them; every pair found is
     exact up to 32-bit hash collisions.
 
     Texts that are NULL or have no words are nobody's duplicates. Repeated rows (same doc_id and text)

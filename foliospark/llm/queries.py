@@ -113,7 +113,7 @@ grams AS (
 sizes AS (SELECT node, count(*) AS n FROM grams GROUP BY node),
 common AS (SELECT a.node AS a, b.node AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node GROUP BY 1, 2),
 pairs AS (
-  SELECT a, b FROM common JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9),
+  SELECT a, b FROM common JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b WHERE k >= 0.5 * (x.n + y.n - k) - 1e-9),
 edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
 parts AS (SELECT node, min(other) AS part, count(*) AS group_size FROM reach GROUP BY node)

@@ -324,7 +324,7 @@ def test_near_duplicates_against_brute_force(spark):
 
     for a in ids:
         for b in ids:
-            if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]):
+            if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     size = Counter(find(i) for i in ids)
