@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .text import checkpoint_ready, gram_hashes, join_small, lots, mix, row_key, word_hashes
+from .text import checkpoint_ready, gram_hashes, lots, mix, row_key, word_hashes
 
 #: Words of a gram, least Jaccard similarity of a pair, and orders in which sets are looked up.
 GRAM, THRESHOLD, ORDERS = 3, 0.5, 10
+#: Bits of a set's bitmap.
+BITS = 4_096
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -33,10 +35,10 @@ def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 
 
 class _Node:
-    __slots__ = ("label", "children", "sets", "least", "most", "part")
+    __slots__ = ("label", "children", "sets", "least", "most", "part", "up")
 
-    def __init__(self, label: np.ndarray, number: int):
-        self.label = label
+    def __init__(self, label: np.ndarray, number: int, up: _Node | None):
+        self.label, self.up = label, up
         self.children: dict[int, _Node] = {}
         self.sets: list[int] = []
         self.least = self.most = 0
@@ -54,7 +56,8 @@ class PrefixTree:
     STEP = 96
 
     def __init__(self, threshold: float, root: Callable[[int], int] = lambda number: number):
-        self.root = _Node(np.zeros(0, np.uint32), -1)
+        self.root = _Node(np.zeros(0, np.uint32), -1, None)
+        self.at: dict[int, _Node] = {}
         self.t = threshold
         self.of = root
 
@@ -69,10 +72,11 @@ class PrefixTree:
             node.most = max(node.most, size)
             if at == size:
                 node.sets.append(number)
+                self.at[number] = node
                 return
             child = node.children.get(int(s[at]))
             if child is None:
-                leaf = _Node(s[at:], number)
+                leaf = self.at[number] = _Node(s[at:], number, node)
                 leaf.least = leaf.most = size
                 leaf.sets.append(number)
                 node.children[int(s[at])] = leaf
@@ -81,9 +85,9 @@ class PrefixTree:
             differ = np.flatnonzero(child.label[:k] != s[at : at + k])
             same = int(differ[0]) if len(differ) else k
             if same < len(child.label):
-                top = _Node(child.label[:same], child.part)
+                top = _Node(child.label[:same], child.part, node)
                 top.least, top.most = child.least, child.most
-                child.label = child.label[same:]
+                child.label, child.up = child.label[same:], top
                 top.children[int(child.label[0])] = child
                 node.children[int(top.label[0])] = top
                 child = top
@@ -97,13 +101,24 @@ class PrefixTree:
                 node.part = below[0]
         return node.part >= 0 and self.of(node.part) == part
 
-    def matches(self, x: np.ndarray, number: int | None = None) -> Iterator[tuple[int, int]]:
+    def toward(self, numbers: list[int]) -> set[int]:
+        """Identities of the nodes on the way to the sets."""
+        way: set[int] = set()
+        for k in numbers:
+            node: _Node | None = self.at[k]
+            while node is not None and id(node) not in way:
+                way.add(id(node))
+                node = node.up
+        return way
+
+    def matches(self, x: np.ndarray, number: int | None = None, way: set[int] | None = None) -> Iterator[tuple[int, int]]:
         """(number, overlap) of the stored sets with Jaccard similarity of at least t to x.
 
         On the way down the partial overlap of a prefix is shared by all sets below it. With o elements
         in common so far, r of x above the prefix's last element, and depth d, a set of size s below has
         an overlap of at most o + min(r, s - d); a subtree goes when that falls short for all its sizes.
-        With a number of x, sets that are of its part when they are met are left out.
+        With a number of x, sets that are of its part when they are met are left out; with a way (see
+        `toward`), nodes that aren't on it.
         """
         t, n = self.t, len(x)
         low, high = t * n - 1e-9, n / t + 1e-9
@@ -112,6 +127,8 @@ class PrefixTree:
             node, depth, overlap, used = stack.pop()
             if node.most < low or node.least > high or (number is not None and self._only(node, self.of(number))):
                 continue
+            if way is not None and id(node) not in way:
+                continue
             label, dead, at = node.label, False, 0
             while at < len(label):
                 part = label[at : at + self.STEP]
@@ -144,29 +161,43 @@ class PrefixTree:
         return best >= self.t * (n + s - best) - 1e-9
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS bits of a set, one for the hash of each element: two sets differ in as many elements as bits at least."""
+    b = np.zeros(BITS, np.uint8)
+    b[s & np.uint32(BITS - 1)] = 1
+    return np.packbits(b).view(np.uint64)
+
+
 def join_block(sets: list[np.ndarray], ids: list[int], threshold: float) -> list[tuple[int, int]]:
     """Pairs of ids that link every two similar sets, directly or through others: a forest of true pairs.
 
-    Each set is a query against the tree of those before it; a set that is already linked to it through
-    others isn't linked again.
+    Each set is a query against the tree of those before it, which aren't larger; a set that is already
+    linked to it through others isn't linked again. Bitmaps bound the overlap with all stored sets at
+    once: where they rule all out, the tree isn't entered, else only on the way to those that are left.
     """
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-    root = list(range(len(ids)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    tree, out = PrefixTree(threshold, find), []
-    for k in order:
-        for other, _ in tree.matches(sets[k], k):
-            a, b = find(k), find(other)
-            if a != b:
-                root[a] = b
-                out.append((ids[k], ids[other]))
-        tree.add(sets[k], k)
+    size = np.array([len(sets[k]) for k in order])
+    maps = np.zeros((len(order), BITS // 64), np.uint64)
+    part = np.arange(len(order))
+    tree, out = PrefixTree(threshold, lambda r: int(part[r])), []
+    for r, k in enumerate(order):
+        x = sets[k]
+        maps[r] = bitmap(x)
+        low = int(np.searchsorted(size[:r], threshold * len(x) - 1e-9))
+        if low < r:
+            both = len(x) + size[low:r]
+            most = (both - np.bitwise_count(maps[low:r] ^ maps[r]).sum(1, dtype=np.int64)) >> 1
+            left = low + np.flatnonzero(most >= threshold * (both - most) - 1e-9)
+            if len(left):
+                for other, _ in tree.matches(x, r, tree.toward(left.tolist())):
+                    a, b = int(part[r]), int(part[other])
+                    if a != b:
+                        part[part == b] = a
+                        out.append((ids[k], ids[order[other]]))
+                        left = left[part[left] != a]
+                        if not len(left):
+                            break
+        tree.add(x, r)
     return out
 
 
@@ -219,7 +250,7 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     rep = signed.groupBy("whole", "size").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("keys").alias("keys"))
     rep = rep.selectExpr("r.rk node", "whole", "size", "keys")
     blocks = rep.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1")
-    blocks = blocks.select(F.col("nodes")[0].alias("block"), F.explode("nodes").alias("rk")).groupBy("rk").agg(F.collect_set("block").alias("blocks")).checkpoint()
+    blocks = blocks.select(F.col("nodes")[0].alias("block"), F.explode("nodes").alias("rk")).groupBy("rk").agg(F.collect_set("block").alias("blocks"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,7 +261,7 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
                 cols = list(zip(*flat, strict=True)) if flat else [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "rk", "grams"])
 
-    met = join_small(rows.select("rk", "text"), blocks, ["rk"], "inner", blocks.count(), 200_000).select("rk", "text", "blocks")
+    met = rows.select("rk", "text").join(blocks.hint("shuffle_hash"), "rk").select("rk", "text", "blocks")
     filled = met.mapInArrow(shrink, "block long, rk long, grams binary")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +296,7 @@ def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     key = "__foliospark_row"
     found = near_duplicates(docs, **kw).checkpoint()
     drops = found.where("not keeper").select(F.col("rk").alias(key)).distinct()
-    kept = join_small(docs.withColumn(key, row_key()), drops, [key], "left_anti", drops.count())
+    kept = docs.withColumn(key, row_key()).join(drops.hint("shuffle_hash"), key, "left_anti")
     # rows that occur more than once are rare: only they are looked at for it
     again = docs.where("trim(text) <> ''").groupBy(row_key().alias(key)).count().where("count > 1").select(key).checkpoint()
     if again.count():

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed at a time; a longer document is cut between two words.
@@ -32,11 +32,6 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")), F.coalesce(F.col(text), F.lit("\0null")))
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, limit: int = 500_000) -> DataFrame:
-    """Join that broadcasts the right side only where its counted rows stay within the limit."""
-    return left.join(F.broadcast(right) if rows <= limit else right, on, how)
-
-
 def lots(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `size` characters, so that arrays over them stay small; a longer text ends its run."""
     start, held = 0, 0
