@@ -13,6 +13,7 @@ from typing import Any, NamedTuple, Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fields as FF
 from ..functions import frontmatter as FM
@@ -232,6 +233,33 @@ def translate(jobs: DataFrame, model: Translator, keys: list[str], parallelism:
     return todo.select(*columns).mapInPandas(run, RESULT)
 
 
+def translate_texts(rows: DataFrame, model: Translator, text: str = "text", locale: str = "locale", instructions: str | None = None) -> DataFrame:
+    """The rows with `translated` and `error`: free texts, each by one prompt, outside the jobs of documents.
+
+    A NULL or blank text is its own translation and isn't sent.
+    """
+    lead = F.lit(f"{instructions.strip()}\n\n" if instructions and instructions.strip() else "")
+    prompt = F.concat(lead, F.lit("Translate into "), language_name(F.col(locale)), F.lit(":\n\n"), F.col(text))
+    asked = rows.withColumn("__prompt", F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", prompt))
+    names = rows.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        guarded = Breaker(model)
+        for frame in frames:
+            out = []
+            for question, own, tag in zip(frame["__prompt"], frame[text], frame[locale], strict=True):
+                try:
+                    out.append((own if question is None else guarded("", question, tag).text, None))
+                except Permanent as e:
+                    out.append((None, f"[PERMANENT] {e}"))
+                except Exception as e:
+                    out.append((None, str(e)))
+            yield frame[names].assign(translated=pd.Series([a for a, _ in out], dtype=object, index=frame.index), error=pd.Series([b for _, b in out], dtype=object, index=frame.index))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("translated", T.StringType()), T.StructField("error", T.StringType())])
+    return asked.mapInPandas(run, schema)
+
+
 def assemble(results: DataFrame, jobs: DataFrame) -> DataFrame:
     """locale, path, content of the documents to write, for the results that succeeded.
 

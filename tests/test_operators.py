@@ -289,6 +289,12 @@ def test_long_documents_go_chunk_by_chunk(spark):
     assert r.body == text.upper() and r.success
 
 
+def test_free_texts(spark):
+    rows = table(spark, "id int, text string, locale string", (1, "hello", "de"), (2, None, "de"), (3, "bad", "fr"), (4, " ", "fr"))
+    got = {r.id: (r.translated, r.error) for r in X.translate_texts(rows, Scripted(fail="bad"), instructions=" Be kind. ").collect()}
+    assert got == {1: ("BE KIND.\n\nTRANSLATE INTO GERMAN:\n\nHELLO", None), 2: (None, None), 3: (None, "broken"), 4: (" ", None)}
+
+
 def test_models_and_templates():
     seen = {}
     m = X.model_for(" OpenAI ", "http://h/v1/", "", "m", lambda r: seen.update(r) or X.Answer("x"))
