@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import row_key
+from .text import row_key, small
 
 #: Words of a test string; items with fewer words are one string each, from MIN_WORDS words on.
 WINDOW, MIN_WORDS = 13, 6
@@ -103,7 +103,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             items = list(shipped.value.values())
             finder = WuManber(list(shipped.value))
-            for b in batches:
+            for b in small(batches):
                 out: list[list] = [[], [], [], []]
                 for i, k, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                     hits: dict[int | None, int] = {}
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             finder = WuManber(shipped.value)
-            for b in batches:
+            for b in small(batches):
                 yield b.filter(pa.array([not (t and finder.search(normal(t), True)) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .text import checkpoint_ready, gram_hashes, lots, mix, row_key, word_hashes
+from .text import checkpoint_ready, gram_hashes, lots, mix, row_key, small, word_hashes
 
 #: Words of a gram, least Jaccard similarity of a pair, and orders in which sets are looked up.
 GRAM, THRESHOLD, ORDERS = 3, 0.5, 10
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     first_of, second_of = [i for i, _ in two], [j for _, j in two]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(2).to_pylist()
             for i, j in lots(texts):
                 sets = gram_sets(texts[i:j], n)
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     blocks = blocks.select(F.col("nodes")[0].alias("block"), F.explode("nodes").alias("rk")).groupBy("rk").agg(F.collect_set("block").alias("blocks"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rk, texts, found = b.column("rk").to_pylist(), b.column("text").to_pylist(), b.column("blocks").to_pylist()
             for i, j in lots(texts):
                 sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in gram_sets(texts[i:j], n)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import lots
+from .text import lots, small
 
 #: Labelled rows that the models are fitted on (the expected size of a sample by hashed doc_id, which is
 #: the whole table where that is smaller), and the rows that a language needs in it.
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float = M
     names = np.array([*langs, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(1).to_pylist()
             found, shares, accepted = [], [], []
             for i, j in lots(texts):
@@ -210,7 +210,7 @@ def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: fl
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(at).to_pylist()
             accepted: list[bool] = []
             for i, j in lots(texts):
