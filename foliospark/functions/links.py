@@ -79,7 +79,7 @@ def is_likely_file_path(value: Column) -> Column:
 #: Code blocks and spans, or the beginning of a link up to its destination: where a text can be cut.
 _PIECE = (
     r"(?ms)^ {0,3}(```+|~~~+)[^\n]*(?:\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)|\z)"
-    r"|(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
+    r"|(?= {4}|\t)(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
     r"|(?<!`)(`+)(?!`).+?(?<!`)\2(?!`)"
     r"|\]\([ \t]*(?:<[^>\n]*(?=>)|[^()\s<][^()\s]*(?:\([^()\s]*\)[^()\s]*)*(?=\s+[\"'(]|[ \t]*\)))"
 )

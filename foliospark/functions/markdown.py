@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FENCE = r"(?ms)^ {0,3}(```+|~~~+)[^\n]*(?:\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)|\z)"
-_INDENTED = r"(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
+#: The mark of an indented line is looked for first, as the look back for an empty line is dear.
+_INDENTED = r"(?= {4}|\t)(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
 _SPAN = r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
 _BODY = r"(?s)\A---\s*\n(.*?)\n---\s*\n?"
 _HEADING = r"(?m)^ {0,3}(#{1,6})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*$"
