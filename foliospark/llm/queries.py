@@ -11,7 +11,7 @@ from .decontaminate import contaminated
 from .html import extract_text
 from .jaccard import near_duplicates
 from .langid import identify
-from .lines import recurring_lines
+from .lines import EXACT_DOCS, recurring_lines
 from .mixing import mix_sources
 from .pii import find_pii
 from .repeats import repeated_passages
@@ -41,7 +41,7 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurring_lines(_table(spark, sf_dir, "documents")).drop("rk")
+    return recurring_lines(_table(spark, sf_dir, "documents"), exact_docs=EXACT_DOCS).drop("rk")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

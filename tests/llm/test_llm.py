@@ -294,6 +294,27 @@ def test_lines_against_brute_force(spark):
     assert got == _brute_lines(rows)
 
 
+def test_equal_lines_recur_at_any_length_from_two_documents(spark):
+    rng = random.Random(4)
+    words = "a b c d e f g".split()
+    rows = [(i, "\n".join(" ".join(rng.choice([*words, str(rng.randint(0, 9))]) for _ in range(rng.randint(1, 6))) for _ in range(8))) for i in range(30)]
+    rows += [(90, "\u4e00\u884c\u6587\u5b57\n\nonly  two of\tthese\nitem 7"), (91, "\u4e00\u884c\u6587\u5b57\n\nonly two of these\nitem 7"), (92, "\u4e00\u884c")]
+    want = _brute_lines(rows)
+    by, who, at = {(i, no) for i, no, _ in want}, defaultdict(set), defaultdict(list)
+    for i, text in rows:
+        for no, line in enumerate(text.split("\n")):
+            m = " ".join(line.split())
+            if m and not any(c.isdigit() for c in m) and (i, no) not in by:
+                who[m].add(i)
+                at[m].append((i, no))
+    want |= {(i, no, m) for m, places in at.items() if len(who[m]) >= 2 for i, no in places}
+    got = lines.recurring_lines(docs_of(spark, rows), exact_docs=lines.EXACT_DOCS).collect()
+    assert {(r.doc_id, r.line_no, r.template) for r in got} == want and len(got) == len(want)
+    assert {(r.doc_id, r.line_no, r.n_docs, r.first_doc) for r in got if r.doc_id >= 90} == {(90, 0, 2, True), (91, 0, 2, False), (90, 2, 2, True), (91, 2, 2, False)}
+    kept = {r.doc_id: r.text for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    assert kept[90] == rows[-3][1] and kept[91] == "\nitem 7" and kept[92] == rows[-1][1]
+
+
 # near duplicates
 
 
