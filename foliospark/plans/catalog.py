@@ -22,7 +22,7 @@ from ..operators import scan as S
 from ..operators import split as C
 from ..operators import translate as X
 from .corpus import (
-    HEADINGS_SQL, LINES_SQL, LINKS_SQL, MD_SQL, MIRROR_SQL, RAW_SQL, assets, md, mirrored, norm_sql, parent_sql, raw, resolved_sql, slug_sql, table,
+    HEADINGS_SQL, LINES_SQL, LINKS_SQL, MD_SQL, MIRROR_SQL, RAW_SQL, assets, md, mirrored, norm_sql, parent_sql, raw, resolved_sql, slug_sql, table, whole,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -712,3 +712,13 @@ def summaries_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_permanent_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("f"), "conv_id").alias("path"), F.when(F.col("turn") == 2, "[PERMANENT] stop").when(F.col("turn") == 1, "[BODY] other").alias("error"))
     return X.first_permanent_failure(c)
+
+
+# the queries over md() once more, over whole lines and all documents, without SQL: MD_SQL cuts headings
+
+for _name in [
+    "scan_filter_exclude", "headings_ordered", "anchors_distinct", "heading_lookup", "links_extract", "link_parse", "path_resolve",
+    "mirror_path", "translatable_filter", "broken_files", "broken_anchors", "version_errors", "check_summary", "error_report", "anchor_translate", "heading_mismatch", "links_corrected", "corrections_by_file",
+    "correction_summary", "corrected_check", "split_chunks", "chunk_stats", "chunks_joined",
+]:
+    QUERIES[f"{_name}_whole"] = whole(QUERIES[_name])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markdown import slugify
 
+#: Whether `md` makes headings of whole lines and has every document; set by `whole` only.
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 FENCE = "\n```\n# no heading\n[code](never.md)\n```\n"
 
 
@@ -18,29 +23,64 @@ def md(spark: SparkSession, sf_dir: str, fenced: bool = False) -> DataFrame:
     """doc_id, path, content: documents as Markdown with headings, links that work and links that don't.
 
     With fenced, every fifth document ends with a code block that looks like a heading and a link.
+    Headings are cut to 40 characters and documents whose partner's id isn't there are missing, as in
+    MD_SQL; within `whole` neither is so.
     """
     docs = table(spark, sf_dir, "documents")
-    n = docs.agg(F.count("*").alias("n"))
-    place = lambda t: F.concat(F.col(f"{t}.lang"), F.lit("/"), F.col(f"{t}.source"), F.lit("/doc-"), F.col(f"{t}.doc_id"), F.lit(".md"))
-    base = docs.alias("d").crossJoin(F.broadcast(n)).join(docs.alias("t"), F.expr("t.doc_id = (d.doc_id * 31 + 7) % n"))
-    base = base.select(
-        F.col("d.doc_id").alias("doc_id"), place("d").alias("path"), F.split("d.text", "\n").alias("lines"),
-        F.concat(F.lit("../../"), place("t")).alias("tgt"), slugify(F.substring(F.substring_index("t.text", "\n", 1), 1, 40)).alias("tslug"),
-    )
+    cut = (lambda x: x) if _WHOLE.get() else (lambda x: F.substring(x, 1, 40))
+    base = _whole_base(docs) if _WHOLE.get() else _base(docs)
 
     def line(x, i):
         return (
-            F.when((i % 4 == 0) & (F.trim(x) != ""), F.concat(F.repeat(F.lit("#"), (F.floor(i / 4) % 4 + 1).cast("int")), F.lit(" "), F.substring(x, 1, 40)))
+            F.when((i % 4 == 0) & (F.trim(x) != ""), F.concat(F.repeat(F.lit("#"), (F.floor(i / 4) % 4 + 1).cast("int")), F.lit(" "), cut(x)))
             .when(i % 4 == 0, x)
             .when(i % 4 == 1, F.concat(x, F.lit(" [ok]("), F.col("tgt"), F.lit("#"), F.col("tslug"), F.lit(")")))
             .when(i % 4 == 2, F.concat(x, F.lit(" [anchor]("), F.col("tgt"), F.lit("#nope-"), i, F.lit(")")))
-            .otherwise(F.concat(x, F.lit(" [file](missing-"), F.col("doc_id"), F.lit(".md) [ext](https://example.org/"), i, F.lit(") ![img](../../assets/img-"), F.col("doc_id") % 7, F.lit(".png)")))
+            .otherwise(F.concat(x, F.lit(" [file](missing-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".md) [ext](https://example.org/"), i, F.lit(") ![img](../../assets/img-"), F.coalesce(F.col("doc_id") % 7, F.lit(0)), F.lit(".png)")))
         )
 
     out = base.select("doc_id", "path", F.array_join(F.transform("lines", line), "\n").alias("content"))
     return out.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(FENCE))).otherwise(F.col("content"))) if fenced else out
 
 
+def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over the corpus of whole lines and all documents."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _WHOLE.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _WHOLE.reset(token)
+
+    return run
+
+
+def _whole_base(docs: DataFrame) -> DataFrame:
+    """doc_id, path, lines, tgt, tslug of every document; partners by a dense number of the distinct rows."""
+    docs = docs.select("doc_id", "lang", "source", "text", F.xxhash64("doc_id", "lang", "source", "text").alias("rk"))
+    # only ids and keys go through the one task that numbers
+    numbers = docs.groupBy("rk").agg(F.first("doc_id").alias("id")).select("rk", (F.row_number().over(Window.orderBy("id", "rk")) - 1).alias("rn"))
+    n = numbers.agg(F.count("*").alias("n"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row-"), "rn"))
+    path = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/doc-"), name, F.lit(".md"))
+    numbered = docs.join(numbers, "rk").withColumn("path", path)
+    tslug = F.coalesce(slugify(F.substring_index("text", "\n", 1)), F.lit(""))
+    ends = numbered.groupBy(F.col("rn").alias("tn")).agg(F.first(F.concat(F.lit("../../"), "path")).alias("tgt"), F.first(tslug).alias("tslug"))
+    return numbered.crossJoin(F.broadcast(n)).join(ends, F.expr("tn = (rn * 31L + 7) % n"), "left").select("doc_id", "path", F.split("text", "\n").alias("lines"), "tgt", "tslug")
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """doc_id, path, lines, tgt, tslug of the documents whose partner's id is there, as in MD_SQL."""
+    n = docs.agg(F.count("*").alias("n"))
+    place = lambda t: F.concat(F.col(f"{t}.lang"), F.lit("/"), F.col(f"{t}.source"), F.lit("/doc-"), F.col(f"{t}.doc_id"), F.lit(".md"))
+    base = docs.alias("d").crossJoin(F.broadcast(n)).join(docs.alias("t"), F.expr("t.doc_id = (d.doc_id * 31 + 7) % n"))
+    return base.select(
+        F.col("d.doc_id").alias("doc_id"), place("d").alias("path"), F.split("d.text", "\n").alias("lines"),
+        F.concat(F.lit("../../"), place("t")).alias("tgt"), slugify(F.substring(F.substring_index("t.text", "\n", 1), 1, 40)).alias("tslug"),
+    )
+
+
 def slug_sql(x: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s-]', '', 'g'), '\s', '-', 'g'), '^-+|-+$', '', 'g')"
 

@@ -15,6 +15,7 @@ from foliospark.operators import scan as S
 from foliospark.operators import split as C
 from foliospark.operators import translate as X
 from foliospark.plans import actions as A
+from foliospark.plans import catalog
 from foliospark.sources import files as SF
 from foliospark.sources import git as G
 from foliospark.sources import templates
@@ -397,3 +398,20 @@ def test_writing(spark, tmp_path):
     os.symlink(tmp_path / "bad.md", tmp_path / "link.md")
     got = {os.path.basename(r.path): r.content for r in SF.read_tree(spark, str(tmp_path)).collect()}
     assert got == {"a.md": "ä\r\n", "b.md": "", "bad.md": "a�b"}
+
+
+# queries over whole texts
+
+
+def test_queries_over_whole_lines_and_all_documents(spark, tmp_path):
+    long = "a heading of many words " * 400 + "end"
+    rows = [(10, f"{long}\nbody [x](y.md)\nmore\nlast\nsecond {long}", "en", "s"), (70, long, "de", "s"), (None, "no id " * 20, "en", "s"), (71, "x " * 3_000 + "\nlink line", None, None), (5000, "short\nlink", "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    heads = {(r.path.split("/doc-")[1].split(".")[0][:4], r.pos): r.text for r in run("headings_ordered_whole")}
+    assert heads["10", 0] == long and heads["10", 1] == f"second {long}" and heads["70", 0] == long and heads["5000", 0] == "short"
+    assert heads["71", 0] == ("x " * 3_000).strip() and heads["row-", 0] == ("no id " * 20).strip() and len(heads) == 6
+    found = {r.destination for r in run("links_extract_whole") if "#" in r.destination and "#nope" not in r.destination}
+    assert len(found) == 3 and all(d.startswith("../../") for d in found)
+    assert not [r for r in run("broken_anchors_whole") if r.destination in found]
+    assert len({r.path for r in run("split_chunks_whole")}) == 5
