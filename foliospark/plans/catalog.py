@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as FF
@@ -126,8 +126,17 @@ def property_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT v, {_QUOTED.format(v="v")} AS quoted FROM vals WHERE v IS NOT NULL"""
 )
 def yaml_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _yaml_quote(spark, sf_dir, F.substring("text", 1, 20))
+
+
+@query()
+def yaml_quote_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _yaml_quote(spark, sf_dir, F.col("text"))
+
+
+def _yaml_quote(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     more = spark.createDataFrame([(x,) for x in ["", "Yes", "null", "- x", "[a]", "it's", "a: b", "9 lives", "plain", "# c", "@x", "x#y", "TRUE"]], "v string")
-    vals = table(spark, sf_dir, "events").select(F.col("props").alias("v")).union(table(spark, sf_dir, "documents").select(F.substring("text", 1, 20))).union(table(spark, sf_dir, "part").select("p_type")).union(more)
+    vals = table(spark, sf_dir, "events").select(F.col("props").alias("v")).union(table(spark, sf_dir, "documents").select(text)).union(table(spark, sf_dir, "part").select("p_type")).union(more)
     return vals.where("v is not null").distinct().select("v", FM.quote(F.col("v")).alias("quoted"))
 
 
@@ -154,6 +163,11 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", M.slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query()
+def slugify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", M.slugify(F.col("text")).alias("slug"))
+
+
 @query(
     f"""WITH {MD_SQL}, {HEADINGS_SQL}
 SELECT h.path, h.slug, min(h.pos) AS at, (SELECT count(*) FROM headings x WHERE x.path = h.path) AS n FROM headings h GROUP BY h.path, h.slug"""
@@ -216,7 +230,16 @@ SELECT doc_id, v, trim(v) <> '' AND NOT regexp_matches(lower(v), '^(https?://|ma
   AND (contains(v, '/') OR contains(v, chr(92)) OR regexp_full_match(v, '.*\.\w+')) AS likely FROM v"""
 )
 def likely_file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.array(F.concat(F.lit("img/"), "doc_id", F.lit(".png")), F.lit("http://x.org/a.png"), F.lit("/abs/a.png"), F.col("source"), F.concat("source", F.lit(".md")), F.lit("a\\b"), F.lit("  "), F.lit("//h/x"), F.substring("text", 1, 12))
+    return _likely_file_path(spark, sf_dir, F.substring("text", 1, 12))
+
+
+@query()
+def likely_file_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _likely_file_path(spark, sf_dir, F.col("text"))
+
+
+def _likely_file_path(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    v = F.array(F.concat(F.lit("img/"), "doc_id", F.lit(".png")), F.lit("http://x.org/a.png"), F.lit("/abs/a.png"), F.col("source"), F.concat("source", F.lit(".md")), F.lit("a\\b"), F.lit("  "), F.lit("//h/x"), text)
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(v).alias("v"))
     return rows.select("doc_id", "v", L.is_likely_file_path(F.col("v")).alias("likely"))
 
@@ -597,8 +620,17 @@ def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, 'To German: ' || source || ' {{unknown}} ' || substr(text, 1, 30) || ' [' || '{{source}}' || ']' AS prompt FROM documents")
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompt_render(spark, sf_dir, F.substring("text", 1, 30))
+
+
+@query()
+def prompt_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompt_render(spark, sf_dir, F.col("text"))
+
+
+def _prompt_render(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
     text = F.lit("To {{language}}: {{source}} {{unknown}} {{text}} [{{mark}}]")
-    values = {"language": T.language_name(F.lit("de-AT")), "source": F.col("source"), "text": F.substring("text", 1, 30), "mark": F.lit("{{source}}")}
+    values = {"language": T.language_name(F.lit("de-AT")), "source": F.col("source"), "text": value, "mark": F.lit("{{source}}")}
     return table(spark, sf_dir, "documents").select("doc_id", T.interpolate(text, values).alias("prompt"))
 
 
@@ -608,7 +640,15 @@ SELECT doc_id, 'Front matter fields to translate:' || chr(10) || chr(10) || '[[t
   t AS title, source AS source_field, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE '' END AS missing, 'the body' AS body FROM v WHERE t <> ''"""
 )
 def field_block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 50))
+    return _field_block_roundtrip(spark, sf_dir, F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 50)))
+
+
+@query()
+def field_block_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _field_block_roundtrip(spark, sf_dir, F.regexp_replace("text", r"^\s+|\s+$", ""))
+
+
+def _field_block_roundtrip(spark: SparkSession, sf_dir: str, t: Column) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("t", t).where("t <> ''")
     fields = F.array(F.struct(F.lit("title").alias("key"), F.col("t").alias("value")), F.struct(F.lit("source").alias("key"), F.col("source").alias("value")))
     rows = rows.withColumn("fields", fields).withColumn("blocks", FF.format_fields(F.col("fields")))

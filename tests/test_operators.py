@@ -415,3 +415,24 @@ def test_queries_over_whole_lines_and_all_documents(spark, tmp_path):
     assert len(found) == 3 and all(d.startswith("../../") for d in found)
     assert not [r for r in run("broken_anchors_whole") if r.destination in found]
     assert len({r.path for r in run("split_chunks_whole")}) == 5
+
+
+def test_queries_over_whole_texts(spark, tmp_path):
+    texts = ["Plain words " * 30 + "end: of it\nnext line, see docs/a.md", "  one\n\n  two " + "x" * 500 + " #tag ", "word " * 40 + "fin", None, " \n\t "]
+    docs = [(i, t, "en", f"s{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("{}",)], "props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([("TIN",)], "p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    slug = lambda t: "".join("-" if c.isspace() else c for c in t.lower() if c.isalnum() or c.isspace() or c == "-").strip("-")
+    assert {r.doc_id: r.slug for r in run("slugify_whole")} == {i: t if t is None else slug(t) for i, t in enumerate(texts)}
+    quoted = {r.v: r.quoted for r in run("yaml_quote_whole")}
+    assert all(t in quoted for t in texts if t is not None) and quoted[texts[2]] == texts[2]
+    assert quoted[texts[0]] != texts[0] and quoted[texts[1]] != texts[1]
+    likely = {r.doc_id: r.likely for r in run("likely_file_path_whole") if r.v == texts[r.doc_id] and r.v}
+    assert likely == {0: True, 1: False, 2: False, 4: False}
+    prompts = {r.doc_id: r.prompt for r in run("prompt_render_whole")}
+    assert all(prompts[i] == f"To German: s{i} {{{{unknown}}}} {texts[i]} [{{{{source}}}}]" for i in (0, 1, 2, 4))
+    fields = {r.doc_id: r for r in run("field_block_roundtrip_whole")}
+    assert {i: r.title for i, r in fields.items()} == {i: texts[i].strip() for i in range(3)}
+    assert all(r.body == "the body" and r.source_field == f"s{i}" and f"[[title]]\n{texts[i].strip()}\n[[/title]]" in r.blocks for i, r in fields.items())
