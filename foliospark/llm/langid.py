@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from .text import lots, small
 
 #: Labelled rows that the models are fitted on (the expected size of a sample by hashed doc_id, which is
-#: the whole table where that is smaller), and the rows that a language needs in it.
+#: the whole table where that is smaller), and the labelled rows that a language needs in the whole table.
 TRAIN_ROWS, LEAST_ROWS = 4_000, 5
+#: Rows that a language has in the sample at least (an expected size, too), or all that it has.
+LANG_ROWS = 200
+_RANGE = 1 << 24
 #: Least share of a language in a document's set, penalty of a further language in units of the
 #: logarithm of the words, and how much likelier (nats) unknown words must be for a rejection.
 MIN_SHARE, PENALTY, MARGIN = 0.05, 3.0, 10.0
@@ -134,12 +137,25 @@ def infer(scores: np.ndarray, counts: np.ndarray, min_share: float, penalty: flo
     return share, known
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, least_rows: int = LEAST_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their trigram log-probabilities (a column each, then one for unknown text) from labelled rows."""
-    labelled = docs.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "lang").alias("h")).where("lang is not null")
-    n = labelled.count()
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, least_rows: int = LEAST_ROWS, lang_rows: int = LANG_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and their trigram log-probabilities (a column each, then one for unknown text) from labelled rows.
+
+    Every language with least_rows labelled rows has a model. The rate of the sample is the same for all
+    languages but those that would have fewer than lang_rows rows in it, which have a higher one.
+    """
+    # rows without a doc_id are told apart by their text
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64("text", "lang")).otherwise(F.xxhash64("doc_id", "lang"))
+    labelled = docs.select("text", F.col("lang").cast("string").alias("lang"), F.pmod(h, F.lit(_RANGE)).alias("h")).where("lang is not null")
+    # a row for each language
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    n = sum(r.n for r in sizes)
+    sizes = [r for r in sizes if r.n >= min(least_rows, n)]
+    # below the limit lies one row at least
+    limits = [(r.lang, max(int(_RANGE * min(1, max(train_rows / max(n, 1), lang_rows / r.n))), r.least + 1)) for r in sizes]
     if n > train_rows:
-        labelled = labelled.where(F.pmod("h", F.lit(1 << 24)) < int((1 << 24) * train_rows / n))
+        limit = docs.sparkSession.createDataFrame(limits, "lang string, most long")
+        labelled = labelled.join(F.broadcast(limit), "lang").where("h < most")
+    known = {lang for lang, _ in limits}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -159,7 +175,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, least_rows: int = LEAST_R
     total = labelled.select("text", "lang").mapInArrow(count, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toPandas()
     langs, columns = [], []
     for lang, g in sorted(total.groupby("lang")):
-        if int(g.n[g.b == -1].iloc[0]) < min(least_rows, n):
+        if lang not in known:
             continue
         x = np.full(BUCKETS, 0.5)
         x[g.b[g.b >= 0]] += g.n[g.b >= 0]

@@ -429,6 +429,14 @@ def test_expectation_maximisation_is_that_of_one_document_at_a_time():
         at += n
 
 
+def test_rare_languages_keep_their_models(spark):
+    rows = [(i, "the common words of every day", "en", "s", 1) for i in range(4_000)] + [(10_000 + i, "qaxo zemi vupu tolk", "xx", "s", 1) for i in range(12)] + [(None, f"harg {i} blon snert", "yy", "s", 1) for i in range(40)] + [(20_000 + i, "few", "zz", "s", 1) for i in range(4)]
+    d = docs_of(spark, rows)
+    assert langid.fit(d, train_rows=100)[0] == ["en", "xx", "yy"] and langid.fit(d, train_rows=100, lang_rows=1)[0] == ["en", "xx", "yy"]
+    got = {r.doc_id: (r.languages, r.accepted) for r in langid.identify(d, train_rows=100).collect()}
+    assert all(got[10_000 + i] == (["xx"], True) for i in range(12)) and got[0] == (["en"], True)
+
+
 def test_unknown_text_is_rejected_and_known_kept(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     junk = spark.createDataFrame([(-1, "zqxj kvwq xxjq qqzk wvxq jjqz " * 20, None, "s", 1), (-2, None, "en", "s", None)], d.schema)
