@@ -18,6 +18,8 @@ from .text import checkpoint_ready
 K, CELL_ROWS, MOST_CENTROIDS, LLOYD_ROUNDS = 10, 64, 1_024, 6
 #: Recall that the number of entries is chosen for, queries that it is measured on, rows of a shard.
 RECALL, PROBES, SHARD_ROWS = 0.95, 256, 16_384
+#: Rows of a length, not the commonest, up to which they are compared with each other.
+FEW_ROWS = 1_024
 _BLOCK = 1_024
 
 
@@ -219,9 +221,10 @@ def nearest(
     measured: sampled queries are compared with all rows, and the number covers `recall` of their true
     neighbours. Cells lie in shards by left centroid; a query goes to the shards its walk has touched.
 
-    Rows with a NULL vec_id, a NULL, empty or zero vector, NULL or non-finite elements, or another
-    length than the longest vectors are left out, as queries and as neighbours. Of a repeated vec_id one
-    row counts (the largest vector). Equal distances: the lower vec_id first. A table of one row or
+    Rows with a NULL vec_id, a NULL, empty or zero vector, or NULL or non-finite elements are left out,
+    as queries and as neighbours. Vectors of each length are searched among themselves: the commonest
+    length and others of more than FEW_ROWS rows with an index each, the rest exactly. Of a repeated
+    vec_id one row counts (the largest vector). Equal distances: the lower vec_id first. A table of one row or
     none has no result; a row has fewer than k neighbours where there are fewer others. Vectors of one
     element are searched as if padded with a zero. Other columns are ignored.
     """
@@ -231,12 +234,35 @@ def nearest(
     rows = rows.withColumn("norm", F.expr("sqrt(aggregate(v, 0d, (s, e) -> s + e * e))")).where("norm > 0 and norm < 1e300")
     rows = rows.select("id", F.expr("transform(v, e -> cast(e / norm as float))").alias("v")).groupBy("id").agg(F.max("v").alias("v"))
     rows = rows.withColumn("dims", F.size("v")).checkpoint()
-    about = rows.groupBy("dims").count().orderBy(F.desc("dims")).first()
+    # a number for each length
+    about = sorted(((r["count"], r["dims"]) for r in rows.groupBy("dims").count().where("count > 1").collect()), reverse=True)
     schema = "vec_id long, rank int, neighbor_id long, distance double"
-    if about is None or about["count"] < 2:
+    if not about:
         return spark.createDataFrame([], schema)
-    dims, n = about["dims"], about["count"]
-    rows = rows.where(F.col("dims") == dims).select("id", "v")
+    indexed = [dims for i, (n, dims) in enumerate(about) if i == 0 or n > FEW_ROWS]
+    found = [_searched(rows.where(F.col("dims") == dims).select("id", "v"), n, dims, k, recall, cell_rows, most_centroids, lloyd_rounds, probes, shard_rows) for n, dims in about[: len(indexed)]]
+    if len(about) > len(indexed):
+
+        def exact(key: tuple, t: pa.Table) -> pa.Table:
+            dims = key[0].as_py()
+            t = t.combine_chunks().sort_by("id")
+            ids, x = t["id"].to_numpy(), _matrix(t["v"].combine_chunks(), dims)
+            d = _far(x, x)
+            np.fill_diagonal(d, np.inf)
+            at = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
+            m = at.shape[1]
+            cols = [np.repeat(ids, m), np.tile(np.arange(1, m + 1, dtype=np.int32), len(ids)), ids[at].reshape(-1), np.take_along_axis(d, at, 1).reshape(-1).astype(float) / 2]
+            return pa.table(cols, ["vec_id", "rank", "neighbor_id", "distance"])
+
+        found.append(rows.where(~F.col("dims").isin(indexed)).select("dims", "id", "v").groupBy("dims").applyInArrow(exact, schema))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _searched(rows: DataFrame, n: int, dims: int, k: int, recall: float, cell_rows: int, most_centroids: int, lloyd_rounds: int, probes: int, shard_rows: int) -> DataFrame:
+    """The result of `nearest` for n rows (id, v) of one length."""
     if dims == 1:
         rows, dims = rows.select("id", F.expr("array_append(v, 0f)").alias("v")), 2
     index, placed = build(rows, n, dims, cell_rows, most_centroids, lloyd_rounds)
@@ -244,7 +270,7 @@ def nearest(
     # whole left centroids fill the shards in their order
     before = np.concatenate(([0], np.cumsum(index.counts.sum(1))[:-1]))
     shard_of = (before // shard_rows).astype(np.int32)
-    shipped = spark.sparkContext.broadcast((index, shard_of))
+    shipped = rows.sparkSession.sparkContext.broadcast((index, shard_of))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, shard_of = shipped.value

@@ -127,6 +127,24 @@ def test_odd_vectors(spark):
     assert nearest(df.where("false")).count() == 0 and nearest(df.where("vec_id = 1")).count() == 0
 
 
+def test_every_length_is_searched_by_itself(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    made = [(i, rng.normal(size=6)) for i in range(120)] + [(500, rng.normal(size=9))] + [(600 + i, rng.normal(size=4)) for i in range(30)] + [(700 + i, rng.normal(size=7)) for i in range(2)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in made], "vec_id bigint, embedding array<double>")
+    unit = {i: v / np.linalg.norm(v) for i, v in made}
+    true = {i: sorted((1 - u @ w, j) for j, w in unit.items() if j != i and len(w) == len(u))[:10] for i, u in unit.items()}
+    for few in (1_024, 20):
+        monkeypatch.setattr("foliospark.llm.ann.FEW_ROWS", few)
+        got = defaultdict(dict)
+        for r in nearest(df).collect():
+            got[r.vec_id][r.rank] = (r.neighbor_id, r.distance)
+        assert set(got) == set(unit) - {500} and [got[700][1][0], got[701][1][0]] == [701, 700]
+        assert all(sorted(got[i]) == list(range(1, len(true[i]) + 1)) for i in got)
+        hits = {i: len({j for j, _ in got[i].values()} & {j for _, j in true[i]}) / len(true[i]) for i in got}
+        assert np.mean([hits[i] for i in range(120)]) > 0.9 and np.mean([hits[600 + i] for i in range(30)]) > (0.999 if few > 30 else 0.9)
+        assert all(np.isclose(d, 1 - unit[i] @ unit[j], atol=1e-5) for i in got for j, d in got[i].values())
+
+
 def test_one_element_vectors_and_ties(spark):
     df = spark.createDataFrame([(i, [1.0]) for i in range(4)], "vec_id bigint, embedding array<float>")
     got = {(r.vec_id, r.rank): r.neighbor_id for r in nearest(df, k=2).collect()}
