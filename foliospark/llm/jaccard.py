@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .text import checkpoint_ready, gram_hashes, lots, mix, row_key, small, word_hashes
+from .text import checkpoint_ready, free_name, gram_hashes, lots, mix, row_key, small, word_hashes
 
-#: Words of a gram, least Jaccard similarity of a pair, and orders in which sets are looked up.
-GRAM, THRESHOLD, ORDERS = 3, 0.5, 10
+#: Words of a gram, and least Jaccard similarity of a pair.
+GRAM, THRESHOLD = 3, 0.5
+#: Counters of the sketch that puts the grams in order (a power of two, a byte each is broadcast), entries of
+#: a range of grams, and members of a block that are joined in one tree.
+BUCKETS, RANGE_ENTRIES, CHUNK = 1 << 22, 500_000, 2_048
 #: Bits of a set's bitmap.
 BITS = 4_096
 
@@ -168,63 +172,107 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(b).view(np.uint64)
 
 
-def join_block(sets: list[np.ndarray], ids: list[int], threshold: float) -> list[tuple[int, int]]:
+def join_block(sets: list[np.ndarray], ids: list[int], threshold: float, queries: Iterable[tuple[int, np.ndarray]] = ()) -> list[tuple[int, int]]:
     """Pairs of ids that link every two similar sets, directly or through others: a forest of true pairs.
 
     Each set is a query against the tree of those before it, which aren't larger; a set that is already
     linked to it through others isn't linked again. Bitmaps bound the overlap with all stored sets at
     once: where they rule all out, the tree isn't entered, else only on the way to those that are left.
+    Then each of the queries (id, set) is linked to every part of the sets that it is similar to.
     """
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-    size = np.array([len(sets[k]) for k in order])
+    size = np.array([len(sets[k]) for k in order], np.int64)
     maps = np.zeros((len(order), BITS // 64), np.uint64)
-    part = np.arange(len(order))
+    # the last place is the query's
+    part = np.arange(len(order) + 1)
     tree, out = PrefixTree(threshold, lambda r: int(part[r])), []
-    for r, k in enumerate(order):
-        x = sets[k]
-        maps[r] = bitmap(x)
-        low = int(np.searchsorted(size[:r], threshold * len(x) - 1e-9))
-        if low < r:
-            both = len(x) + size[low:r]
-            most = (both - np.bitwise_count(maps[low:r] ^ maps[r]).sum(1, dtype=np.int64)) >> 1
-            left = low + np.flatnonzero(most >= threshold * (both - most) - 1e-9)
-            if len(left):
-                for other, _ in tree.matches(x, r, tree.toward(left.tolist())):
-                    a, b = int(part[r]), int(part[other])
-                    if a != b:
-                        part[part == b] = a
-                        out.append((ids[k], ids[order[other]]))
-                        left = left[part[left] != a]
-                        if not len(left):
-                            break
-        tree.add(x, r)
-    return out
 
+    def link(x: np.ndarray, r: int, own: int, bits: np.ndarray, stop: int) -> None:
+        low = int(np.searchsorted(size[:stop], threshold * len(x) - 1e-9))
+        high = int(np.searchsorted(size[:stop], len(x) / threshold + 1e-9, "right"))
+        if low >= high:
+            return
+        both = len(x) + size[low:high]
+        most = (both - np.bitwise_count(maps[low:high] ^ bits).sum(1, dtype=np.int64)) >> 1
+        left = low + np.flatnonzero(most >= threshold * (both - most) - 1e-9)
+        if not len(left):
+            return
+        for other, _ in tree.matches(x, r, tree.toward(left.tolist())):
+            a, b = int(part[r]), int(part[other])
+            if a != b:
+                part[part == a] = b
+                out.append((own, ids[order[other]]))
+                left = left[part[left] != b]
+                if not len(left):
+                    return
 
-def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
-    """doc_id, rk, group_id, group_size, keeper of the documents that have a near duplicate.
-
-    A document's set holds the hashes of its n lower-cased words in a row. Groups are the connected
-    components of the pairs with Jaccard similarity of at least the threshold; group_id is the least
-    doc_id of the group and keeper marks the row that stays: the least doc_id, then the least key.
+    for r, k in enumerate(order):
+        maps[r] = bitmap(sets[k])
+        link(sets[k], r, ids[k], maps[r], r)
+        tree.add(sets[k], r)
+    for own, x in queries:
+        part[-1] = len(order)
+        link(x, len(order), own, bitmap(x), len(order))
+    return out
 
-    Equal sets are merged first. The others meet in blocks: each of `orders` random orders of all grams
-    gives a set its first gram, and every two of these grams are a key, so that sets which merely share
-    a passage seldom meet. The blocks with the same least member are one; its sets go into a prefix
-    tree, once. Two sets of similarity J miss each other with probability (1 - J)**k + k J (1 - J)**(k - 1)
-    for k orders (0.01 at 0.5, 0.002 at 0.6, 4e-6 at 0.8), and only if nothing else links them; every pair found is
-    exact up to 32-bit hash collisions.
 
-    Texts that are NULL or have no words are nobody's duplicates. Repeated rows (same doc_id and text)
-    appear once; NULL doc_ids are the least. Other columns are ignored.
+def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Elements of a set, in the global order, of which a set that is similar enough has one among its own such."""
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+
+
+def pack(keys: np.ndarray, node: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, its entries) of keys and nodes: a key's 40 bits in its range, a node's place in a table of nodes."""
+    table, at = np.unique(node, return_inverse=True)
+    h = mix(keys)
+    r = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    low = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+    order = np.argsort(r, kind="stable")
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(r[order])) + 1, [len(r)]))
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if s == e:
+            continue
+        mine = order[s:e]
+        used, place = np.unique(at[mine], return_inverse=True)
+        k = low[mine]
+        head = np.array([len(mine), len(used)], np.uint32)
+        yield int(r[mine[0]]), b"".join((head.tobytes(), table[used].tobytes(), place.astype(np.uint16).tobytes(), k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint8).tobytes()))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and nodes of packed entries."""
+    n, m = np.frombuffer(data, np.uint32, 2).tolist()
+    table = np.frombuffer(data, np.uint64, m, 8)
+    at = 8 + 8 * m
+    place = np.frombuffer(data, np.uint16, n, at)
+    low = np.frombuffer(data, np.uint32, n, at + 2 * n).astype(np.uint64)
+    high = np.frombuffer(data, np.uint8, n, at + 6 * n).astype(np.uint64)
+    return low | high << np.uint64(32), table[place]
+
+
+def settle(keys: np.ndarray, node: np.ndarray, state: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The new state (a leader for each key) and the distinct pairs (node, leader) of keys that several nodes have.
+
+    A key's leader is the least node of those with which the key came up first; it is one of its nodes.
     """
-    spark = checkpoint_ready(docs.sparkSession)
-    rng = np.random.default_rng(17)
-    turns = [(np.uint64(int(rng.integers(1 << 63)) * 2 + 1), np.uint64(int(rng.integers(1 << 63)))) for _ in range(orders)]
-    two = [(i, j) for i in range(orders) for j in range(i)]
-    first_of, second_of = [i for i, _ in two], [j for _, j in two]
+    k, v = np.concatenate((state[0], keys)), np.concatenate((state[1], node))
+    new = np.concatenate((np.zeros(len(state[0]), bool), np.ones(len(keys), bool)))
+    order = np.lexsort((v, new, k))
+    k, v = k[order], v[order]
+    first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+    start = np.flatnonzero(first)
+    leader = np.repeat(v[start], np.diff(np.append(start, len(k))))
+    other = v != leader
+    shared = np.unique(np.stack([np.concatenate((v[other], leader[other])), np.concatenate((leader[other], leader[other]))], 1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
+    return (k[start], v[start]), shared
+
+
+def _sketched(rows: DataFrame, n: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, rk, node, size) of the rows with words, and the level of each counter of their grams."""
+    parts = max(1, buckets >> 16)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.uint32)
         for b in small(batches):
             texts = b.column(2).to_pylist()
             for i, j in lots(texts):
@@ -233,57 +281,211 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
                 if not full:
                     continue
                 size = np.array([len(sets[k]) for k in full])
-                first = np.concatenate(([0], np.cumsum(size)[:-1]))
                 g = np.concatenate([sets[k] for k in full])
-                whole = np.add.reduceat(mix(g), first)
-                least = np.stack([mix(np.minimum.reduceat(mix(g * a + c), first) + np.uint64(j)) for j, (a, c) in enumerate(turns)], 1)
-                keys = mix(least[:, first_of] + np.uint64(31) * least[:, second_of])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * len(two), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                at, c = np.unique(g & np.uint64(buckets - 1), return_counts=True)
+                counts[at] += c.astype(np.uint32)
+                node = class_of(g, size)
                 pick = pa.array([i + k for k in full])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pick), b.column(1).take(pick), pa.array(whole.view(np.int64)), pa.array(size.astype(np.int32)), flat],
-                    ["doc_id", "rk", "whole", "size", "keys"],
-                )
+                none = pa.nulls(len(full))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(node.view(np.int64)), pa.array(size.astype(np.int32)), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        z = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, parts)] if counts.any() else []
+        none = pa.nulls(len(z), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none.cast(pa.int32()), pa.array(range(len(z)), pa.int32()), pa.array(z, pa.binary())], names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(zlib.decompress(z.as_py()), np.uint32)
+                total[p] = total[p] + x if p in total else x.astype(np.uint64)
+        level = [np.minimum(np.log2(x + 1.0) * 6, 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], ["part", "z"])
+
+    names = ["doc_id", "rk", "node", "size", "part", "z"]
+    both = rows.mapInArrow(sign, "doc_id long, rk long, node long, size int, part int, z binary").checkpoint()
+    levels = np.zeros(buckets, np.uint8)
+    width = buckets // parts
+    # as many bytes as there are counters
+    for r in both.where("part is not null").select("part", "z").repartition("part").mapInArrow(merge, "part int, z binary").toLocalIterator():
+        levels[r.part * width : (r.part + 1) * width] = np.frombuffer(r.z, np.uint8)
+    return both.where("part is null").select("doc_id", "rk", "node", "size"), levels
+
+
+def class_of(g: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of the sets that lie one after the other: equal sets are one class."""
+    return mix(np.add.reduceat(mix(g), np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(np.uint64))
+
+
+def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, buckets: int = BUCKETS, range_entries: int = RANGE_ENTRIES, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, rk, group_id, group_size, keeper of the documents that have a near duplicate.
+
+    A document's set holds the hashes of its n lower-cased words in a row. Groups are the connected
+    components of all pairs with Jaccard similarity of at least the threshold; group_id is the least
+    doc_id of the group and keeper marks the row that stays: the least doc_id, then the least key.
+
+    Equal sets are one class. All grams have one order: by how often they occur, as counters of a
+    fixed number tell, then by hash, so that rare ones come first. Two similar sets have one of the
+    first |s| - ceil(t |s|) + 1 grams of either in common, so no pair is missed: these grams of all
+    classes are gathered by ranges of their hashes, the least class that has a gram leads a block, and
+    every class that shares the gram is a member. A class goes into a block once, however many grams
+    lead it there; a block is joined in a prefix tree (see `join_block`). Blocks of more than `chunk`
+    members are split by hash, with their leader in every part; members that aren't similar to the
+    leader are then compared with the other parts, too. Every pair found is exact up to hash collisions.
 
+    Texts that are NULL or have no words are nobody's duplicates. Repeated rows (same doc_id and text)
+    appear once; NULL doc_ids are the least. Other columns are ignored.
+    """
+    spark = checkpoint_ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("rk"), "text").where("text is not null")
-    signed = rows.mapInArrow(sign, "doc_id long, rk long, whole long, size int, keys array<long>").checkpoint()
-    rep = signed.groupBy("whole", "size").agg(F.min(F.struct("doc_id", "rk")).alias("r"), F.first("keys").alias("keys"))
-    rep = rep.selectExpr("r.rk node", "whole", "size", "keys")
-    blocks = rep.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1")
-    blocks = blocks.select(F.col("nodes")[0].alias("block"), F.explode("nodes").alias("rk")).groupBy("rk").agg(F.collect_set("block").alias("blocks"))
+    signed, levels = _sketched(rows, n, buckets)
+    # one number
+    entries = int((signed.agg(F.sum("size")).first()[0] or 0) * (1 - threshold))
+    ranges = entries // range_entries + 1
+    shipped = spark.sparkContext.broadcast(levels)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shipped.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
+        size_held = docs_held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size_held, docs_held
+            found = list(pack(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)) if held else []
+            held.clear()
+            size_held = docs_held = 0
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["range", "data"])
+
+        for b in small(batches):
+            texts = b.column(0).to_pylist()
+            for i, j in lots(texts):
+                sets = [s for s in gram_sets(texts[i:j], n) if len(s)]
+                if not sets:
+                    continue
+                size = np.array([len(s) for s in sets])
+                g = np.concatenate(sets)
+                node = class_of(g, size)
+                # copies in the same task are taken once; the others are no harm
+                new = np.array([k not in seen for k in node.tolist()])
+                new[np.setdiff1d(np.arange(len(node)), np.unique(node, return_index=True)[1])] = False
+                seen.update(node.tolist() if len(seen) < 1 << 20 else ())
+                if not new.any():
+                    continue
+                g, size, node = g[np.repeat(new, size)], size[new], node[new]
+                key = level[g & np.uint64(buckets - 1)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8)
+                owner = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((key, owner))
+                first = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(prefix_length(size, threshold), size)
+                held.append((key[order[first]], node[owner[first]]))
+                size_held += int(first.sum())
+                docs_held += len(size)
+                if size_held > 1 << 20 or docs_held > 40_000:
+                    yield flush()
+        yield flush()
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range's entries are settled in lots; only a leader for each key is kept between them."""
+        none = np.zeros(0, np.uint64)
+        now, state = None, (none, none)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            nonlocal state, size
+            state, shared = settle(*(np.concatenate(x) for x in zip(*held, strict=True)), state) if held else (state, np.zeros((0, 2), np.uint64))
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(shared[:, c].view(np.int64)) for c in (0, 1)], ["node", "block"])
+
+        for b in batches:
+            for r, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if r != now or size > 8 * range_entries:
+                    yield done()
+                    if r != now:
+                        now, state = r, (none, none)
+                held.append(unpack(data.as_py()))
+                size += len(held[-1][0])
+        yield done()
+
+    gathered = rows.select("text").mapInArrow(prefixes, "range int, data binary").repartition("range").sortWithinPartitions("range", F.xxhash64("data"))
+    met = gathered.mapInArrow(members, "node long, block long").distinct().checkpoint()
+    large = met.groupBy("block").count().where(F.col("count") > chunk).select("block", F.expr(f"cast(ceil(count / {chunk}) as int)").alias("parts")).checkpoint()
+    met = met.join(large.hint("shuffle_hash"), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.withColumn("part", F.explode(F.when(F.expr("node = block"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    met = met.groupBy("node").agg(F.collect_set(F.struct("block", "part", "parts")).alias("blocks"))
+    # the least row of a class stands for it
+    rep = signed.groupBy("node").agg(F.min(F.struct("doc_id", "rk")).alias("r")).selectExpr("node", "r.rk rk")
+    wanted = rep.join(met.hint("shuffle_hash"), "node").select("rk", "node", "blocks").checkpoint()
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            rk, texts, found = b.column("rk").to_pylist(), b.column("text").to_pylist(), b.column("blocks").to_pylist()
+            node, texts, found = b.column("node").to_pylist(), b.column("text").to_pylist(), b.column("blocks").to_pylist()
             for i, j in lots(texts):
                 sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in gram_sets(texts[i:j], n)]
-                flat = [(block, k, s) for k, s, blocks in zip(rk[i:j], sets, found[i:j], strict=True) for block in blocks]
-                cols = list(zip(*flat, strict=True)) if flat else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "rk", "grams"])
+                flat = [(x["block"], x["part"], x["parts"], k, s) for k, s, blocks in zip(node[i:j], sets, found[i:j], strict=True) for x in blocks]
+                cols = list(zip(*flat, strict=True)) if flat else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "part", "parts", "node", "grams"])
 
-    met = rows.select("rk", "text").join(blocks.hint("shuffle_hash"), "rk").select("rk", "text", "blocks")
-    filled = met.mapInArrow(shrink, "block long, rk long, grams binary")
+    filled_as = "block long, part int, parts int, node long, grams binary"
+    texts = rows.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").select("node", "text", "blocks")
+    filled = texts.mapInArrow(shrink, filled_as)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (a, b) of every part of a block, and of large blocks the members that aren't similar to the leader."""
+
         def done(held: dict[int, bytes]) -> pa.RecordBatch:
             sets = [np.frombuffer(x, np.uint32) for x in held.values()]
             pairs = join_block(sets, list(held), threshold) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], pa.int64()) for j in (0, 1)], ["a", "b"])
+            rest = []
+            if now is not None and now[2] > 1:
+                lead = np.frombuffer(held[now[0]], np.uint32)
+                for k, s in zip(held, sets, strict=True):
+                    both = len(np.intersect1d(s, lead, assume_unique=True))
+                    if both < threshold * (len(s) + len(lead) - both) - 1e-9:
+                        rest.append(k)
+            m, none = len(rest), [None] * len(pairs)
+            cols = [[p[0] for p in pairs] + rest, [p[1] for p in pairs] + [None] * m, none + [now[0] if now else None] * m, none + [now[1] if now else None] * m, none + [now[2] if now else None] * m, none + [held[k] for k in rest]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["a", "b", "block", "part", "parts", "grams"])
 
         now, held = None, {}
         for b in batches:
-            for block, rk, grams in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                if block != now and held:
+            for block, part, parts, node, grams in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if (block, part, parts) != now and held:
                     yield done(held)
                     held = {}
-                now = block
-                held[rk] = grams
+                now = (block, part, parts)
+                held[node] = grams
         yield done(held)
 
-    edges = filled.repartition("block").sortWithinPartitions("block").mapInArrow(link, "a long, b long")
+    linked = filled.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(link, "a long, b long, block long, part int, parts int, grams binary").checkpoint()
+    edges = linked.where("block is null").select("a", "b")
+    if large.limit(1).count() and linked.where("block is not null").limit(1).count():
+
+        def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A part's members come first, then what is compared with it from other parts."""
+
+            def done(held: dict[int, bytes], asked: dict[int, bytes]) -> pa.RecordBatch:
+                pairs = join_block([np.frombuffer(x, np.uint32) for x in held.values()], list(held), threshold, ((k, np.frombuffer(x, np.uint32)) for k, x in asked.items())) if asked else []
+                return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+            now, held, asked = None, {}, {}
+            for b in batches:
+                for block, part, _, node, grams, query in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                    if (block, part) != now or len(asked) >= chunk:
+                        yield done(held, asked)
+                        asked = {}
+                        held = held if (block, part) == now else {}
+                    now = (block, part)
+                    (asked if query else held)[node] = grams
+            yield done(held, asked)
+
+        other = F.explode(F.expr("filter(sequence(0, parts - 1), p -> p <> part)"))
+        asked = linked.where("block is not null").select("block", other.alias("p"), "parts", F.col("a").alias("node"), "grams", F.lit(True).alias("query")).withColumnRenamed("p", "part")
+        both = filled.where("parts > 1").withColumn("query", F.lit(False)).unionByName(asked)
+        edges = edges.unionByName(both.repartition("block", "part").sortWithinPartitions("block", "part", "query", "node").mapInArrow(cross, "a long, b long"))
     parts = connected_components(edges).selectExpr("node", "component")
-    named = rep.select("node", "whole", "size").join(parts, "node", "left").select("whole", "size", F.coalesce("component", "node").alias("component"))
-    placed = signed.select("doc_id", "rk", "whole", "size").distinct().join(named, ["whole", "size"])
+    placed = signed.select("doc_id", "rk", "node").distinct().join(parts, "node", "left").select("doc_id", "rk", F.coalesce("component", "node").alias("component"))
     groups = placed.groupBy("component").agg(F.count("*").alias("group_size"), F.min(F.struct("doc_id", "rk")).alias("k")).where("group_size > 1")
     return placed.join(groups, "component").select("doc_id", "rk", F.col("k.doc_id").alias("group_id"), "group_size", (F.col("rk") == F.col("k.rk")).alias("keeper"))
 
@@ -291,9 +493,10 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
 def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """One document of each group of near duplicates (its keeper) and all documents without any, with all columns.
 
-    Repeated rows count as copies: one of them stays. Rows with a NULL or empty text all stay.
+    Repeated rows count as copies: one of them stays. Rows with a NULL or empty text all stay. An empty
+    table stays empty; no column of the documents is taken for one of the operator's own.
     """
-    key = "__foliospark_row"
+    key = free_name(docs, "row")
     found = near_duplicates(docs, **kw).checkpoint()
     drops = found.where("not keeper").select(F.col("rk").alias(key)).distinct()
     kept = docs.withColumn(key, row_key()).join(drops.hint("shuffle_hash"), key, "left_anti")

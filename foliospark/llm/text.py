@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed at a time; a longer document is cut between two words.
@@ -21,13 +22,29 @@ _gap = re.compile(rb"[\t-\r ]")
 
 
 def checkpoint_ready(spark: SparkSession) -> SparkSession:
-    """Give the session a checkpoint folder only where the cluster named none (as in tests)."""
+    """Make the shared folder that spark.checkpoint.dir names the session's checkpoint folder.
+
+    Only a session in one machine may do without the setting (as in tests), as a temporary folder of
+    one machine is no shared one: an error on a cluster.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/foliospark-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliospark-checkpoints-"))
     return spark
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A name that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A 64-bit key of a row that nulls don't break and repeated rows share."""
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\0null")), F.coalesce(F.col(text), F.lit("\0null")))

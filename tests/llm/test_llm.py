@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, html, langid, lines, mixing, pii, tokens
+from foliospark.llm import decontaminate, html, jaccard, langid, lines, mixing, pii, tokens
 from foliospark.llm.ann import nearest
 from foliospark.llm.graph import connected_components
 from foliospark.llm.jaccard import PrefixTree, drop_near_duplicates, near_duplicates
@@ -341,7 +341,8 @@ def _grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("small", [{}, {"chunk": 3, "range_entries": 60, "buckets": 1 << 16}])
+def test_near_duplicates_against_brute_force(spark, small):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, shared = [], " ".join(rng.choice(vocabulary) for _ in range(30))
@@ -368,9 +369,9 @@ def test_near_duplicates_against_brute_force(spark):
                 root[y] = x
     size = Counter(find(i) for i in ids)
     want = {(i, find(i), size[find(i)], find(i) == i) for i in ids if size[find(i)] > 1}
-    got = {(r.doc_id, r.group_id, r.group_size, r.keeper) for r in near_duplicates(docs_of(spark, rows)).collect()}
-    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
-    kept = {r.doc_id for r in drop_near_duplicates(docs_of(spark, rows)).collect()}
+    got = {(r.doc_id, r.group_id, r.group_size, r.keeper) for r in near_duplicates(docs_of(spark, rows), **small).collect()}
+    assert got == want
+    kept = {r.doc_id for r in drop_near_duplicates(docs_of(spark, rows), **small).collect()}
     assert kept == set(ids) - {i for i, _, _, keeper in got if not keeper}
 
 
@@ -387,6 +388,46 @@ def test_prefix_tree_finds_exactly_the_similar_sets():
         assert got == {k: n for k, n in want.items() if n >= 0.5 * (len(s) + len(sets[k]) - n)}
 
 
+def test_a_large_block_is_joined_in_parts(spark):
+    """Documents of one group, of which some are only like others than the leader."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    chain = base[:40] + [f"y{i}" for i in range(40)]
+    rows += [(1000, " ".join(chain)), (1001, " ".join(chain[10:])), (1002, " ".join(chain[28:]))]
+    got = {r.doc_id: (r.group_id, r.group_size) for r in near_duplicates(docs_of(spark, rows), chunk=16).collect()}
+    sets = {i: _grams(t) for i, t in rows}
+    part = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            part[a] = min(part[b] for b in sets if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]))
+    size = Counter(part.values())
+    assert got == {i: (part[i], size[part[i]]) for i in sets if size[part[i]] > 1}
+
+
+def test_leaders_stay_while_a_range_is_settled_in_lots():
+    rng = np.random.default_rng(4)
+    keys, node = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(0, 50, 300).astype(np.uint64)
+    state, links = (np.zeros(0, np.uint64),) * 2, set()
+    for i in range(0, 300, 37):
+        state, shared = jaccard.settle(keys[i : i + 37], node[i : i + 37], state)
+        links |= {tuple(x) for x in shared.tolist()}
+    lead = dict(zip(state[0].tolist(), state[1].tolist(), strict=True))
+    by = defaultdict(set)
+    for k, v in zip(keys.tolist(), node.tolist(), strict=True):
+        by[k].add(v)
+    assert all(lead[k] in nodes for k, nodes in by.items())
+    assert links == {(v, lead[k]) for k, nodes in by.items() if len(nodes) > 1 for v in nodes}
+    got = [jaccard.unpack(d) for _, d in jaccard.pack(keys, node, 7)]
+    assert sorted(np.concatenate([v for _, v in got]).tolist()) == sorted(node.tolist())
+    assert len({k for k, _ in got for k in k.tolist()}) == len(set(keys.tolist()))
+
+
 def test_repeated_rows_count_as_copies(spark):
     got = drop_near_duplicates(docs_of(spark, [(1, "a b c d"), (1, "a b c d"), (2, None), (2, None), (3, "")]))
     assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, "a b c d"), (2, ""), (2, ""), (3, "")]
