@@ -1,5 +1,7 @@
 """The training-data operations against brute force, held-out accuracy and odd inputs."""
 
+import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -280,23 +282,28 @@ def _brute_lines(rows, similarity=lines.SIMILARITY):
             leaves[len(m), m[: lines.DEPTH]].add(m)
             placed.append((i, no, m))
     template = {}
+    order = lambda m: int(hashlib.md5(" ".join(m).encode()).hexdigest()[:15], 16)
     for leaf in leaves.values():
-        groups = []
-        for m in sorted(leaf, key=lambda x: " ".join(x).encode()):
-            best, most = None, -1
-            for g in groups:
-                same = sum((a is None and b == "<*>") or a == b for a, b in zip(g[0], m, strict=True))
-                if same > most:
-                    best, most = g, same
-            if best is not None and most >= similarity * len(m):
-                best[0] = [a if a == b else None for a, b in zip(best[0], m, strict=True)]
-                best[1].append(m)
-            else:
-                groups.append([[None if x == "<*>" else x for x in m], [m]])
-        for t, ms in groups:
-            if sum(x is not None for x in t) >= lines.MIN_FIXED:
-                for m in ms:
-                    template[m] = " ".join(x or "<*>" for x in t)
+        lead = {}
+        for m in leaf:
+            n = len(m)
+            need = math.ceil(similarity * n - 1e-9)
+            k, rest = n - need + 1, max(n - lines.DEPTH, 0)
+            for j in range(k):
+                cut = slice(lines.DEPTH + j * rest // k, lines.DEPTH + (j + 1) * rest // k)
+                first = min((x for x in leaf if x[cut] == m[cut]), key=order)
+                if first != m and sum(x == y for x, y in zip(first, m, strict=True)) >= need:
+                    lead[m] = min(lead.get(m, first), first, key=order)
+        groups = defaultdict(set)
+        for m, x in lead.items():
+            groups[x] |= {x} | ({m} if m not in lead.values() else set())
+        for m in leaf:
+            template[m] = m
+        for ms in groups.values():
+            t = tuple(next(iter(x)) if len(x) == 1 else "<*>" for x in map(set, zip(*ms, strict=True)))
+            if sum(len(set(x)) == 1 for x in zip(*ms, strict=True)) >= similarity * len(t) - 1e-9:
+                template |= dict.fromkeys(ms, t)
+    template = {m: " ".join(t) for m, t in template.items() if sum(x != "<*>" for x in t) >= lines.MIN_FIXED}
     who = defaultdict(set)
     for i, _, m in placed:
         if m in template:
