@@ -12,10 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import checkpoint_ready
-
-#: Neighbours of a query, rows of an average cell, most centroids of a half, rounds of Lloyd's algorithm.
-K, CELL_ROWS, MOST_CENTROIDS, LLOYD_ROUNDS = 10, 64, 1_024, 6
+from .text import checkpoint_ready, mix
+
+#: Neighbours of a query, rows of an average cell, rounds of Lloyd's algorithm.
+K, CELL_ROWS, LLOYD_ROUNDS = 10, 64, 6
+#: Most centroids of a half: what is shipped to the tasks, a number for each pair of centroids, stays below
+#: 8 MB. Beyond 64 * 1,024**2 rows cells grow instead: a walk then takes fewer steps over larger cells.
+MOST_CENTROIDS = 1_024
+#: Rows whose vec_id this divides are the queries of `op2_nearest_neighbours`; all rows are searched.
+EVERY = 20
 #: Recall that the number of entries is chosen for, queries that it is measured on, rows of a shard.
 RECALL, PROBES, SHARD_ROWS = 0.95, 256, 16_384
 #: Rows of a length, not the commonest, up to which they are compared with each other.
@@ -209,17 +214,34 @@ def rerank(index: MultiIndex, x: np.ndarray, ids: np.ndarray, cells: tuple[np.nd
                 yield i + int(w), a, b
 
 
+def shards(rows: np.ndarray, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each left centroid, from its rows."""
+    first, parts, now, size = [], [], 0, 0
+    for n in rows.tolist():
+        if size and size + n > shard_rows:
+            now, size = now + 1, 0
+        first.append(now)
+        parts.append(max(1, -(-n // shard_rows)))
+        size += n
+        if parts[-1] > 1:
+            now, size = now + parts[-1], 0
+    return np.array(first), np.array(parts)
+
+
 def nearest(
     vectors: DataFrame, k: int = K, recall: float = RECALL, cell_rows: int = CELL_ROWS, most_centroids: int = MOST_CENTROIDS,
-    lloyd_rounds: int = LLOYD_ROUNDS, probes: int = PROBES, shard_rows: int = SHARD_ROWS,
+    lloyd_rounds: int = LLOYD_ROUNDS, probes: int = PROBES, shard_rows: int = SHARD_ROWS, every: int = 1,
 ) -> DataFrame:
-    """vec_id, rank (from 1), neighbor_id, distance: the k nearest other rows of every row, by cosine distance.
+    """vec_id, rank (from 1), neighbor_id, distance: the k nearest other rows of every query, by cosine distance.
 
-    Both halves of the unit vectors are quantised separately (Lloyd's algorithm over all rows); a cell
+    Queries are the rows whose vec_id `every` divides (all rows by default); they are searched among all
+    rows. Both halves of the unit vectors are quantised separately (Lloyd's algorithm over all rows); a cell
     is a pair of centroids. A query walks the cells in the order of its summed distance, with a heap,
     until it has met enough entries; these are reranked by exact distance. How many are enough is
     measured: sampled queries are compared with all rows, and the number covers `recall` of their true
-    neighbours. Cells lie in shards by left centroid; a query goes to the shards its walk has touched.
+    neighbours. Cells lie in shards by left centroid; a query goes to the shards its walk has touched. A
+    shard holds whole left centroids, so one of more than shard_rows rows is a shard of its own, cut by
+    the hash of its rows into parts of about shard_rows, each of which its queries go to.
 
     Rows with a NULL vec_id, a NULL, empty or zero vector, or NULL or non-finite elements are left out,
     as queries and as neighbours. Vectors of each length are searched among themselves: the commonest
@@ -240,7 +262,7 @@ def nearest(
     if not about:
         return spark.createDataFrame([], schema)
     indexed = [dims for i, (n, dims) in enumerate(about) if i == 0 or n > FEW_ROWS]
-    found = [_searched(rows.where(F.col("dims") == dims).select("id", "v"), n, dims, k, recall, cell_rows, most_centroids, lloyd_rounds, probes, shard_rows) for n, dims in about[: len(indexed)]]
+    found = [_searched(rows.where(F.col("dims") == dims).select("id", "v"), n, dims, k, recall, cell_rows, most_centroids, lloyd_rounds, probes, shard_rows, every) for n, dims in about[: len(indexed)]]
     if len(about) > len(indexed):
 
         def exact(key: tuple, t: pa.Table) -> pa.Table:
@@ -251,7 +273,9 @@ def nearest(
             np.fill_diagonal(d, np.inf)
             at = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
             m = at.shape[1]
-            cols = [np.repeat(ids, m), np.tile(np.arange(1, m + 1, dtype=np.int32), len(ids)), ids[at].reshape(-1), np.take_along_axis(d, at, 1).reshape(-1).astype(float) / 2]
+            ask = np.flatnonzero(ids % every == 0)
+            at, d, own = at[ask], d[ask], ids[ask]
+            cols = [np.repeat(own, m), np.tile(np.arange(1, m + 1, dtype=np.int32), len(own)), ids[at].reshape(-1), np.take_along_axis(d, at, 1).reshape(-1).astype(float) / 2]
             return pa.table(cols, ["vec_id", "rank", "neighbor_id", "distance"])
 
         found.append(rows.where(~F.col("dims").isin(indexed)).select("dims", "id", "v").groupBy("dims").applyInArrow(exact, schema))
@@ -261,19 +285,18 @@ def nearest(
     return out
 
 
-def _searched(rows: DataFrame, n: int, dims: int, k: int, recall: float, cell_rows: int, most_centroids: int, lloyd_rounds: int, probes: int, shard_rows: int) -> DataFrame:
+def _searched(rows: DataFrame, n: int, dims: int, k: int, recall: float, cell_rows: int, most_centroids: int, lloyd_rounds: int, probes: int, shard_rows: int, every: int) -> DataFrame:
     """The result of `nearest` for n rows (id, v) of one length."""
     if dims == 1:
         rows, dims = rows.select("id", F.expr("array_append(v, 0f)").alias("v")), 2
     index, placed = build(rows, n, dims, cell_rows, most_centroids, lloyd_rounds)
     entries = entries_needed(index, placed, dims, k, recall, probes) + 1  # a query meets itself
-    # whole left centroids fill the shards in their order
-    before = np.concatenate(([0], np.cumsum(index.counts.sum(1))[:-1]))
-    shard_of = (before // shard_rows).astype(np.int32)
-    shipped = rows.sparkSession.sparkContext.broadcast((index, shard_of))
+    # whole left centroids fill the shards in their order; a large one fills several by itself
+    first_of, parts_of = shards(index.counts.sum(1), shard_rows)
+    shipped = rows.sparkSession.sparkContext.broadcast((index, first_of, parts_of))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, shard_of = shipped.value
+        index, first_of, parts_of = shipped.value
         for whole in batches:
             for at in range(0, whole.num_rows, _BLOCK):
                 b = whole.slice(at, _BLOCK)
@@ -281,7 +304,7 @@ def _searched(rows: DataFrame, n: int, dims: int, k: int, recall: float, cell_ro
                 src, cut, to = [], [], []
                 for r in range(b.num_rows):
                     c, used = index.cutoff(da[r], db[r], entries)
-                    for s in np.unique(shard_of[used]).tolist():
+                    for s in sorted({f + p for a in used for f, p in zip([first_of[a]] * parts_of[a], range(parts_of[a]), strict=True)}):
                         src.append(r)
                         cut.append(c)
                         to.append(s)
@@ -291,10 +314,11 @@ def _searched(rows: DataFrame, n: int, dims: int, k: int, recall: float, cell_ro
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.ones(n, bool)), b.column(0).take(take), b.column(1).take(take), empty, empty, pa.array(cut, pa.float64())], _names)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard_of = shipped.value[1]
+        _, first_of, parts_of = shipped.value
         for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of[b.column(2).to_numpy()]), pa.array(np.zeros(n, bool)), b.column(0), b.column(1), b.column(2), b.column(3), pa.nulls(n, pa.float64())], _names)
+            n, a = b.num_rows, b.column(2).to_numpy()
+            part = mix(b.column(0).to_numpy().view(np.uint64)) % parts_of[a].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((first_of[a] + part.astype(np.int64)).astype(np.int32)), pa.array(np.zeros(n, bool)), b.column(0), b.column(1), b.column(2), b.column(3), pa.nulls(n, pa.float64())], _names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A shard's rows come first, then its queries, which are answered as they come."""
@@ -334,7 +358,8 @@ def _searched(rows: DataFrame, n: int, dims: int, k: int, recall: float, cell_ro
 
     _names = ["shard", "query", "id", "v", "a", "b", "cut"]
     fields = "shard int, query boolean, id long, v array<float>, a int, b int, cut double"
-    met = placed.mapInArrow(own, fields).unionByName(placed.select("id", "v").mapInArrow(route, fields))
+    asked = placed.where(F.col("id") % every == 0) if every > 1 else placed
+    met = placed.mapInArrow(own, fields).unionByName(asked.select("id", "v").mapInArrow(route, fields))
     found = met.repartition("shard").sortWithinPartitions("shard", "query").mapInArrow(search, "id long, near array<struct<d: double, j: long>>")
     best = found.groupBy("id").agg(F.expr(f"slice(array_sort(flatten(collect_list(near))), 1, {k})").alias("near"))
     return best.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("p", "x")).selectExpr("vec_id", "cast(p + 1 as int) rank", "x.j neighbor_id", "x.d distance")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ann import nearest
+from .ann import EVERY, nearest
 from .decontaminate import contaminated
 from .html import extract_text
 from .jaccard import near_duplicates
@@ -30,7 +30,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(_table(spark, sf_dir, "embeddings"))
+    return nearest(_table(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, html, jaccard, langid, lines, mixing, pii, tokens
+from foliospark.llm import ann, decontaminate, html, jaccard, langid, lines, mixing, pii, tokens
 from foliospark.llm.ann import nearest
 from foliospark.llm.graph import connected_components
 from foliospark.llm.jaccard import PrefixTree, drop_near_duplicates, near_duplicates
@@ -118,9 +118,31 @@ def test_recall_against_brute_force(spark):
     np.fill_diagonal(s, -9)
     true = np.argsort(-s, 1)[:, :5]
     assert len(got) == len(x)
+    some = nearest(df, k=5, shard_rows=20, cell_rows=16, every=20).collect()
+    assert {r.vec_id for r in some} == set(range(0, len(x), 20)) and np.mean([r.neighbor_id in true[r.vec_id] for r in some]) >= 0.9
     assert np.mean([len(got[i] & set(true[i].tolist())) / 5 for i in range(len(x))]) >= 0.9
 
 
+def test_shards_hold_whole_centroids_or_parts_of_one():
+    first, parts = ann.shards(np.array([3, 4, 2, 25, 1, 9, 0]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 4] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
+def test_recall_of_the_query(spark):
+    """Against brute force over the whole table."""
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet").toPandas()
+    x = np.stack(rows.embedding.to_numpy())
+    y, ids = x / np.linalg.norm(x, axis=1, keepdims=True), rows.vec_id.to_numpy()
+    got = defaultdict(set)
+    for r in queries()["op2_nearest_neighbours"](spark, SF.replace("0.001", "0.1")).collect():
+        got[r.vec_id].add(r.neighbor_id)
+    assert set(got) == set(ids[ids % 20 == 0].tolist())
+    s = y[ids % 20 == 0] @ y.T
+    s[ids[ids % 20 == 0][:, None] == ids[None, :]] = -9
+    true = ids[np.argsort(-s, 1)[:, :10]]
+    assert np.mean([len(got[i] & set(t.tolist())) / 10 for i, t in zip(ids[ids % 20 == 0].tolist(), true, strict=True)]) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 0.0, 0.0]), (4, None), (None, [1.0, 0.0, 0.0]), (5, [1.0]), (6, [float("nan"), 1.0, 0.0]), (7, [1.0, None, 0.0]), (8, []), (9, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<double>, v string, id int")
