@@ -13,7 +13,7 @@ from .html import extract_text
 from .jaccard import near_duplicates
 from .langid import identify
 from .lines import EXACT_DOCS, recurring_lines
-from .mixing import mix_sources
+from .mixing import BITS, GOLDEN, TOKEN, mix_sources
 from .pii import find_pii
 from .repeats import repeated_passages
 from .tokens import token_counts
@@ -74,7 +74,7 @@ _WORDS = r"'[^ \t\n\r\f\v]+'"
 
 _MIX = rf"""
 WITH counted AS (
-  SELECT coalesce(source, '(none)') AS source, doc_id, len(regexp_extract_all(text, {_WORDS})) AS n,
+  SELECT coalesce(source, '(none)') AS source, doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS n,
          md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord
   FROM documents WHERE text IS NOT NULL),
 laid AS (
@@ -84,22 +84,22 @@ laid AS (
 cut AS (
   SELECT source, doc_id, n, start, unnest(range(start // 2000, (start + n - 1) // 2000 + 1)) AS block FROM laid),
 placed AS (
-  SELECT source, block, doc_id, greatest(0, block * 2000 - start) AS word_from, least(n, (block + 1) * 2000 - start) AS word_to FROM cut),
-sums AS (SELECT source, CAST(sum(n) AS BIGINT) AS words FROM counted WHERE n > 0 GROUP BY source),
+  SELECT source, block, doc_id, greatest(0, block * 2000 - start) AS token_from, least(n, (block + 1) * 2000 - start) AS token_to FROM cut),
+sums AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM counted WHERE n > 0 GROUP BY source),
 weighed AS (
-  SELECT source, words, CAST(ceil(words / 2000) AS BIGINT) AS blocks,
-         CAST(greatest(1, floor(pow(words, 0.7) * 1e6 / sum(round(pow(words, 0.7), 3)) OVER ())) AS BIGINT) AS w
+  SELECT source, tokens, CAST(ceil(tokens / 2000) AS BIGINT) AS blocks,
+         CAST(greatest(1, floor(pow(tokens, 0.7) * 1e6 / sum(round(pow(tokens, 0.7), 3)) OVER ())) AS BIGINT) AS w
   FROM sums),
 shares AS (
   SELECT *, CAST(sum(w) OVER (ORDER BY source) AS BIGINT) AS upto, CAST(sum(w) OVER () AS BIGINT) AS total FROM weighed),
 points AS (
-  SELECT slot, (slot * 2654435769) % 4294967296 AS point
+  SELECT slot, (slot::HUGEINT * {GOLDEN}) % {1 << BITS} AS point
   FROM (SELECT unnest(range((SELECT max(((blocks + 64) * total + w - 1) // w) FROM shares))) AS slot)),
 taken AS (
   SELECT p.slot, s.source, s.blocks, row_number() OVER (PARTITION BY s.source ORDER BY p.slot) - 1 AS rank
-  FROM points p JOIN shares s ON p.point * s.total < s.upto * 4294967296 AND p.point * s.total >= (s.upto - s.w) * 4294967296)
+  FROM points p JOIN shares s ON p.point < s.upto::HUGEINT * {1 << BITS} // s.total AND p.point >= (s.upto - s.w)::HUGEINT * {1 << BITS} // s.total)
 SELECT t.slot, t.source, t.rank // t.blocks AS epoch, t.rank % t.blocks AS block, p.doc_id,
-       CAST(p.word_from AS BIGINT) AS word_from, CAST(p.word_to AS BIGINT) AS word_to
+       CAST(p.token_from AS BIGINT) AS token_from, CAST(p.token_to AS BIGINT) AS token_to
 FROM taken t JOIN placed p ON p.source = t.source AND p.block = t.rank % t.blocks
 WHERE t.slot <= (SELECT max(slot) FROM taken WHERE rank = blocks - 1)
 """

@@ -8,8 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
+#: Characters of a chunk and of its overlap with the next one at first.
+CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: No alternative of PATTERN matches across a change from other characters to white space, so the
@@ -84,7 +88,45 @@ def splice(codec: Codec, text: str, chunk: int, overlap: int, proof: re.Pattern[
         start = nxt + found[1]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str = TOKENIZER, chunk_chars: int = 32_768, overlap_chars: int = 512) -> DataFrame:
+def _shipped(spark: SparkSession, tokenizer_path: str) -> Broadcast[bytes]:
+    with open(tokenizer_path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _codec(raw: bytes) -> Codec:
+    """The codec of a vocabulary, one in each process."""
+    key = hash(raw)
+    if key not in _codecs:
+        _codecs[key] = Codec(raw)
+    return _codecs[key]
+
+
+def encoded(codec: Codec, text: str | None, chunk_chars: int, overlap_chars: int) -> tuple[int | None, int, int]:
+    """Tokens of the whole text, the chunks that it took, and how often an overlap was widened."""
+    if text is None:
+        return None, 0, 0
+    if len(text) <= chunk_chars + overlap_chars:
+        return len(codec.ids(text)), 1, 0
+    ids, chunks, wide = splice(codec, text, chunk_chars, overlap_chars)
+    return len(ids), chunks, wide
+
+
+def count_column(rows: DataFrame, text: str, name: str, tokenizer_path: str = TOKENIZER, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """The rows with the number of tokens as column `name` (bigint) in place of the column `text`; NULL for NULL."""
+    shipped = _shipped(rows.sparkSession, tokenizer_path)
+    at = rows.columns.index(text)
+    schema = StructType([StructField(name, LongType()) if i == at else f for i, f in enumerate(rows.schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shipped.value)
+        for b in batches:
+            n = pa.array([encoded(codec, t, chunk_chars, overlap_chars)[0] for t in b.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([n if i == at else c for i, c in enumerate(b.columns)], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str = TOKENIZER, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """doc_id, n_tokens, n_chunks, n_widened of every row, in one pass without a shuffle.
 
     Texts of up to chunk_chars + overlap_chars characters are encoded at once, longer ones in chunks
@@ -92,28 +134,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str = TOKENIZER, chunk_chars:
     chunk; empty text: 0 tokens, 1 chunk. Repeated rows and NULL doc_ids are rows like others; further
     columns are ignored, whatever their names. The vocabulary (fixed size) is broadcast.
     """
-    spark = docs.sparkSession
-    with open(tokenizer_path, "rb") as f:
-        shipped = spark.sparkContext.broadcast(f.read())
+    shipped = _shipped(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = shipped.value
-        key = hash(raw)
-        if key not in _codecs:
-            _codecs[key] = Codec(raw)
-        codec = _codecs[key]
+        codec = _codec(shipped.value)
         for b in batches:
-            n, c, w = [], [], []
-            for t in b.column(1).to_pylist():
-                if t is None:
-                    ids, chunks, wide = None, 0, 0
-                elif len(t) <= chunk_chars + overlap_chars:
-                    ids, chunks, wide = codec.ids(t), 1, 0
-                else:
-                    ids, chunks, wide = splice(codec, t, chunk_chars, overlap_chars)
-                n.append(None if ids is None else len(ids))
-                c.append(chunks)
-                w.append(wide)
+            n, c, w = zip(*(encoded(codec, t, chunk_chars, overlap_chars) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int32()), pa.array(w, pa.int32())],
                 ["doc_id", "n_tokens", "n_chunks", "n_widened"],

@@ -43,7 +43,7 @@ def clash(df):
 
 OPERATORS = {
     "tokens": lambda d: tokens.token_counts(d),
-    "mix": lambda d: mixing.mix_sources(d, block_words=50),
+    "mix": lambda d: mixing.mix_sources(d, block_tokens=50),
     "lines": lambda d: lines.recurring_lines(d),
     "dedup_lines": lambda d: lines.dedup_lines(d),
     "near": lambda d: near_duplicates(d),
@@ -182,11 +182,11 @@ def test_schedule_covers_all_words_in_proportion(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randint(1, 90)), "en", rng.choice(["a", "a", "a", "b", None]), 1) for i in range(300)]
     d = docs_of(spark, rows)
-    got = mixing.mix_sources(d, {"a": 1.0, "b": 1.0, "(none)": 2.0}, block_words=64).collect()
+    got = mixing.mix_sources(d, {"a": 1.0, "b": 1.0, "(none)": 2.0}, block_tokens=64).collect()
     first = Counter()
     for r in got:
         if r.epoch == 0:
-            first[r.doc_id] += r.word_to - r.word_from
+            first[r.doc_id] += r.token_to - r.token_from
     assert first == Counter({r[0]: len(r[1].split()) for r in rows})
     slots = Counter({s: len({r.slot for r in got if r.source == s}) for s in ("a", "b", "(none)")})
     total = sum(slots.values())
@@ -197,11 +197,33 @@ def test_schedule_covers_all_words_in_proportion(spark):
         assert all(abs(k - t * share) < 4 for k, t in enumerate(at))
     blocks = Counter()
     for r in got:
-        blocks[r.slot] += r.word_to - r.word_from
+        blocks[r.slot] += r.token_to - r.token_from
     last = {s: -(-sum(len(r[1].split()) for r in rows if (r[3] or "(none)") == s) // 64) - 1 for s in slots}
     assert all(n == 64 for t, n in blocks.items() if next((r.source, r.block) for r in got if r.slot == t) not in last.items())
 
 
+def test_points_beyond_32_bits(spark):
+    rng = random.Random(1)
+    slots = [0, 1, 2**31 - 1, 2**31, 2**31 + 1, 2**40, 8_300_000_000, 2**62 - 1, *(rng.getrandbits(62) for _ in range(200))]
+    got = spark.createDataFrame([(x,) for x in slots], "slot bigint").select("slot", mixing.golden_point(F.col("slot")).alias("p")).collect()
+    assert [r.p for r in got] == [r.slot * mixing.GOLDEN % 2**62 for r in got] and abs(mixing.GOLDEN / 2**62 - 0.6180339887498949) < 1e-12
+    # of 100,000 slots from 8.3e9 on, each tenth of the points takes its share
+    far = spark.range(8_300_000_000, 8_300_100_000).select((mixing.golden_point(F.col("id")) / 2.0**62 * 10).cast("int").alias("t")).groupBy("t").count().collect()
+    assert len(far) == 10 and all(abs(r["count"] - 10_000) < 10 for r in far)
+
+
+def test_many_sources_and_vocabulary_tokens(spark):
+    rng = random.Random(7)
+    rows = [(i, "some words, and more " * rng.randint(1, 9), "en", f"s{i % 700}", 1) for i in range(1_500)]
+    got = mixing.mix_sources(docs_of(spark, rows), block_tokens=40, tokenizer_path=tokens.TOKENIZER).collect()
+    once = Counter()
+    for r in got:
+        if r.epoch == 0:
+            once[r.doc_id] += r.token_to - r.token_from
+    codec = _codec()
+    assert once == Counter({r[0]: len(codec.ids(r[1])) for r in rows}) and len({r.source for r in got}) == 700
+
+
 def test_sources_without_weight_get_no_slot(spark):
     d = docs_of(spark, [(1, "a b c", "en", "x", 5), (2, "a b", "en", "y", 3), (3, None, "en", "x", None)])
     assert {r.source for r in mixing.mix_sources(d, {"x": 1.0, "y": 0.0}).collect()} == {"x"}
@@ -654,8 +676,9 @@ def test_pipeline_stages_take_effect(spark):
     once = Counter()
     for r in last:
         if r.epoch == 0:
-            once[r.doc_id] += r.word_to - r.word_from
-    assert once == Counter({r.doc_id: len(r.text.split()) for r in docs.collect()})
+            once[r.doc_id] += r.token_to - r.token_from
+    codec = _codec()
+    assert once == Counter({r.doc_id: len(codec.ids(r.text)) for r in docs.collect()})
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, last))
 
 
