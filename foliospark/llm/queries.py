@@ -163,10 +163,10 @@ FROM parts p JOIN numbered n ON n.node = p.node JOIN numbered k ON k.node = p.pa
 _NORMAL = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 _CONTAMINATED = rf"""
-WITH items AS (SELECT DISTINCT item_id, string_split({_NORMAL}, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+WITH items AS (SELECT DISTINCT item_id, {_NORMAL} AS t, string_split({_NORMAL}, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
 strings AS (
   SELECT DISTINCT item_id, ' ' || array_to_string(w[i : i + 12], ' ') || ' ' AS s
-  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM items WHERE len(w) >= 6)),
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM items WHERE t <> '' AND (len(w) >= 6 OR length(t) >= 40))),
 texts AS (SELECT DISTINCT doc_id, text, ' ' || {_NORMAL} || ' ' AS t FROM documents WHERE text IS NOT NULL),
 hits AS (SELECT doc_id, text, item_id, count(*) AS n FROM texts JOIN strings ON contains(t, s) GROUP BY ALL)
 SELECT doc_id, item_id, max(n) AS n_strings FROM hits GROUP BY doc_id, item_id

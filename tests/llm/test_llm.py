@@ -622,11 +622,11 @@ def test_repeats_against_brute_force(spark, group_runs):
 # decontamination
 
 
-@pytest.mark.parametrize("pass_chars", [32_000_000, 300])
-def test_contamination_against_brute_force(spark, pass_chars):
+@pytest.mark.parametrize("pass_bytes", [32_000_000, 300])
+def test_contamination_against_brute_force(spark, pass_bytes):
     rng = random.Random(13)
     words = [f"t{i}" for i in range(50)]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([3, 6, 9, 15, 30])))) for k in range(25)] + [(99, None), (98, ""), (3, "again " * 8)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([3, 6, 9, 15, 30])))) for k in range(25)] + [(99, None), (98, ""), (3, "again " * 8), (97, "\u8fd9\u662f\u4e00\u4e2a\u957f" * 9), (96, "\u77ed")]
     rows = []
     for i in range(50):
         w = [rng.choice(words) for _ in range(rng.randint(0, 60))]
@@ -634,7 +634,7 @@ def test_contamination_against_brute_force(spark, pass_chars):
             part = (rng.choice(items[:25])[1]).split()
             w[5:5] = part[: rng.randint(1, len(part))]
         rows.append((i, ", ".join(x.upper() for x in w)))
-    rows += [rows[0], (None, rows[0][1]), (70, None), (71, "")]
+    rows += [rows[0], (None, rows[0][1]), (70, None), (71, ""), (72, "before " + "\u8fd9\u662f\u4e00\u4e2a\u957f" * 9 + "."), (73, "\u77ed")]
     bench = spark.createDataFrame([(*x, "b") for x in items], "item_id bigint, text string, doc_id string")
     d = docs_of(spark, rows)
     want = defaultdict(int)
@@ -644,15 +644,32 @@ def test_contamination_against_brute_force(spark, pass_chars):
             n = sum(s in decontaminate.normal(t or "") for s in strings)
             if n:
                 want[i, item] = max(want[i, item], n)
-    got = {(r.doc_id, r.item_id): r.n_strings for r in decontaminate.contaminated(d, bench, pass_chars=pass_chars).collect()}
+    got = {(r.doc_id, r.item_id): r.n_strings for r in decontaminate.contaminated(d, bench, pass_bytes=pass_bytes).collect()}
     assert got == dict(want) and got
-    kept = sorted(str(r.doc_id) for r in decontaminate.decontaminate(d, bench, pass_chars=pass_chars).collect())
+    kept = sorted(str(r.doc_id) for r in decontaminate.decontaminate(d, bench, pass_bytes=pass_bytes).collect())
     assert kept == sorted(str(i) for i, t in rows if not any(s in decontaminate.normal(t or "") for _, x in items for s in decontaminate.strings_of(x)))
 
 
+def test_a_large_benchmark_is_held_once():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5_000)]
+    items = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(800)]
+    made = [decontaminate.windows_of(x) for x in items]
+    at = np.cumsum([0] + [len(raw) for raw, _, _ in made])
+    joined = [np.concatenate([np.array(m[k]) + a for m, a in zip(made, at, strict=False)]) for k in (1, 2)]
+    finder = decontaminate.WuManber(b"".join(raw for raw, _, _ in made), *joined, np.repeat(np.arange(800), [len(m[1]) for m in made]))
+    assert len(finder.shift) < 3 * at[-1] and len(finder.text) == at[-1]
+    for k in (0, 399, 799):
+        w = items[k].split()
+        doc = decontaminate.normal(" ".join([*words[:50], *w[100:120], *words[60:90]])).encode()
+        assert {o for o, _ in finder.search(doc)} == {k} and len(finder.search(doc)) == 8
+    assert not finder.search(decontaminate.normal(" ".join(rng.choice(words) for _ in range(3_000))).encode())
+
+
 def test_empty_benchmark(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     d = docs_of(spark, odd_rows())
+    assert sorted(map(str, decontaminate.contaminated(clash(d), spark.createDataFrame([(1, "one line of text here and a second line there", "x")], "item_id int, text string, doc_id string")).collect())) == ["Row(doc_id=4, item_id=1, n_strings=1)", "Row(doc_id=None, item_id=1, n_strings=1)"]
     assert decontaminate.contaminated(d, bench).count() == 0 and decontaminate.decontaminate(d, bench).count() == d.count()
     assert decontaminate.decontaminate(clash(d), bench).columns == clash(d).columns
 
