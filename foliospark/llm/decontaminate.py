@@ -20,7 +20,7 @@ WINDOW, MIN_WORDS, MIN_CHARS = 13, 6, 40
 #: a pass is at most six times as much.
 PASS_BYTES = 32_000_000
 #: Longest block in bytes.
-BLOCK = 16
+BLOCK = 32
 _other = re.compile(r"[\W_]+")
 
 
@@ -67,7 +67,7 @@ class WuManber:
         self.text, self.start, self.end, self.owner = text, start[order], end[order], owner[order]
         self.m = m = int(min((end - start).min(), 255))
         # blocks long enough that a chance block of the text is rarely one of a string
-        self.block = b = max(1, min(m, BLOCK, math.ceil(math.log(2 * len(text) + 2, 5))))
+        self.block = b = max(1, min(m, BLOCK, math.ceil(math.log(20 * len(text) + 2, 3))))
         self.prime = _prime(max(1 << 16, 2 * len(text)))
         at = np.arange(b, len(text) + 1)
         # of the strings whose first m bytes hold the block that ends here, the first has the least shift
@@ -104,7 +104,7 @@ class WuManber:
             if s:
                 i += s
                 continue
-            k = int(np.searchsorted(self.keys, place))
+            k = int(np.searchsorted(self.keys, np.uint32(place)))
             while k < len(self.keys) and self.keys[k] == place:
                 w = int(self.by[k])
                 string = self.text[self.start[w] : self.end[w]]
