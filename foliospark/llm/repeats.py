@@ -89,8 +89,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
     least two documents. Every suffix of a document belongs to the group of a gram in its beginning;
     groups that hold one document's suffixes end there. A group's suffixes form a suffix tree down to
     the depth min_words; an internal node that deep, with leaves of two documents, is the beginning of
-    a repeat, and the repeats that begin at successive words make up the maximal ones. Groups of more
-    than group_runs runs are split by longer prefixes, of min_words words: each is then such a node.
+    a repeat, and the repeats that begin at successive words make up the maximal ones. Prefixes are as
+    long as it takes for a group to fit in memory: where more than group_runs runs share the gram, a
+    suffix goes by its first min_words words, which is the longest prefix that can matter, as a group
+    is one such node then; its suffixes are taken as they come.
 
     NULL, empty and shorter texts have no passages. A repeated row (same doc_id and text) is the same
     document; equal texts under different (or one NULL) doc_ids are different documents. Other columns
@@ -106,10 +108,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
                 d, first, last, key = suffix_runs(*word_hashes(texts[i:j]), min_words, prefix)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rk[i:j][d]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["key", "rk", "f", "l"])
 
-    runs = rows.select("rk", "text").mapInArrow(split, "key long, rk long, f int, l int")
-    of_key = Window.partitionBy("key")
-    runs = runs.select("key", "rk", "f", "l", F.min("rk").over(of_key).alias("a"), F.max("rk").over(of_key).alias("b"), F.count("*").over(of_key).alias("n"))
-    runs = runs.where("a <> b").select("rk", F.struct("key", "f", "l", (F.col("n") > group_runs).alias("hot")).alias("run"))
+    # runs are shuffled once by key: both the counts and the join read that, row by row, so that no task
+    # holds a key's runs; the counts take all columns for the shuffle to be the same
+    runs = rows.select("rk", "text").mapInArrow(split, "key long, rk long, f int, l int").repartition("key")
+    groups = runs.groupBy("key").agg(F.min("rk").alias("a"), F.max("rk").alias("b"), F.expr("count(f, l)").alias("n")).where("a <> b").select("key", (F.col("n") > group_runs).alias("hot"))
+    runs = runs.join(groups.hint("shuffle_hash"), "key").select("rk", F.struct("key", "f", "l", "hot").alias("run"))
     # a repeated row has its runs more than once
     runs = runs.groupBy("rk").agg(F.collect_set("run").alias("runs"))
     texts = rows.join(runs.hint("shuffle_hash"), "rk")
