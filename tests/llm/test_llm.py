@@ -699,6 +699,21 @@ def test_pipeline_stages_take_effect(spark):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, last))
 
 
+def test_pipeline_stages_take_odd_rows(spark):
+    plain = docs_of(spark, odd_rows())
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == "mixing"
+        got = stage(spark, plain, SF)
+        assert stage(spark, plain.where("false"), SF).count() == 0, name
+        wide = stage(spark, clash(plain), SF)
+        assert wide.columns == (got.columns if last else clash(plain).columns), name
+        assert sorted(map(str, wide.select(got.columns).collect())) == sorted(map(str, got.collect())), name
+        if not last:
+            names = [("__row", "x"), ("__drop", "x"), ("_foliospark", "x")]
+            odd = plain.selectExpr("*", *[f"'{v}' {k}" for k, v in names])
+            assert stage(spark, odd, SF).columns == odd.columns, name
+
+
 def test_every_operation_has_its_query():
     found = {int(n[2:].split("_")[0]) for n in queries()}
     assert found == set(range(1, 11)) and set(oracle_sql()) <= set(queries())
