@@ -15,9 +15,12 @@ from .text import checkpoint_ready, free_name, gram_hashes, lots, mix, row_key,
 
 #: Words of a gram, and least Jaccard similarity of a pair.
 GRAM, THRESHOLD = 3, 0.5
-#: Counters of the sketch that puts the grams in order (a power of two, a byte each is broadcast), entries of
-#: a range of grams, and members of a block that are joined in one tree.
-BUCKETS, RANGE_ENTRIES, CHUNK = 1 << 22, 500_000, 2_048
+#: Counters that tell heavy grams (a power of two, a byte each is broadcast), entries of a range of grams,
+#: and members of a block that are joined in one tree.
+BUCKETS, RANGE_ENTRIES, CHUNK = 1 << 20, 1_000_000, 2_048
+#: Levels from here on are those of heavy grams.
+HEAVY_LEVEL = 192
+_ODD = 0x9E3779B97F4A7C15
 #: Bits of a set's bitmap.
 BITS = 4_096
 
@@ -39,20 +42,20 @@ def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 
 
 class _Node:
-    __slots__ = ("label", "children", "sets", "least", "most", "part", "up")
+    __slots__ = ("label", "children", "sets", "least", "most", "longest", "part", "up")
 
     def __init__(self, label: np.ndarray, number: int, up: _Node | None):
         self.label, self.up = label, up
         self.children: dict[int, _Node] = {}
         self.sets: list[int] = []
-        self.least = self.most = 0
+        self.least = self.most = self.longest = 0
         self.part = number
 
 
 class PrefixTree:
     """Globally ordered sets with their common prefixes stored once; edges hold runs of elements.
 
-    The numbered sets belong to parts, `root(number)`, that may be united as time goes on; every node
+    A set may have more elements than are stored, `size` in all: those that no other set has. The numbered sets belong to parts, `root(number)`, that may be united as time goes on; every node
     knows a set of the one part that all sets below it belong to, or -1 where there are several.
     """
 
@@ -62,35 +65,38 @@ class PrefixTree:
     def __init__(self, threshold: float, root: Callable[[int], int] = lambda number: number):
         self.root = _Node(np.zeros(0, np.uint32), -1, None)
         self.at: dict[int, _Node] = {}
+        self.size: dict[int, int] = {}
         self.t = threshold
         self.of = root
 
-    def add(self, s: np.ndarray, number: int) -> None:
-        node, at, size = self.root, 0, len(s)
+    def add(self, s: np.ndarray, number: int, size: int | None = None) -> None:
+        node, at, n = self.root, 0, len(s)
+        full = self.size[number] = n if size is None else size
         while True:
             if not node.most:
                 node.part = number
             elif node.part >= 0 and self.of(node.part) != self.of(number):
                 node.part = -1
-            node.least = min(node.least, size) if node.most else size
-            node.most = max(node.most, size)
-            if at == size:
+            node.least = min(node.least, full) if node.most else full
+            node.most, node.longest = max(node.most, full), max(node.longest, n)
+            if at == n:
                 node.sets.append(number)
                 self.at[number] = node
                 return
             child = node.children.get(int(s[at]))
             if child is None:
                 leaf = self.at[number] = _Node(s[at:], number, node)
-                leaf.least = leaf.most = size
+                leaf.least = leaf.most = full
+                leaf.longest = n
                 leaf.sets.append(number)
                 node.children[int(s[at])] = leaf
                 return
-            k = min(len(child.label), size - at)
+            k = min(len(child.label), n - at)
             differ = np.flatnonzero(child.label[:k] != s[at : at + k])
             same = int(differ[0]) if len(differ) else k
             if same < len(child.label):
                 top = _Node(child.label[:same], child.part, node)
-                top.least, top.most = child.least, child.most
+                top.least, top.most, top.longest = child.least, child.most, child.longest
                 child.label, child.up = child.label[same:], top
                 top.children[int(child.label[0])] = child
                 node.children[int(top.label[0])] = top
@@ -115,17 +121,18 @@ class PrefixTree:
                 node = node.up
         return way
 
-    def matches(self, x: np.ndarray, number: int | None = None, way: set[int] | None = None) -> Iterator[tuple[int, int]]:
-        """(number, overlap) of the stored sets with Jaccard similarity of at least t to x.
+    def matches(self, x: np.ndarray, number: int | None = None, way: set[int] | None = None, size: int | None = None) -> Iterator[tuple[int, int]]:
+        """(number, overlap) of the stored sets with Jaccard similarity of at least t to x, which has `size` elements in all.
 
         On the way down the partial overlap of a prefix is shared by all sets below it. With o elements
-        in common so far, r of x above the prefix's last element, and depth d, a set of size s below has
-        an overlap of at most o + min(r, s - d); a subtree goes when that falls short for all its sizes.
-        With a number of x, sets that are of its part when they are met are left out; with a way (see
-        `toward`), nodes that aren't on it.
+        in common so far, r of x above the prefix's last element, depth d and l elements in the longest
+        set below, no overlap there exceeds o + min(r, l - d); a subtree goes when that falls short of
+        what its smallest set takes. With a number of x, sets that are of its part when they are met are
+        left out; with a way (see `toward`), nodes that aren't on it.
         """
         t, n = self.t, len(x)
-        low, high = t * n - 1e-9, n / t + 1e-9
+        full = n if size is None else size
+        low, high = t * full - 1e-9, full / t + 1e-9
         stack = [(self.root, 0, 0, 0)]
         while stack:
             node, depth, overlap, used = stack.pop()
@@ -134,6 +141,7 @@ class PrefixTree:
             if way is not None and id(node) not in way:
                 continue
             label, dead, at = node.label, False, 0
+            smallest = max(node.least, low)
             while at < len(label):
                 part = label[at : at + self.STEP]
                 place = np.searchsorted(x, part)
@@ -141,29 +149,22 @@ class PrefixTree:
                 overlap += int((x[place[inside]] == part[inside]).sum())
                 at += len(part)
                 used = int(np.searchsorted(x, part[-1], "right"))
-                s = min(max(node.least, low), node.most)
-                # the bound overlap/(n + s - overlap) falls with s once s - d exceeds r, and rises before
-                if not self._possible(overlap, n, n - used, depth + at, s, min(node.most, high)):
+                most = overlap + min(n - used, node.longest - depth - at)
+                if most < t * (full + smallest - most) - 1e-9:
                     dead = True
                     break
             if dead:
                 continue
             depth += len(label)
-            if node.sets and overlap >= t * (n + depth - overlap) - 1e-9:
-                for k in node.sets:
-                    if number is None or self.of(k) != self.of(number):
-                        yield k, overlap
+            for k in node.sets:
+                if overlap >= t * (full + self.size[k] - overlap) - 1e-9 and (number is None or self.of(k) != self.of(number)):
+                    yield k, overlap
             # the branch that x itself would take comes first
             own = node.children.get(int(x[used])) if used < n else None
             stack += [(c, depth, overlap, used) for c in node.children.values() if c is not own]
             if own is not None:
                 stack.append((own, depth, overlap, used))
 
-    def _possible(self, o: int, n: int, r: int, d: int, least: float, most: float) -> bool:
-        s = min(max(least, d + r), most)
-        best = o + min(r, s - d)
-        return best >= self.t * (n + s - best) - 1e-9
-
 
 def bitmap(s: np.ndarray) -> np.ndarray:
     """BITS bits of a set, one for the hash of each element: two sets differ in as many elements as bits at least."""
@@ -172,32 +173,35 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(b).view(np.uint64)
 
 
-def join_block(sets: list[np.ndarray], ids: list[int], threshold: float, queries: Iterable[tuple[int, np.ndarray]] = ()) -> list[tuple[int, int]]:
+def join_block(sets: list[np.ndarray], ids: list[int], threshold: float, sizes: list[int] | None = None, queries: Iterable[tuple[int, np.ndarray, int]] = ()) -> list[tuple[int, int]]:
     """Pairs of ids that link every two similar sets, directly or through others: a forest of true pairs.
 
     Each set is a query against the tree of those before it, which aren't larger; a set that is already
     linked to it through others isn't linked again. Bitmaps bound the overlap with all stored sets at
     once: where they rule all out, the tree isn't entered, else only on the way to those that are left.
-    Then each of the queries (id, set) is linked to every part of the sets that it is similar to.
+    Then each of the queries (id, set, size) is linked to every part of the sets that it is similar to.
+    Sets may have further elements of their own, which their sizes count.
     """
-    order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-    size = np.array([len(sets[k]) for k in order], np.int64)
+    full = sizes or [len(s) for s in sets]
+    order = sorted(range(len(ids)), key=lambda k: (full[k], ids[k]))
+    size = np.array([full[k] for k in order], np.int64)
+    held = np.array([len(sets[k]) for k in order], np.int64)
     maps = np.zeros((len(order), BITS // 64), np.uint64)
     # the last place is the query's
     part = np.arange(len(order) + 1)
     tree, out = PrefixTree(threshold, lambda r: int(part[r])), []
 
-    def link(x: np.ndarray, r: int, own: int, bits: np.ndarray, stop: int) -> None:
-        low = int(np.searchsorted(size[:stop], threshold * len(x) - 1e-9))
-        high = int(np.searchsorted(size[:stop], len(x) / threshold + 1e-9, "right"))
+    def link(x: np.ndarray, n: int, r: int, own: int, bits: np.ndarray, stop: int) -> None:
+        low = int(np.searchsorted(size[:stop], threshold * n - 1e-9))
+        high = int(np.searchsorted(size[:stop], n / threshold + 1e-9, "right"))
         if low >= high:
             return
-        both = len(x) + size[low:high]
-        most = (both - np.bitwise_count(maps[low:high] ^ bits).sum(1, dtype=np.int64)) >> 1
-        left = low + np.flatnonzero(most >= threshold * (both - most) - 1e-9)
+        most = (len(x) + held[low:high] - np.bitwise_count(maps[low:high] ^ bits).sum(1, dtype=np.int64)) >> 1
+        left = low + np.flatnonzero(most >= threshold * (n + size[low:high] - most) - 1e-9)
+        left = left[part[left] != part[r]]
         if not len(left):
             return
-        for other, _ in tree.matches(x, r, tree.toward(left.tolist())):
+        for other, _ in tree.matches(x, r, tree.toward(left.tolist()), n):
             a, b = int(part[r]), int(part[other])
             if a != b:
                 part[part == a] = b
@@ -208,11 +212,11 @@ def join_block(sets: list[np.ndarray], ids: list[int], threshold: float, queries
 
     for r, k in enumerate(order):
         maps[r] = bitmap(sets[k])
-        link(sets[k], r, ids[k], maps[r], r)
-        tree.add(sets[k], r)
-    for own, x in queries:
+        link(sets[k], full[k], r, ids[k], maps[r], r)
+        tree.add(sets[k], r, full[k])
+    for own, x, n in queries:
         part[-1] = len(order)
-        link(x, len(order), own, bitmap(x), len(order))
+        link(x, n, len(order), own, bitmap(x), len(order))
     return out
 
 
@@ -221,54 +225,97 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def pack(keys: np.ndarray, node: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, its entries) of keys and nodes: a key's 40 bits in its range, a node's place in a table of nodes."""
-    table, at = np.unique(node, return_inverse=True)
-    h = mix(keys)
-    r = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    low = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-    order = np.argsort(r, kind="stable")
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(r[order])) + 1, [len(r)]))
-    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if s == e:
-            continue
-        mine = order[s:e]
-        used, place = np.unique(at[mine], return_inverse=True)
-        k = low[mine]
-        head = np.array([len(mine), len(used)], np.uint32)
-        yield int(r[mine[0]]), b"".join((head.tobytes(), table[used].tobytes(), place.astype(np.uint16).tobytes(), k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint8).tobytes()))
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and nodes of packed entries."""
+def shares(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of hashes each value is in."""
+    return ((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+
+
+def _cuts(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From where to where the runs of equal values go."""
+    if len(sorted_values):
+        at = np.concatenate(([0], np.flatnonzero(np.diff(sorted_values)) + 1, [len(sorted_values)])).tolist()
+        yield from zip(at[:-1], at[1:], strict=True)
+
+
+def pack(ids: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, its entries) of ids (see `ids_of`), nodes and their sizes: 40 bits of the id, the node's place in a table."""
+    order = np.argsort(ids >> np.uint64(40), kind="stable")
+    r = ids[order] >> np.uint64(40)
+    for i, j in _cuts(r):
+        mine = order[i:j]
+        table, first, place = np.unique(node[mine], return_index=True, return_inverse=True)
+        k = ids[mine]
+        head = np.array([len(mine), len(table)], np.uint32)
+        columns = (head, table, size[mine[first]].astype(np.uint32), place.astype(np.uint16 if len(table) < 1 << 16 else np.uint32), k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8))
+        yield int(r[i]), b"".join(c.tobytes() for c in columns)
+
+
+def unpack(r: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, nodes and sizes of packed entries."""
     n, m = np.frombuffer(data, np.uint32, 2).tolist()
-    table = np.frombuffer(data, np.uint64, m, 8)
-    at = 8 + 8 * m
-    place = np.frombuffer(data, np.uint16, n, at)
-    low = np.frombuffer(data, np.uint32, n, at + 2 * n).astype(np.uint64)
-    high = np.frombuffer(data, np.uint8, n, at + 6 * n).astype(np.uint64)
-    return low | high << np.uint64(32), table[place]
+    wide = 2 if m < 1 << 16 else 4
+    at = np.cumsum([8, 8 * m, 4 * m, wide * n, 4 * n])
+    table, size = np.frombuffer(data, np.uint64, m, at[0]), np.frombuffer(data, np.uint32, m, at[1])
+    place = np.frombuffer(data, np.uint16 if wide == 2 else np.uint32, n, at[2])
+    low, high = np.frombuffer(data, np.uint32, n, at[3]).astype(np.uint64), np.frombuffer(data, np.uint8, n, at[4]).astype(np.uint64)
+    return low | high << np.uint64(32) | np.uint64(r << 40), table[place], size[place]
+
+
+def ids_of(grams: np.ndarray, ranges: int) -> np.ndarray:
+    """63 bits of a gram: the range of hashes that it is in, then 40 bits of its hash."""
+    h = mix(grams)
+    return shares(h, ranges) << np.uint64(40) | (h * np.uint64(_ODD)) >> np.uint64(24)
+
+
+def pack_nodes(ids: np.ndarray, level: np.ndarray, node: np.ndarray, size: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, its entries) by nodes: each node once, with its size and how many ids with levels follow for it."""
+    p = shares(mix(node ^ np.uint64(_ODD)), parts)
+    order = np.lexsort((node, p))
+    for i, j in _cuts(p[order]):
+        mine = order[i:j]
+        table, first, count = np.unique(node[mine], return_index=True, return_counts=True)
+        head = np.array([len(mine), len(table)], np.uint32)
+        yield int(p[mine[0]]), b"".join(c.tobytes() for c in (head, table, size[mine[first]].astype(np.uint32), count.astype(np.uint32), ids[mine], level[mine]))
+
+
+def unpack_nodes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, levels, nodes and sizes of entries packed by nodes."""
+    n, m = np.frombuffer(data, np.uint32, 2).tolist()
+    at = np.cumsum([8, 8 * m, 4 * m, 4 * m, 8 * n])
+    count = np.frombuffer(data, np.uint32, m, at[2])
+    node, size = (np.repeat(np.frombuffer(data, t, m, x), count) for t, x in ((np.uint64, at[0]), (np.uint32, at[1])))
+    return np.frombuffer(data, np.uint64, n, at[3]), np.frombuffer(data, np.uint8, n, at[4]), node, size
+
 
+def shared_entries(ids: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, levels, nodes and sizes of the entries whose id several nodes have; the level grows with their number."""
+    order = np.lexsort((node, ids))
+    k, v, z = ids[order], node[order], size[order]
+    once = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1]))) if len(k) else np.zeros(0, bool)
+    k, v, z = k[once], v[once], z[once]
+    count = np.diff(np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))), len(k))) if len(k) else np.zeros(0, np.int64)
+    n = np.repeat(count, count)
+    many = n > 1
+    return k[many], np.minimum(np.log2(np.maximum(n[many], 1)) * 8, HEAVY_LEVEL - 1).astype(np.uint8), v[many], z[many]
 
-def settle(keys: np.ndarray, node: np.ndarray, state: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The new state (a leader for each key) and the distinct pairs (node, leader) of keys that several nodes have.
 
-    A key's leader is the least node of those with which the key came up first; it is one of its nodes.
+def kept_sets(ids: np.ndarray, level: np.ndarray, node: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(node, size, its shared grams as sorted 32-bit hashes, the ids of those among its first) of nodes that can have a partner.
+
+    Unshared grams come first in the order and are not here; a set with fewer shared grams than an
+    overlap takes has no partner.
     """
-    k, v = np.concatenate((state[0], keys)), np.concatenate((state[1], node))
-    new = np.concatenate((np.zeros(len(state[0]), bool), np.ones(len(keys), bool)))
-    order = np.lexsort((v, new, k))
-    k, v = k[order], v[order]
-    first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    start = np.flatnonzero(first)
-    leader = np.repeat(v[start], np.diff(np.append(start, len(k))))
-    other = v != leader
-    shared = np.unique(np.stack([np.concatenate((v[other], leader[other])), np.concatenate((leader[other], leader[other]))], 1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-    return (k[start], v[start]), shared
+    order = np.lexsort((ids, level, node))
+    ids, node, size = ids[order], node[order], size[order]
+    for i, j in _cuts(node):
+        n = int(size[i])
+        take = int(prefix_length(np.array([n]), threshold)[0]) - (n - (j - i))
+        if take > 0:
+            yield int(node[i]), n, np.unique((mix(ids[i:j]) >> np.uint64(32)).astype(np.uint32)), ids[i : i + take]
 
 
 def _sketched(rows: DataFrame, n: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, rk, node, size) of the rows with words, and the level of each counter of their grams."""
+    """(doc_id, rk, node, size) of the rows with words, and how many grams of all documents each counter has."""
     parts = max(1, buckets >> 16)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +329,7 @@ def _sketched(rows: DataFrame, n: int, buckets: int) -> tuple[DataFrame, np.ndar
                     continue
                 size = np.array([len(sets[k]) for k in full])
                 g = np.concatenate([sets[k] for k in full])
-                at, c = np.unique(g & np.uint64(buckets - 1), return_counts=True)
-                counts[at] += c.astype(np.uint32)
+                np.add.at(counts, (g & np.uint64(buckets - 1)).astype(np.int64), np.uint32(1))
                 node = class_of(g, size)
                 pick = pa.array([i + k for k in full])
                 none = pa.nulls(len(full))
@@ -298,7 +344,8 @@ def _sketched(rows: DataFrame, n: int, buckets: int) -> tuple[DataFrame, np.ndar
             for p, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = np.frombuffer(zlib.decompress(z.as_py()), np.uint32)
                 total[p] = total[p] + x if p in total else x.astype(np.uint64)
-        level = [np.minimum(np.log2(x + 1.0) * 6, 255).astype(np.uint8).tobytes() for x in total.values()]
+        # whole powers of two are enough to tell heavy counters
+        level = [np.log2(x + 1.0).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], ["part", "z"])
 
     names = ["doc_id", "rk", "node", "size", "part", "z"]
@@ -316,45 +363,38 @@ def class_of(g: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(g), np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(np.uint64))
 
 
-def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, buckets: int = BUCKETS, range_entries: int = RANGE_ENTRIES, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, rk, group_id, group_size, keeper of the documents that have a near duplicate.
-
-    A document's set holds the hashes of its n lower-cased words in a row. Groups are the connected
-    components of all pairs with Jaccard similarity of at least the threshold; group_id is the least
-    doc_id of the group and keeper marks the row that stays: the least doc_id, then the least key.
-
-    Equal sets are one class. All grams have one order: by how often they occur, as counters of a
-    fixed number tell, then by hash, so that rare ones come first. Two similar sets have one of the
-    first |s| - ceil(t |s|) + 1 grams of either in common, so no pair is missed: these grams of all
-    classes are gathered by ranges of their hashes, the least class that has a gram leads a block, and
-    every class that shares the gram is a member. A class goes into a block once, however many grams
-    lead it there; a block is joined in a prefix tree (see `join_block`). Blocks of more than `chunk`
-    members are split by hash, with their leader in every part; members that aren't similar to the
-    leader are then compared with the other parts, too. Every pair found is exact up to hash collisions.
+def candidate_sets(rows: DataFrame, n: int, threshold: float, levels: np.ndarray, grams: int, range_entries: int) -> DataFrame:
+    """node, size, grams, keys of the classes that can have a partner: their shared grams, and those among their first.
 
-    Texts that are NULL or have no words are nobody's duplicates. Repeated rows (same doc_id and text)
-    appear once; NULL doc_ids are the least. Other columns are ignored.
+    All grams of all classes are gathered by ranges of their hashes, where it shows which are shared by
+    several classes and by how many; these go back to their classes. A gram whose counter is heavy is
+    taken for a shared one without being gathered, so that a range's entries fit in memory.
     """
-    spark = checkpoint_ready(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("rk"), "text").where("text is not null")
-    signed, levels = _sketched(rows, n, buckets)
-    # one number
-    entries = int((signed.agg(F.sum("size")).first()[0] or 0) * (1 - threshold))
-    ranges = entries // range_entries + 1
-    shipped = spark.sparkContext.broadcast(levels)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # an id has 23 bits for the range
+    ranges = min(grams // range_entries + 1, (1 << 23) - 1)
+    parts = ranges // 4 + 1
+    heavy = max(2 * range_entries, 2 * grams // ranges, 4 * grams // len(levels))
+    limit = int(np.ceil(np.log2(heavy)))
+    shipped = rows.sparkSession.sparkContext.broadcast(levels)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shipped.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
-        size_held = docs_held = 0
+        waiting = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal size_held, docs_held
-            found = list(pack(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)) if held else []
+            nonlocal waiting
+            out: list[tuple[int, bytes]] = []
+            if held:
+                ids, node, size, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+                dense = weight >= limit
+                out += pack(ids[~dense], node[~dense], size[~dense])
+                # these only pass by; a part's number is below zero
+                out += [(-1 - p, x) for p, x in pack_nodes(ids[dense], HEAVY_LEVEL + weight[dense].astype(np.uint8), node[dense], size[dense], parts)]
             held.clear()
-            size_held = docs_held = 0
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["range", "data"])
+            waiting = 0
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["range", "data"])
 
         for b in small(batches):
             texts = b.column(0).to_pylist()
@@ -363,125 +403,156 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
                 if not sets:
                     continue
                 size = np.array([len(s) for s in sets])
-                g = np.concatenate(sets)
-                node = class_of(g, size)
-                # copies in the same task are taken once; the others are no harm
-                new = np.array([k not in seen for k in node.tolist()])
-                new[np.setdiff1d(np.arange(len(node)), np.unique(node, return_index=True)[1])] = False
-                seen.update(node.tolist() if len(seen) < 1 << 20 else ())
-                if not new.any():
+                node = class_of(np.concatenate(sets), size)
+                # copies in the same task are taken once; others do no harm
+                new = [k for k, x in enumerate(node.tolist()) if x not in seen and not seen.add(x)]
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if not new:
                     continue
-                g, size, node = g[np.repeat(new, size)], size[new], node[new]
-                key = level[g & np.uint64(buckets - 1)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8)
-                owner = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((key, owner))
-                first = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(prefix_length(size, threshold), size)
-                held.append((key[order[first]], node[owner[first]]))
-                size_held += int(first.sum())
-                docs_held += len(size)
-                if size_held > 1 << 20 or docs_held > 40_000:
+                g, size = np.concatenate([sets[k] for k in new]), size[new]
+                held.append((ids_of(g, ranges), np.repeat(node[new], size), np.repeat(size, size), level[(g & np.uint64(len(level) - 1)).astype(np.int64)]))
+                waiting += len(g)
+                if waiting > 1 << 21:
                     yield flush()
         yield flush()
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A range's entries are settled in lots; only a leader for each key is kept between them."""
-        none = np.zeros(0, np.uint64)
-        now, state = None, (none, none)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: int | None = None
+        held: list[tuple[np.ndarray, ...]] = []
 
         def done() -> pa.RecordBatch:
-            nonlocal state, size
-            state, shared = settle(*(np.concatenate(x) for x in zip(*held, strict=True)), state) if held else (state, np.zeros((0, 2), np.uint64))
+            out = list(pack_nodes(*shared_entries(*(np.concatenate(x) for x in zip(*held, strict=True))), parts)) if held else []
             held.clear()
-            size = 0
-            return pa.RecordBatch.from_arrays([pa.array(shared[:, c].view(np.int64)) for c in (0, 1)], ["node", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "data"])
 
         for b in batches:
             for r, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if r != now or size > 8 * range_entries:
+                if r < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - r], pa.int32()), pa.array([data.as_py()], pa.binary())], ["part", "data"])
+                    continue
+                if r != now:
                     yield done()
-                    if r != now:
-                        now, state = r, (none, none)
-                held.append(unpack(data.as_py()))
-                size += len(held[-1][0])
+                now = r
+                held.append(unpack(r, data.as_py()))
         yield done()
 
-    gathered = rows.select("text").mapInArrow(prefixes, "range int, data binary").repartition("range").sortWithinPartitions("range", F.xxhash64("data"))
-    met = gathered.mapInArrow(members, "node long, block long").distinct().checkpoint()
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: int | None = None
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done() -> pa.RecordBatch:
+            ids, level, node, size = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 4
+            held.clear()
+            # heavy grams of a class may come from several tasks
+            order = np.lexsort((ids, node))
+            once = order[np.concatenate(([True], (np.diff(ids[order]) != 0) | (np.diff(node[order]) != 0)))] if len(order) else order
+            found = list(kept_sets(ids[once], level[once], node[once], size[once], threshold))
+            cols = [pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2].tobytes() for x in found], pa.binary()), pa.array([x[3].view(np.int64) for x in found], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["node", "size", "grams", "keys"])
+
+        for b in batches:
+            for p, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if p != now:
+                    yield done()
+                now = p
+                held.append(unpack_nodes(data.as_py()))
+        yield done()
+
+    gathered = rows.select("text").mapInArrow(gather, "range int, data binary").repartition("range").sortWithinPartitions("range")
+    back = gathered.mapInArrow(share, "part int, data binary").repartition("part").sortWithinPartitions("part")
+    return back.mapInArrow(keep, "node long, size int, grams binary, keys array<long>").checkpoint()
+
+
+def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, buckets: int = BUCKETS, range_entries: int = RANGE_ENTRIES, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, rk, group_id, group_size, keeper of the documents that have a near duplicate.
+
+    A document's set holds the hashes of its n lower-cased words in a row. Groups are the connected
+    components of all pairs with Jaccard similarity of at least the threshold; group_id is the least
+    doc_id of the group and keeper marks the row that stays: the least doc_id, then the least key.
+
+    Equal sets are one class. All grams have one order: by how many classes have them, then by hash, so
+    that those of one class come first and can be left out (see `candidate_sets`). Two similar sets have
+    one of the first |s| - ceil(t |s|) + 1 grams of either in common, so no pair is missed: the least
+    class that has a gram among its first leads a block, and every class that shares it there is a
+    member. A class goes into a block once, however many grams lead it there; a block is joined in a
+    prefix tree (see `join_block`). Blocks of more than `chunk` members are split by hash, with their
+    leader in every part; members that aren't similar to the leader are then compared with the other
+    parts, too. Every pair found is exact up to hash collisions.
+
+    Texts that are NULL or have no words are nobody's duplicates. Repeated rows (same doc_id and text)
+    appear once; NULL doc_ids are the least. Other columns are ignored.
+    """
+    checkpoint_ready(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("rk"), "text").where("text is not null")
+    signed, levels = _sketched(rows, n, buckets)
+    # one number
+    grams = int(signed.agg(F.sum("size")).first()[0] or 0)
+    sets = candidate_sets(rows, n, threshold, levels, grams, range_entries)
+    firsts = sets.select("node", F.explode("keys").alias("key"))
+    leads = firsts.groupBy("key").agg(F.min("node").alias("block"), F.max("node").alias("most")).where("block <> most").select("key", "block")
+    met = firsts.join(leads.hint("shuffle_hash"), "key").select("node", "block").distinct().checkpoint()
     large = met.groupBy("block").count().where(F.col("count") > chunk).select("block", F.expr(f"cast(ceil(count / {chunk}) as int)").alias("parts")).checkpoint()
     met = met.join(large.hint("shuffle_hash"), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = met.withColumn("part", F.explode(F.when(F.expr("node = block"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-    met = met.groupBy("node").agg(F.collect_set(F.struct("block", "part", "parts")).alias("blocks"))
-    # the least row of a class stands for it
-    rep = signed.groupBy("node").agg(F.min(F.struct("doc_id", "rk")).alias("r")).selectExpr("node", "r.rk rk")
-    wanted = rep.join(met.hint("shuffle_hash"), "node").select("rk", "node", "blocks").checkpoint()
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            node, texts, found = b.column("node").to_pylist(), b.column("text").to_pylist(), b.column("blocks").to_pylist()
-            for i, j in lots(texts):
-                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in gram_sets(texts[i:j], n)]
-                flat = [(x["block"], x["part"], x["parts"], k, s) for k, s, blocks in zip(node[i:j], sets, found[i:j], strict=True) for x in blocks]
-                cols = list(zip(*flat, strict=True)) if flat else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "part", "parts", "node", "grams"])
-
-    filled_as = "block long, part int, parts int, node long, grams binary"
-    texts = rows.select("rk", "text").join(wanted.hint("shuffle_hash"), "rk").select("node", "text", "blocks")
-    filled = texts.mapInArrow(shrink, filled_as)
+    filled = sets.select("node", "size", "grams").join(met.hint("shuffle_hash"), "node").select("block", "part", "parts", "node", "size", "grams")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges (a, b) of every part of a block, and of large blocks the members that aren't similar to the leader."""
 
-        def done(held: dict[int, bytes]) -> pa.RecordBatch:
-            sets = [np.frombuffer(x, np.uint32) for x in held.values()]
-            pairs = join_block(sets, list(held), threshold) if len(held) > 1 else []
+        def done(held: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
+            sets = [np.frombuffer(x, np.uint32) for _, x in held.values()]
+            sizes = [n for n, _ in held.values()]
+            pairs = join_block(sets, list(held), threshold, sizes) if len(held) > 1 else []
             rest = []
             if now is not None and now[2] > 1:
-                lead = np.frombuffer(held[now[0]], np.uint32)
-                for k, s in zip(held, sets, strict=True):
+                n, x = held[now[0]]
+                lead = np.frombuffer(x, np.uint32)
+                for k, s, m in zip(held, sets, sizes, strict=True):
                     both = len(np.intersect1d(s, lead, assume_unique=True))
-                    if both < threshold * (len(s) + len(lead) - both) - 1e-9:
+                    if both < threshold * (m + n - both) - 1e-9:
                         rest.append(k)
-            m, none = len(rest), [None] * len(pairs)
-            cols = [[p[0] for p in pairs] + rest, [p[1] for p in pairs] + [None] * m, none + [now[0] if now else None] * m, none + [now[1] if now else None] * m, none + [now[2] if now else None] * m, none + [held[k] for k in rest]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["a", "b", "block", "part", "parts", "grams"])
+            none = [None] * len(pairs)
+            block = [none + [v] * len(rest) for v in (now or (None,) * 3)]
+            cols = [[p[0] for p in pairs] + rest, [p[1] for p in pairs] + [None] * len(rest), *block, none + [held[k][0] for k in rest], none + [held[k][1] for k in rest]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["a", "b", "block", "part", "parts", "size", "grams"])
 
         now, held = None, {}
         for b in batches:
-            for block, part, parts, node, grams in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            for block, part, parts, node, size, grams in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 if (block, part, parts) != now and held:
                     yield done(held)
                     held = {}
                 now = (block, part, parts)
-                held[node] = grams
+                held[node] = (size, grams)
         yield done(held)
 
-    linked = filled.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(link, "a long, b long, block long, part int, parts int, grams binary").checkpoint()
+    linked = filled.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(link, "a long, b long, block long, part int, parts int, size int, grams binary").checkpoint()
     edges = linked.where("block is null").select("a", "b")
     if large.limit(1).count() and linked.where("block is not null").limit(1).count():
 
         def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A part's members come first, then what is compared with it from other parts."""
 
-            def done(held: dict[int, bytes], asked: dict[int, bytes]) -> pa.RecordBatch:
-                pairs = join_block([np.frombuffer(x, np.uint32) for x in held.values()], list(held), threshold, ((k, np.frombuffer(x, np.uint32)) for k, x in asked.items())) if asked else []
+            def done(held: dict[int, tuple[int, bytes]], asked: dict[int, tuple[int, bytes]]) -> pa.RecordBatch:
+                queries = ((k, np.frombuffer(x, np.uint32), n) for k, (n, x) in asked.items())
+                pairs = join_block([np.frombuffer(x, np.uint32) for _, x in held.values()], list(held), threshold, [n for n, _ in held.values()], queries) if asked else []
                 return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.int64()) for c in (0, 1)], ["a", "b"])
 
             now, held, asked = None, {}, {}
             for b in batches:
-                for block, part, _, node, grams, query in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
-                    if (block, part) != now or len(asked) >= chunk:
+                for block, part, _, node, size, grams, query in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+                    if (block, part) != now or len(asked) >= 2 * chunk:
                         yield done(held, asked)
                         asked = {}
                         held = held if (block, part) == now else {}
                     now = (block, part)
-                    (asked if query else held)[node] = grams
+                    (asked if query else held)[node] = (size, grams)
             yield done(held, asked)
 
         other = F.explode(F.expr("filter(sequence(0, parts - 1), p -> p <> part)"))
-        asked = linked.where("block is not null").select("block", other.alias("p"), "parts", F.col("a").alias("node"), "grams", F.lit(True).alias("query")).withColumnRenamed("p", "part")
+        asked = linked.where("block is not null").select("block", other.alias("p"), "parts", F.col("a").alias("node"), "size", "grams", F.lit(True).alias("query")).withColumnRenamed("p", "part")
         both = filled.where("parts > 1").withColumn("query", F.lit(False)).unionByName(asked)
         edges = edges.unionByName(both.repartition("block", "part").sortWithinPartitions("block", "part", "query", "node").mapInArrow(cross, "a long, b long"))
     parts = connected_components(edges).selectExpr("node", "component")

@@ -392,7 +392,7 @@ def _grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("small", [{}, {"chunk": 3, "range_entries": 60, "buckets": 1 << 16}])
+@pytest.mark.parametrize("small", [{}, {"chunk": 3, "range_entries": 60, "buckets": 1 << 16}, {"range_entries": 2, "buckets": 16}])
 def test_near_duplicates_against_brute_force(spark, small):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -433,6 +433,12 @@ def test_prefix_tree_finds_exactly_the_similar_sets():
     tree = PrefixTree(0.5)
     for k, s in enumerate(sets):
         tree.add(s, k)
+    with_more, more = PrefixTree(0.5), rng.integers(0, 30, 150).tolist()
+    for k, s in enumerate(sets):
+        with_more.add(s, k, len(s) + more[k])
+    for k, s in enumerate(sets[:60]):
+        both = {j: (len(np.intersect1d(s, o)), len(s) + more[k] + len(o) + more[j]) for j, o in enumerate(sets)}
+        assert dict(with_more.matches(s, size=len(s) + more[k])) == {j: n for j, (n, m) in both.items() if n >= 0.5 * (m - n)}
     for s in sets[:60]:
         got = dict(tree.matches(s))
         want = {k: len(np.intersect1d(s, o)) for k, o in enumerate(sets)}
@@ -452,6 +458,8 @@ def test_a_large_block_is_joined_in_parts(spark):
     chain = base[:40] + [f"y{i}" for i in range(40)]
     rows += [(1000, " ".join(chain)), (1001, " ".join(chain[10:])), (1002, " ".join(chain[28:]))]
     got = {r.doc_id: (r.group_id, r.group_size) for r in near_duplicates(docs_of(spark, rows), chunk=16).collect()}
+    # most grams of the group are heavy here
+    assert got == {r.doc_id: (r.group_id, r.group_size) for r in near_duplicates(docs_of(spark, rows), range_entries=20).collect()}
     sets = {i: _grams(t) for i, t in rows}
     part = {i: i for i in sets}
     for _ in range(8):
@@ -461,22 +469,23 @@ def test_a_large_block_is_joined_in_parts(spark):
     assert got == {i: (part[i], size[part[i]]) for i in sets if size[part[i]] > 1}
 
 
-def test_leaders_stay_while_a_range_is_settled_in_lots():
+def test_shared_grams_go_back_to_their_sets():
     rng = np.random.default_rng(4)
-    keys, node = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(0, 50, 300).astype(np.uint64)
-    state, links = (np.zeros(0, np.uint64),) * 2, set()
-    for i in range(0, 300, 37):
-        state, shared = jaccard.settle(keys[i : i + 37], node[i : i + 37], state)
-        links |= {tuple(x) for x in shared.tolist()}
-    lead = dict(zip(state[0].tolist(), state[1].tolist(), strict=True))
+    grams, node = rng.integers(0, 1 << 63, 40)[rng.integers(0, 40, 300)].astype(np.uint64), rng.integers(0, 50, 300).astype(np.uint64)
+    size = node + np.uint64(3)
+    ids = jaccard.ids_of(grams, 7)
+    assert len(set(ids.tolist())) == len(set(grams.tolist()))
+    parts = [jaccard.unpack(r, d) for r, d in jaccard.pack(ids, node, size)]
+    got = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(ids.tolist(), node.tolist(), size.tolist(), strict=True))
+    k, level, v, z = jaccard.shared_entries(*got)
     by = defaultdict(set)
-    for k, v in zip(keys.tolist(), node.tolist(), strict=True):
-        by[k].add(v)
-    assert all(lead[k] in nodes for k, nodes in by.items())
-    assert links == {(v, lead[k]) for k, nodes in by.items() if len(nodes) > 1 for v in nodes}
-    got = [jaccard.unpack(d) for _, d in jaccard.pack(keys, node, 7)]
-    assert sorted(np.concatenate([v for _, v in got]).tolist()) == sorted(node.tolist())
-    assert len({k for k, _ in got for k in k.tolist()}) == len(set(keys.tolist()))
+    for i, j in zip(ids.tolist(), node.tolist(), strict=True):
+        by[i].add(j)
+    assert set(zip(k.tolist(), v.tolist(), strict=True)) == {(i, j) for i, js in by.items() if len(js) > 1 for j in js} and len(k) == len(set(zip(k.tolist(), v.tolist(), strict=True)))
+    assert all(lv == int(np.log2(len(by[i])) * 8) for i, lv in zip(k.tolist(), level.tolist(), strict=True)) and (z == v + 3).all()
+    again = [np.concatenate(x) for x in zip(*(jaccard.unpack_nodes(d) for _, d in jaccard.pack_nodes(k, level, v, z, 5)), strict=True)]
+    assert sorted(zip(*(x.tolist() for x in again), strict=True)) == sorted(zip(k.tolist(), level.tolist(), v.tolist(), z.tolist(), strict=True))
 
 
 def test_repeated_rows_count_as_copies(spark):
