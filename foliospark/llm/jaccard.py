@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,81 +238,48 @@ def _cuts(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(at[:-1], at[1:], strict=True)
 
 
-def pack(ids: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(range, its entries) of ids (see `ids_of`), nodes and their sizes: 40 bits of the id, the node's place in a table."""
-    order = np.argsort(ids >> np.uint64(40), kind="stable")
-    r = ids[order] >> np.uint64(40)
-    for i, j in _cuts(r):
-        mine = order[i:j]
-        table, first, place = np.unique(node[mine], return_index=True, return_inverse=True)
-        k = ids[mine]
-        head = np.array([len(mine), len(table)], np.uint32)
-        columns = (head, table, size[mine[first]].astype(np.uint32), place.astype(np.uint16 if len(table) < 1 << 16 else np.uint32), k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8))
-        yield int(r[i]), b"".join(c.tobytes() for c in columns)
+def pack(place: np.ndarray, h: np.ndarray, level: np.ndarray | None = None) -> bytes:
+    """Entries in bytes: places of documents in ascending order by their differences, 32-bit hashes, and levels if there are any."""
+    z = zlib.compress(np.diff(place, prepend=0).astype(np.uint16).tobytes() + (b"" if level is None else level.tobytes()), 1)
+    return np.array([len(h), len(z)], np.uint32).tobytes() + z + h.astype(np.uint32).tobytes()
 
 
-def unpack(r: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, nodes and sizes of packed entries."""
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and levels (none if there are none) of packed entries."""
     n, m = np.frombuffer(data, np.uint32, 2).tolist()
-    wide = 2 if m < 1 << 16 else 4
-    at = np.cumsum([8, 8 * m, 4 * m, wide * n, 4 * n])
-    table, size = np.frombuffer(data, np.uint64, m, at[0]), np.frombuffer(data, np.uint32, m, at[1])
-    place = np.frombuffer(data, np.uint16 if wide == 2 else np.uint32, n, at[2])
-    low, high = np.frombuffer(data, np.uint32, n, at[3]).astype(np.uint64), np.frombuffer(data, np.uint8, n, at[4]).astype(np.uint64)
-    return low | high << np.uint64(32) | np.uint64(r << 40), table[place], size[place]
+    z = zlib.decompress(data[8 : 8 + m])
+    return np.cumsum(np.frombuffer(z, np.uint16, n).astype(np.int64)), np.frombuffer(data, np.uint32, n, 8 + m), np.frombuffer(z, np.uint8, -1, 2 * n)
 
 
 def ids_of(grams: np.ndarray, ranges: int) -> np.ndarray:
-    """63 bits of a gram: the range of hashes that it is in, then 40 bits of its hash."""
+    """The range of hashes that a gram is in, then 32 bits of its hash."""
     h = mix(grams)
-    return shares(h, ranges) << np.uint64(40) | (h * np.uint64(_ODD)) >> np.uint64(24)
+    return shares(h, ranges) << np.uint64(32) | (h * np.uint64(_ODD)) >> np.uint64(32)
 
 
-def pack_nodes(ids: np.ndarray, level: np.ndarray, node: np.ndarray, size: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, its entries) by nodes: each node once, with its size and how many ids with levels follow for it."""
-    p = shares(mix(node ^ np.uint64(_ODD)), parts)
-    order = np.lexsort((node, p))
-    for i, j in _cuts(p[order]):
-        mine = order[i:j]
-        table, first, count = np.unique(node[mine], return_index=True, return_counts=True)
-        head = np.array([len(mine), len(table)], np.uint32)
-        yield int(p[mine[0]]), b"".join(c.tobytes() for c in (head, table, size[mine[first]].astype(np.uint32), count.astype(np.uint32), ids[mine], level[mine]))
-
-
-def unpack_nodes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, levels, nodes and sizes of entries packed by nodes."""
-    n, m = np.frombuffer(data, np.uint32, 2).tolist()
-    at = np.cumsum([8, 8 * m, 4 * m, 4 * m, 8 * n])
-    count = np.frombuffer(data, np.uint32, m, at[2])
-    node, size = (np.repeat(np.frombuffer(data, t, m, x), count) for t, x in ((np.uint64, at[0]), (np.uint32, at[1])))
-    return np.frombuffer(data, np.uint64, n, at[3]), np.frombuffer(data, np.uint8, n, at[4]), node, size
-
-
-def shared_entries(ids: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, levels, nodes and sizes of the entries whose id several nodes have; the level grows with their number."""
-    order = np.lexsort((node, ids))
-    k, v, z = ids[order], node[order], size[order]
-    once = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1]))) if len(k) else np.zeros(0, bool)
-    k, v, z = k[once], v[once], z[once]
+def shared_entries(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries have a hash that another one has, and levels that grow with the number of those that have it."""
+    order = np.argsort(h, kind="stable")
+    k = h[order]
     count = np.diff(np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))), len(k))) if len(k) else np.zeros(0, np.int64)
-    n = np.repeat(count, count)
-    many = n > 1
-    return k[many], np.minimum(np.log2(np.maximum(n[many], 1)) * 8, HEAVY_LEVEL - 1).astype(np.uint8), v[many], z[many]
+    n = np.zeros(len(h), np.int64)
+    n[order] = np.repeat(count, count)
+    return n > 1, np.minimum(np.log2(np.maximum(n, 1)) * 8, HEAVY_LEVEL - 1).astype(np.uint8)
 
 
-def kept_sets(ids: np.ndarray, level: np.ndarray, node: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(node, size, its shared grams as sorted 32-bit hashes, the ids of those among its first) of nodes that can have a partner.
+def kept_sets(ids: np.ndarray, level: np.ndarray, place: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, its shared grams as sorted 32-bit hashes, the ids of those among its first) of sets that can have a partner.
 
     Unshared grams come first in the order and are not here; a set with fewer shared grams than an
-    overlap takes has no partner.
+    overlap takes has no partner. The sizes are those of the sets at each place.
     """
-    order = np.lexsort((ids, level, node))
-    ids, node, size = ids[order], node[order], size[order]
-    for i, j in _cuts(node):
-        n = int(size[i])
+    order = np.lexsort((ids, level, place))
+    ids, place = ids[order], place[order]
+    for i, j in _cuts(place):
+        n = int(size[place[i]])
         take = int(prefix_length(np.array([n]), threshold)[0]) - (n - (j - i))
         if take > 0:
-            yield int(node[i]), n, np.unique((mix(ids[i:j]) >> np.uint64(32)).astype(np.uint32)), ids[i : i + take]
+            yield int(place[i]), np.unique((mix(ids[i:j]) >> np.uint64(32)).astype(np.uint32)), ids[i : i + take]
 
 
 def _sketched(rows: DataFrame, n: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
@@ -366,35 +334,43 @@ def class_of(g: np.ndarray, size: np.ndarray) -> np.ndarray:
 def candidate_sets(rows: DataFrame, n: int, threshold: float, levels: np.ndarray, grams: int, range_entries: int) -> DataFrame:
     """node, size, grams, keys of the classes that can have a partner: their shared grams, and those among their first.
 
-    All grams of all classes are gathered by ranges of their hashes, where it shows which are shared by
-    several classes and by how many; these go back to their classes. A gram whose counter is heavy is
-    taken for a shared one without being gathered, so that a range's entries fit in memory.
+    A task takes its documents in lots, whose grams are gathered by ranges of their hashes; there it
+    shows which are shared, and by how many documents. These go back to their lots. A gram whose counter
+    is heavy is taken for a shared one without being gathered, so that a range's entries fit in memory.
     """
-    # an id has 23 bits for the range
-    ranges = min(grams // range_entries + 1, (1 << 23) - 1)
-    parts = ranges // 4 + 1
+    ranges = min(grams // range_entries + 1, 1 << 30)
     heavy = max(2 * range_entries, 2 * grams // ranges, 4 * grams // len(levels))
     limit = int(np.ceil(np.log2(heavy)))
     shipped = rows.sparkSession.sparkContext.broadcast(levels)
+    cell = pa.schema([("range", pa.int32()), ("lot", pa.int64()), ("data", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shipped.value
+        level, task = shipped.value, TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, ...]] = []
+        classes: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
-        waiting = 0
+        waiting = docs_held = lot = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal waiting
+            nonlocal waiting, docs_held, lot
             out: list[tuple[int, bytes]] = []
             if held:
-                ids, node, size, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+                ids, place, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+                node, size = (np.concatenate(x) for x in zip(*classes, strict=True))
                 dense = weight >= limit
-                out += pack(ids[~dense], node[~dense], size[~dense])
-                # these only pass by; a part's number is below zero
-                out += [(-1 - p, x) for p, x in pack_nodes(ids[dense], HEAVY_LEVEL + weight[dense].astype(np.uint8), node[dense], size[dense], parts)]
+                # the lot's classes and heavy grams only pass by, below zero
+                away = -1 - (task + lot) % (1 << 20)
+                table = np.array([len(node), int(dense.sum())], np.uint32).tobytes() + node.tobytes() + size.astype(np.uint32).tobytes()
+                out.append((away, table + ids[dense].tobytes() + pack(place[dense], ids[dense], HEAVY_LEVEL + weight[dense])))
+                ids, place = ids[~dense], place[~dense]
+                order = np.argsort(ids >> np.uint64(32), kind="stable")
+                ids, place = ids[order], place[order]
+                out += [(int(ids[i] >> np.uint64(32)), pack(place[i:j], ids[i:j])) for i, j in _cuts(ids >> np.uint64(32))]
             held.clear()
-            waiting = 0
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["range", "data"])
+            classes.clear()
+            lot += 1
+            waiting = docs_held = 0
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([task << 24 | lot] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=cell)
 
         for b in small(batches):
             texts = b.column(0).to_pylist()
@@ -411,57 +387,79 @@ def candidate_sets(rows: DataFrame, n: int, threshold: float, levels: np.ndarray
                 if not new:
                     continue
                 g, size = np.concatenate([sets[k] for k in new]), size[new]
-                held.append((ids_of(g, ranges), np.repeat(node[new], size), np.repeat(size, size), level[(g & np.uint64(len(level) - 1)).astype(np.int64)]))
+                held.append((ids_of(g, ranges), np.repeat(np.arange(docs_held, docs_held + len(size)), size), level[(g & np.uint64(len(level) - 1)).astype(np.int64)]))
+                classes.append((node[new], size))
+                docs_held += len(size)
                 waiting += len(g)
-                if waiting > 1 << 21:
+                if waiting > 1 << 21 or docs_held > 50_000:
                     yield flush()
         yield flush()
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[int, bytes]] = []
 
         def done() -> pa.RecordBatch:
-            out = list(pack_nodes(*shared_entries(*(np.concatenate(x) for x in zip(*held, strict=True))), parts)) if held else []
+            out: list[tuple[int, bytes]] = []
+            if held:
+                cells = [unpack(x) for _, x in held]
+                h = np.concatenate([x[1] for x in cells])
+                many, level = shared_entries(h)
+                at = np.cumsum([0] + [len(x[1]) for x in cells]).tolist()
+                for (lot, _), (place, own, _), i, j in zip(held, cells, at[:-1], at[1:], strict=True):
+                    m = many[i:j]
+                    if m.any():
+                        out.append((lot, pack(place[m], own[m], level[i:j][m])))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(out), pa.int32()), pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=cell)
 
         for b in batches:
-            for r, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for r, lot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if r < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - r], pa.int32()), pa.array([data.as_py()], pa.binary())], ["part", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([lot], pa.int64()), pa.array([data.as_py()], pa.binary())], schema=cell)
                     continue
                 if r != now:
                     yield done()
                 now = r
-                held.append(unpack(r, data.as_py()))
+                held.append((lot, data.as_py()))
         yield done()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[int, bytes]] = []
 
         def done() -> pa.RecordBatch:
-            ids, level, node, size = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 4
+            found: list[tuple[int, int, bytes, np.ndarray]] = []
+            if held:
+                # the lot's own row comes first
+                own, rest = held[0][1], held[1:]
+                m, k = np.frombuffer(own, np.uint32, 2).tolist()
+                node, size = np.frombuffer(own, np.uint64, m, 8), np.frombuffer(own, np.uint32, m, 8 + 8 * m)
+                place, _, level = unpack(own[8 + 12 * m + 8 * k :])
+                parts = [(np.frombuffer(own, np.uint64, k, 8 + 12 * m), level, place)]
+                for r, data in rest:
+                    place, h, level = unpack(data)
+                    parts.append((h | np.uint64(r << 32), level, place))
+                ids, level, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+                found = [(int(node[p]), int(size[p]), x.tobytes(), k) for p, x, k in kept_sets(ids, level, place, size, threshold)]
             held.clear()
-            # heavy grams of a class may come from several tasks
-            order = np.lexsort((ids, node))
-            once = order[np.concatenate(([True], (np.diff(ids[order]) != 0) | (np.diff(node[order]) != 0)))] if len(order) else order
-            found = list(kept_sets(ids[once], level[once], node[once], size[once], threshold))
-            cols = [pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2].tobytes() for x in found], pa.binary()), pa.array([x[3].view(np.int64) for x in found], pa.list_(pa.int64()))]
+            cols = [pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary()), pa.array([x[3].view(np.int64) for x in found], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(cols, ["node", "size", "grams", "keys"])
 
         for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if p != now:
+            for r, lot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if lot != now:
                     yield done()
-                now = p
-                held.append(unpack_nodes(data.as_py()))
+                now = lot
+                held.append((r, data.as_py()))
         yield done()
 
-    gathered = rows.select("text").mapInArrow(gather, "range int, data binary").repartition("range").sortWithinPartitions("range")
-    back = gathered.mapInArrow(share, "part int, data binary").repartition("part").sortWithinPartitions("part")
-    return back.mapInArrow(keep, "node long, size int, grams binary, keys array<long>").checkpoint()
+    as_cells = "range int, lot long, data binary"
+    gathered = rows.select("text").mapInArrow(gather, as_cells).repartition("range").sortWithinPartitions("range")
+    back = gathered.mapInArrow(share, as_cells).repartition("lot").sortWithinPartitions("lot", "range")
+    sets = back.mapInArrow(keep, "node long, size int, grams binary, keys array<long>")
+    # copies of other tasks
+    return sets.groupBy("node").agg(F.first(F.struct("size", "grams", "keys")).alias("x")).select("node", "x.*").checkpoint()
 
 
 def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, buckets: int = BUCKETS, range_entries: int = RANGE_ENTRIES, chunk: int = CHUNK) -> DataFrame:
@@ -471,8 +469,8 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     components of all pairs with Jaccard similarity of at least the threshold; group_id is the least
     doc_id of the group and keeper marks the row that stays: the least doc_id, then the least key.
 
-    Equal sets are one class. All grams have one order: by how many classes have them, then by hash, so
-    that those of one class come first and can be left out (see `candidate_sets`). Two similar sets have
+    Equal sets are one class. All grams have one order: by how many documents have them, then by hash,
+    so that those of one document come first and can be left out (see `candidate_sets`). Two similar sets have
     one of the first |s| - ceil(t |s|) + 1 grams of either in common, so no pair is missed: the least
     class that has a gram among its first leads a block, and every class that shares it there is a
     member. A class goes into a block once, however many grams lead it there; a block is joined in a

@@ -469,23 +469,18 @@ def test_a_large_block_is_joined_in_parts(spark):
     assert got == {i: (part[i], size[part[i]]) for i in sets if size[part[i]] > 1}
 
 
-def test_shared_grams_go_back_to_their_sets():
+def test_shared_grams_and_packed_entries():
     rng = np.random.default_rng(4)
-    grams, node = rng.integers(0, 1 << 63, 40)[rng.integers(0, 40, 300)].astype(np.uint64), rng.integers(0, 50, 300).astype(np.uint64)
-    size = node + np.uint64(3)
+    grams = rng.integers(0, 1 << 63, 40)[rng.integers(0, 40, 60)].astype(np.uint64)
     ids = jaccard.ids_of(grams, 7)
-    assert len(set(ids.tolist())) == len(set(grams.tolist()))
-    parts = [jaccard.unpack(r, d) for r, d in jaccard.pack(ids, node, size)]
-    got = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(ids.tolist(), node.tolist(), size.tolist(), strict=True))
-    k, level, v, z = jaccard.shared_entries(*got)
-    by = defaultdict(set)
-    for i, j in zip(ids.tolist(), node.tolist(), strict=True):
-        by[i].add(j)
-    assert set(zip(k.tolist(), v.tolist(), strict=True)) == {(i, j) for i, js in by.items() if len(js) > 1 for j in js} and len(k) == len(set(zip(k.tolist(), v.tolist(), strict=True)))
-    assert all(lv == int(np.log2(len(by[i])) * 8) for i, lv in zip(k.tolist(), level.tolist(), strict=True)) and (z == v + 3).all()
-    again = [np.concatenate(x) for x in zip(*(jaccard.unpack_nodes(d) for _, d in jaccard.pack_nodes(k, level, v, z, 5)), strict=True)]
-    assert sorted(zip(*(x.tolist() for x in again), strict=True)) == sorted(zip(k.tolist(), level.tolist(), v.tolist(), z.tolist(), strict=True))
+    assert len(set(ids.tolist())) == len(set(grams.tolist())) and int((ids >> np.uint64(32)).max()) < 7
+    many, level = jaccard.shared_entries(ids.astype(np.uint32))
+    n = Counter(grams.tolist())
+    assert many.tolist() == [n[g] > 1 for g in grams.tolist()] and level.tolist() == [int(np.log2(n[g]) * 8) for g in grams.tolist()]
+    place = np.sort(rng.integers(0, 50_000, 60))
+    got = jaccard.unpack(jaccard.pack(place, ids, level))
+    assert all((x == y).all() for x, y in zip(got, (place, ids.astype(np.uint32), level), strict=True))
+    assert len(jaccard.unpack(jaccard.pack(place, ids))[2]) == 0 and len(jaccard.unpack(jaccard.pack(place[:0], ids[:0]))[1]) == 0
 
 
 def test_repeated_rows_count_as_copies(spark):
