@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let
+from .binding import MARK, escaped, let, unescaped
 from .markdown import without_code
 
 _EXTERNAL = r"^(?:https?://|mailto:|tel:|ftp://|//)"
 #: What follows a label: a destination, in angle brackets or with balanced ones of its own, and a title.
-_AFTER_LABEL = r"""\]\([ \t]*(<[^>\n]*>|[^()\s<][^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*\)"""
+_AFTER_LABEL = r"""\]\([ \t]*(<[^>\n]*>|[^()\s<][^()\s]*(?:\([^()\s]*+\)[^()\s]*+)*+)(?:\s+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*\)"""
+#: A link in angle brackets: an address with a scheme, or of mail.
+_AUTO = r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_{|}~-]+@[A-Za-z0-9.-]+)>"
+#: A line that defines what a label refers to.
+_DEFINED = r"(?m)^ {0,3}\[([^\[\]\n]+)\]:[ \t]*\n?[ \t]*(<[^>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^)\n]*\)))?[ \t]*$"
 #: The plain form, which takes all up to the bracket for the destination.
 _SIMPLE = r"!?\[[^\]]*\]\(([^)]+)\)"
 
@@ -59,16 +63,44 @@ def normalize_anchor(anchor: Column) -> Column:
     return F.lower(url_decode(anchor))
 
 
+def with_references(content: Column) -> Column:
+    """The text with inline links for those by reference (`[text][label]`, `[label][]`, `[label]`), without the definitions.
+
+    Labels are compared without regard to case; the first definition of a label counts. A text without
+    definitions stays as it is.
+    """
+
+    def inline(text: Column, d: Column) -> Column:
+        label = F.regexp_replace(F.regexp_extract(d, _DEFINED, 1), r"([\\\[\](){}.*+?^$|])", r"\\$1")
+        to = F.concat(F.lit("("), F.regexp_replace(F.regexp_extract(d, _DEFINED, 2), r"([\\$])", r"\\$1"), F.lit(")"))
+        full = F.regexp_replace(text, F.concat(F.lit(r"(?i)\[([^\[\]]*)\]\["), label, F.lit(r"\]")), F.concat(F.lit("[$1]"), to))
+        return F.regexp_replace(full, F.concat(F.lit(r"(?i)(?<!\])(\["), label, F.lit(r"\])(?:\[\])?(?![\[(:])")), F.concat(F.lit("$1"), to))
+
+    def resolved(found: Column) -> Column:
+        bare = F.regexp_replace(content, _DEFINED, "")
+        return F.when(F.size(found) == 0, content).otherwise(F.aggregate(found, bare, inline))
+
+    return let(F.regexp_extract_all(content, F.lit(_DEFINED), F.lit(0)), resolved)
+
+
 def destinations(content: Column, block_aware: bool = True) -> Column:
     """Destinations of all links and images in the order of the text, empty ones left out.
 
-    Code in fences, indented blocks and spans is skipped; titles and angle brackets don't belong to a
-    destination. Without block_aware, every plain `[label](destination)` counts, wherever it stands.
+    Links by reference have the destination of their label's definition; an autolink is its own (mail
+    addresses with `mailto:`). Code in fences, indented blocks and spans is skipped; titles and angle
+    brackets don't belong to a destination. Without block_aware, every plain `[label](destination)`
+    counts, wherever it stands.
     """
     if not block_aware:
         return F.regexp_extract_all(content, F.lit(_SIMPLE), F.lit(1))
-    found = F.regexp_extract_all(without_code(content), F.lit(_AFTER_LABEL), F.lit(1))
-    return F.filter(F.transform(found, lambda d: F.regexp_replace(d, "^<|>$", "")), lambda d: d != "")
+    found = F.regexp_extract_all(with_references(without_code(content)), F.lit(f"{_AFTER_LABEL}|{_AUTO}"), F.lit(0))
+
+    def one(m: Column) -> Column:
+        own = F.regexp_replace(m, "^<|>$", "")
+        mail = F.when(own.contains(":") & ~own.rlike("^[^:]*@"), own).otherwise(F.concat(F.lit("mailto:"), own))
+        return F.when(m.startswith("]("), F.regexp_replace(F.regexp_extract(m, _AFTER_LABEL, 1), "^<|>$", "")).otherwise(mail)
+
+    return F.filter(F.transform(found, one), lambda d: d != "")
 
 
 def is_likely_file_path(value: Column) -> Column:
@@ -76,36 +108,38 @@ def is_likely_file_path(value: Column) -> Column:
     return (F.trim(value) != "") & ~is_external(value) & ~value.startswith("/") & (value.contains("/") | value.contains("\\") | value.rlike(r"^.*\.\w+$"))
 
 
-#: Code blocks and spans, or the beginning of a link up to its destination: where a text can be cut.
+#: Code blocks and spans, or the beginning of a link or definition up to its destination: where a text can be cut.
 _PIECE = (
     r"(?ms)^ {0,3}(```+|~~~+)[^\n]*(?:\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)|\z)"
-    r"|(?= {4}|\t)(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
-    r"|(?<!`)(`+)(?!`).+?(?<!`)\2(?!`)"
-    r"|\]\([ \t]*(?:<[^>\n]*(?=>)|[^()\s<][^()\s]*(?:\([^()\s]*\)[^()\s]*)*(?=\s+[\"'(]|[ \t]*\)))"
+    r"|(?= {4}|\t)(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*+(?:\n|\z))++"
+    r"|(?<!`)(`+)(?!`)(?:[^`\n]++|\n(?![ \t]*(?:\n|\z))|(?!\2(?!`))`++)++\2(?!`)"
+    r"|\]\([ \t]*(?:<[^>\n]*(?=>)|[^()\s<][^()\s]*+(?:\([^()\s]*+\)[^()\s]*+)*+(?=\s+[\"'(]|[ \t]*\)))"
+    r"|^ {0,3}\[[^\[\]\n]+\]:[ \t]*(?:<[^>\n]*(?=>)|[^\s<]\S*+(?=[ \t]*$|[ \t]+[\"'(]))"
 )
-_MARK = "\x01"
+_LEAD = r"^(?:\]\([ \t]*<?| {0,3}\[[^\[\]\n]+\]:[ \t]*<?)"
 
 
 def link_segments(content: Column) -> Column:
-    """array<struct<before, destination>>: the text cut behind each link's destination.
+    """array<struct<before, destination>>: the text cut behind each link's or definition's destination.
 
     Concatenating before and destination (NULL in the last piece and where the piece ends with a code
-    block) gives the text back, so that destinations can be exchanged by position.
+    block) gives the text back, whatever characters it has, so that destinations can be exchanged by
+    position.
     """
-    marked = F.regexp_replace(content, _PIECE, _MARK + "$0" + _MARK)
+    marked = F.regexp_replace(escaped(content), _PIECE, MARK + "$0" + MARK)
     # odd pieces are matches, even ones the text between them
     pairs = let(
-        F.split(marked, _MARK),
+        F.split(marked, MARK),
         lambda parts: F.transform(
             F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)),
             lambda i: F.struct(F.get(parts, i).alias("text"), F.get(parts, i + 1).alias("hit")),
         ),
     )
-    lead = r"^\]\([ \t]*<?"
+    is_link = lambda hit: hit.rlike(_LEAD)
     return F.transform(
         pairs,
         lambda p: F.struct(
-            F.concat(p["text"], F.when(p["hit"].isNull(), F.lit("")).when(p["hit"].startswith("]("), F.regexp_extract(p["hit"], lead, 0)).otherwise(p["hit"])).alias("before"),
-            F.when(p["hit"].startswith("]("), F.regexp_replace(p["hit"], lead, "")).alias("destination"),
+            unescaped(F.concat(p["text"], F.when(p["hit"].isNull(), F.lit("")).when(is_link(p["hit"]), F.regexp_extract(p["hit"], _LEAD, 0)).otherwise(p["hit"]))).alias("before"),
+            F.when(is_link(p["hit"]), unescaped(F.regexp_replace(p["hit"], _LEAD, ""))).alias("destination"),
         ),
     )

@@ -1,7 +1,8 @@
 """Markdown structure as column expressions: code, headings, slugs, bodies.
 
-The supported part of the grammar: front matter, fenced and indented code, code spans, ATX and setext
-headings, inline links and images. All of it stays in the JVM.
+The supported part of the grammar: front matter, fenced and indented code, code spans, ATX headings (in
+quotes and list items, too) and setext headings, links and images, inline or by reference, autolinks.
+All of it stays in the JVM.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FENCE = r"(?ms)^ {0,3}(```+|~~~+)[^\n]*(?:\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)|\z)"
-#: The mark of an indented line is looked for first, as the look back for an empty line is dear.
-_INDENTED = r"(?= {4}|\t)(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*(?:\n|\z))+"
-_SPAN = r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
+#: The mark of an indented line is looked for first, as the look back for an empty line is dear. Groups are
+#: repeated possessively throughout, for which the engine needs no stack, however long the text is.
+_INDENTED = r"(?= {4}|\t)(?:\A|(?<=\n[ \t]{0,80}\n))(?:(?: {4}|\t)[^\n]*+(?:\n|\z))++"
+#: A span ends with as many backticks as it starts with, before its paragraph does.
+_SPAN = r"(?<!`)(`+)(?!`)((?:[^`\n]++|\n(?![ \t]*(?:\n|\z))|(?!\1(?!`))`++)++)\1(?!`)"
 _BODY = r"(?s)\A---\s*\n(.*?)\n---\s*\n?"
-_HEADING = r"(?m)^ {0,3}(#{1,6})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*$"
+#: Quotes and list items that a heading may stand in.
+_INSIDE = r"(?:[ \t]{0,3}(?:>|[-*+](?=[ \t])|\d{1,9}[.)](?=[ \t]))[ \t]?)*+"
+_HEADING = rf"(?m)^{_INSIDE} {{0,3}}(#{{1,6}})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*$"
 
 
 def body(raw: Column) -> Column:

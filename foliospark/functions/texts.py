@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let
+from .binding import MARK, escaped, let, unescaped
 
 
 def mask_secret(x: Column) -> Column:
@@ -23,13 +23,13 @@ def truncate(x: Column, length: int) -> Column:
 
 def interpolate(template: Column, values: dict[str, Column]) -> Column:
     """The template with values for `{{name}}`, in one pass: values aren't searched, unknown names stay."""
-    parts = F.split(F.regexp_replace(template, r"\{\{(\w+)\}\}", "\x01\x02$1\x01"), "\x01")
+    parts = F.split(F.regexp_replace(escaped(template), r"\{\{(\w+)\}\}", f"{MARK}$1{MARK}"), MARK)
     known = F.create_map(*[c for k, v in values.items() for c in (F.lit(k), F.coalesce(v, F.lit("")))]) if values else F.create_map().cast("map<string,string>")
 
     def shown(names: Column) -> Column:
         return F.transform(
             parts,
-            lambda p: F.when(p.startswith("\x02"), F.coalesce(F.try_element_at(names, F.substr(p, F.lit(2))), F.concat(F.lit("{{"), F.substr(p, F.lit(2)), F.lit("}}")))).otherwise(p),
+            lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(names, p), F.concat(F.lit("{{"), p, F.lit("}}")))).otherwise(unescaped(p)),
         )
 
     return F.array_join(let(known, shown), "")

@@ -22,7 +22,7 @@ from ..operators import scan as S
 from ..operators import split as C
 from ..operators import translate as X
 from .corpus import (
-    HEADINGS_SQL, LINES_SQL, LINKS_SQL, MD_SQL, MIRROR_SQL, RAW_SQL, assets, md, mirrored, norm_sql, parent_sql, raw, resolved_sql, slug_sql, table, whole,
+    HEADINGS_SQL, LINES_SQL, LINKS_SQL, MD_SQL, MIRROR_SQL, RAW_SQL, assets, md, mirrored, norm_sql, parent_sql, raw, resolved_sql, slug_sql, table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,19 +121,15 @@ def property_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH vals AS (SELECT DISTINCT props AS v FROM events UNION SELECT DISTINCT substr(text, 1, 20) FROM documents UNION SELECT DISTINCT p_type FROM part
+    f"""WITH vals AS (SELECT DISTINCT props AS v FROM events UNION SELECT DISTINCT text FROM documents UNION SELECT DISTINCT p_type FROM part
   UNION SELECT unnest(['', 'Yes', 'null', '- x', '[a]', 'it''s', 'a: b', '9 lives', 'plain', '# c', '@x', 'x#y', 'TRUE']))
 SELECT v, {_QUOTED.format(v="v")} AS quoted FROM vals WHERE v IS NOT NULL"""
 )
 def yaml_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _yaml_quote(spark, sf_dir, F.substring("text", 1, 20))
-
-
-@query()
-def yaml_quote_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _yaml_quote(spark, sf_dir, F.col("text"))
 
 
+
 def _yaml_quote(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     more = spark.createDataFrame([(x,) for x in ["", "Yes", "null", "- x", "[a]", "it's", "a: b", "9 lives", "plain", "# c", "@x", "x#y", "TRUE"]], "v string")
     vals = table(spark, sf_dir, "events").select(F.col("props").alias("v")).union(table(spark, sf_dir, "documents").select(text)).union(table(spark, sf_dir, "part").select("p_type")).union(more)
@@ -158,16 +154,12 @@ def anchors_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.anchor_rows(md(spark, sf_dir, True))
 
 
-@query(f"SELECT doc_id, {slug_sql('substr(text, 1, 60)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {slug_sql('text')} AS slug FROM documents")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", M.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
-@query()
-def slugify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", M.slugify(F.col("text")).alias("slug"))
 
 
+
 @query(
     f"""WITH {MD_SQL}, {HEADINGS_SQL}
 SELECT h.path, h.slug, min(h.pos) AS at, (SELECT count(*) FROM headings x WHERE x.path = h.path) AS n FROM headings h GROUP BY h.path, h.slug"""
@@ -225,19 +217,15 @@ def url_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH v AS (SELECT doc_id, unnest(['img/' || doc_id || '.png', 'http://x.org/a.png', '/abs/a.png', source, source || '.md', 'a\b', '  ', '//h/x', substr(text, 1, 12)]) AS v FROM documents)
+    r"""WITH v AS (SELECT doc_id, unnest(['img/' || doc_id || '.png', 'http://x.org/a.png', '/abs/a.png', source, source || '.md', 'a\b', '  ', '//h/x', text]) AS v FROM documents)
 SELECT doc_id, v, trim(v) <> '' AND NOT regexp_matches(lower(v), '^(https?://|mailto:|tel:|ftp://|//)') AND NOT starts_with(v, '/')
   AND (contains(v, '/') OR contains(v, chr(92)) OR regexp_full_match(v, '.*\.\w+')) AS likely FROM v"""
 )
 def likely_file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _likely_file_path(spark, sf_dir, F.substring("text", 1, 12))
-
-
-@query()
-def likely_file_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _likely_file_path(spark, sf_dir, F.col("text"))
 
 
+
 def _likely_file_path(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     v = F.array(F.concat(F.lit("img/"), "doc_id", F.lit(".png")), F.lit("http://x.org/a.png"), F.lit("/abs/a.png"), F.col("source"), F.concat("source", F.lit(".md")), F.lit("a\\b"), F.lit("  "), F.lit("//h/x"), text)
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(v).alias("v"))
@@ -618,16 +606,12 @@ def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 # fields, prompts, small texts
 
 
-@query("SELECT doc_id, 'To German: ' || source || ' {{unknown}} ' || substr(text, 1, 30) || ' [' || '{{source}}' || ']' AS prompt FROM documents")
+@query("SELECT doc_id, 'To German: ' || source || ' {{unknown}} ' || text || ' [' || '{{source}}' || ']' AS prompt FROM documents")
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompt_render(spark, sf_dir, F.substring("text", 1, 30))
-
-
-@query()
-def prompt_render_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prompt_render(spark, sf_dir, F.col("text"))
 
 
+
 def _prompt_render(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
     text = F.lit("To {{language}}: {{source}} {{unknown}} {{text}} [{{mark}}]")
     values = {"language": T.language_name(F.lit("de-AT")), "source": F.col("source"), "text": value, "mark": F.lit("{{source}}")}
@@ -635,19 +619,15 @@ def _prompt_render(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame
 
 
 @query(
-    r"""WITH v AS (SELECT doc_id, source, trim(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 50)) AS t FROM documents)
+    r"""WITH v AS (SELECT doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
 SELECT doc_id, 'Front matter fields to translate:' || chr(10) || chr(10) || '[[title]]' || chr(10) || t || chr(10) || '[[/title]]' || chr(10) || chr(10) || '[[source]]' || chr(10) || source || chr(10) || '[[/source]]' || chr(10) || chr(10) AS blocks,
   t AS title, source AS source_field, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE '' END AS missing, 'the body' AS body FROM v WHERE t <> ''"""
 )
 def field_block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _field_block_roundtrip(spark, sf_dir, F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 50)))
-
-
-@query()
-def field_block_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _field_block_roundtrip(spark, sf_dir, F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
+
 def _field_block_roundtrip(spark: SparkSession, sf_dir: str, t: Column) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("t", t).where("t <> ''")
     fields = F.array(F.struct(F.lit("title").alias("key"), F.col("t").alias("value")), F.struct(F.lit("source").alias("key"), F.col("source").alias("value")))
@@ -752,13 +732,3 @@ def summaries_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_permanent_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("f"), "conv_id").alias("path"), F.when(F.col("turn") == 2, "[PERMANENT] stop").when(F.col("turn") == 1, "[BODY] other").alias("error"))
     return X.first_permanent_failure(c)
-
-
-# the queries over md() once more, over whole lines and all documents, without SQL: MD_SQL cuts headings
-
-for _name in [
-    "scan_filter_exclude", "headings_ordered", "anchors_distinct", "heading_lookup", "links_extract", "link_parse", "path_resolve",
-    "mirror_path", "translatable_filter", "broken_files", "broken_anchors", "version_errors", "check_summary", "error_report", "anchor_translate", "heading_mismatch", "links_corrected", "corrections_by_file",
-    "correction_summary", "corrected_check", "split_chunks", "chunk_stats", "chunks_joined",
-]:
-    QUERIES[f"{_name}_whole"] = whole(QUERIES[_name])

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markdown import slugify
 
-#: Whether `md` makes headings of whole lines and has every document; set by `whole` only.
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 FENCE = "\n```\n# no heading\n[code](never.md)\n```\n"
 
 
@@ -22,17 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def md(spark: SparkSession, sf_dir: str, fenced: bool = False) -> DataFrame:
     """doc_id, path, content: documents as Markdown with headings, links that work and links that don't.
 
-    With fenced, every fifth document ends with a code block that looks like a heading and a link.
-    Headings are cut to 40 characters and documents whose partner's id isn't there are missing, as in
-    MD_SQL; within `whole` neither is so.
+    With fenced, every fifth document ends with a code block that looks like a heading and a link. Every
+    fourth line is a heading, as long as it is; a document's partner is that of a dense number.
     """
-    docs = table(spark, sf_dir, "documents")
-    cut = (lambda x: x) if _WHOLE.get() else (lambda x: F.substring(x, 1, 40))
-    base = _whole_base(docs) if _WHOLE.get() else _base(docs)
+    base = _base(table(spark, sf_dir, "documents"))
 
     def line(x, i):
         return (
-            F.when((i % 4 == 0) & (F.trim(x) != ""), F.concat(F.repeat(F.lit("#"), (F.floor(i / 4) % 4 + 1).cast("int")), F.lit(" "), cut(x)))
+            F.when((i % 4 == 0) & (F.trim(x) != ""), F.concat(F.repeat(F.lit("#"), (F.floor(i / 4) % 4 + 1).cast("int")), F.lit(" "), x))
             .when(i % 4 == 0, x)
             .when(i % 4 == 1, F.concat(x, F.lit(" [ok]("), F.col("tgt"), F.lit("#"), F.col("tslug"), F.lit(")")))
             .when(i % 4 == 2, F.concat(x, F.lit(" [anchor]("), F.col("tgt"), F.lit("#nope-"), i, F.lit(")")))
@@ -43,20 +35,7 @@ def md(spark: SparkSession, sf_dir: str, fenced: bool = False) -> DataFrame:
     return out.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(FENCE))).otherwise(F.col("content"))) if fenced else out
 
 
-def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query over the corpus of whole lines and all documents."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _WHOLE.reset(token)
-
-    return run
-
-
-def _whole_base(docs: DataFrame) -> DataFrame:
+def _base(docs: DataFrame) -> DataFrame:
     """doc_id, path, lines, tgt, tslug of every document; partners by a dense number of the distinct rows."""
     docs = docs.select("doc_id", "lang", "source", "text", F.xxhash64("doc_id", "lang", "source", "text").alias("rk"))
     # only ids and keys go through the one task that numbers
@@ -70,17 +49,6 @@ def _whole_base(docs: DataFrame) -> DataFrame:
     return numbered.crossJoin(F.broadcast(n)).join(ends, F.expr("tn = (rn * 31L + 7) % n"), "left").select("doc_id", "path", F.split("text", "\n").alias("lines"), "tgt", "tslug")
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    """doc_id, path, lines, tgt, tslug of the documents whose partner's id is there, as in MD_SQL."""
-    n = docs.agg(F.count("*").alias("n"))
-    place = lambda t: F.concat(F.col(f"{t}.lang"), F.lit("/"), F.col(f"{t}.source"), F.lit("/doc-"), F.col(f"{t}.doc_id"), F.lit(".md"))
-    base = docs.alias("d").crossJoin(F.broadcast(n)).join(docs.alias("t"), F.expr("t.doc_id = (d.doc_id * 31 + 7) % n"))
-    return base.select(
-        F.col("d.doc_id").alias("doc_id"), place("d").alias("path"), F.split("d.text", "\n").alias("lines"),
-        F.concat(F.lit("../../"), place("t")).alias("tgt"), slugify(F.substring(F.substring_index("t.text", "\n", 1), 1, 40)).alias("tslug"),
-    )
-
-
 def slug_sql(x: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s-]', '', 'g'), '\s', '-', 'g'), '^-+|-+$', '', 'g')"
 
@@ -102,13 +70,14 @@ def parent_sql(p: str) -> str:
 
 
 MD_SQL = f"""
+named AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn, lang || '/' || source || '/doc-' || doc_id || '.md' AS path FROM documents),
 base AS (
-  SELECT d.doc_id, d.lang || '/' || d.source || '/doc-' || d.doc_id || '.md' AS path, string_split(d.text, chr(10)) AS lines,
-         '../../' || t.lang || '/' || t.source || '/doc-' || t.doc_id || '.md' AS tgt, {slug_sql("substr(split_part(t.text, chr(10), 1), 1, 40)")} AS tslug
-  FROM documents d JOIN documents t ON t.doc_id = (d.doc_id * 31 + 7) % (SELECT count(*) FROM documents)),
+  SELECT d.doc_id, d.path, string_split(d.text, chr(10)) AS lines, '../../' || t.path AS tgt, {slug_sql("split_part(t.text, chr(10), 1)")} AS tslug
+  FROM named d LEFT JOIN named t ON t.rn = (d.rn * 31 + 7) % (SELECT count(*) FROM documents)),
 md AS (
   SELECT doc_id, path, array_to_string(list_transform(lines, lambda x, i: CASE
-    WHEN (i - 1) % 4 = 0 AND trim(x) <> '' THEN repeat('#', CAST(1 + ((i - 1) // 4) % 4 AS INT)) || ' ' || substr(x, 1, 40)
+    WHEN (i - 1) % 4 = 0 AND trim(x) <> '' THEN repeat('#', CAST(1 + ((i - 1) // 4) % 4 AS INT)) || ' ' || x
     WHEN (i - 1) % 4 = 0 THEN x
     WHEN (i - 1) % 4 = 1 THEN x || ' [ok](' || tgt || '#' || tslug || ')'
     WHEN (i - 1) % 4 = 2 THEN x || ' [anchor](' || tgt || '#nope-' || (i - 1) || ')'
@@ -156,14 +125,14 @@ def assets(spark: SparkSession) -> DataFrame:
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, raw, title, source, lang: documents with front matter of every supported kind."""
     docs = table(spark, sf_dir, "documents")
-    title = F.trim(F.regexp_replace(F.substring("text", 1, 40), r"[^\p{L}\p{N} ]", ""))
+    title = F.trim(F.regexp_replace("text", r"[^\p{L}\p{N} ]", ""))
     head = F.concat(
         F.lit("---\ntitle: "), title, F.lit("\nsource: "), "source", F.lit("\ntags:\n  - "), "lang", F.lit("\n  - x\nnote: |\n  line "), "doc_id", F.lit("\n  second\n---\n\n"),
     )
     return docs.select("doc_id", F.concat(head, "text").alias("raw"), title.alias("title"), "source", "lang")
 
 
-TITLE_SQL = r"trim(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N} ]', '', 'g'))"
+TITLE_SQL = r"trim(regexp_replace(text, '[^\p{L}\p{N} ]', '', 'g'))"
 RAW_SQL = f"""
 raw AS (
   SELECT doc_id, source, lang, text, {TITLE_SQL} AS title,

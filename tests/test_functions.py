@@ -106,3 +106,26 @@ def test_small_texts(spark):
     assert apply(spark, lambda a, b: T.progress_bar(a.cast("int"), b.cast("int")), ("1", "4"), ("4", "4"), ("0", "3")) == ["[=====               ]  25%", "[" + "=" * 20 + "] 100%", "[" + " " * 20 + "]   0%"]
     assert apply(spark, T.lines, ("a\r\nb\rc\n",), ("",), ("\n",), ("a\n\n",), ("x",)) == [["a", "b", "c"], [], [""], ["a", ""], ["x"]]
     assert apply(spark, T.language_name, ("de",), ("en-US",), ("xx",)) == ["German", "English", "xx"]
+
+
+def test_markdown_of_any_length_and_any_characters(spark):
+    long_block = "    line\n" * 100_000
+    docs = {
+        "indented": (long_block + "\n[a](b.md)", ["b.md"]),
+        "brackets": ("[x](a" + "(b)" * 10_000 + ".md) end", ["a" + "(b)" * 10_000 + ".md"]),
+        "marks": ("a\x01b [x](y.md) c\x02a\x02b\x01", ["y.md"]),
+        "stray": ("a ` b\n\n[x](missing.md)\n\nc ` d", ["missing.md"]),
+        "spans": ("`[no](x.md)` ``a ` b`` [y](z.md)", ["z.md"]),
+        "references": ("[x][r] and [r] and [R][]\n\n[r]: missing.md 'title'\n[q]: <a b.md>\n", ["missing.md"] * 3),
+        "odd labels": ("[$1](x$1.md) [q][w.*]\n\n[w.*]: d$e.md\n", ["x$1.md", "d$e.md"]),
+        "autolinks": ("<https://a.b/c> <x@y.z> <b> <mailto:q@r>", ["https://a.b/c", "mailto:x@y.z", "mailto:q@r"]),
+        "fence": ("```\n" + "[x](y.md)\n" * 20_000 + "```\n[k](l.md)", ["l.md"]),
+    }
+    df = spark.createDataFrame([(k, d) for k, (d, _) in docs.items()], "k string, d string")
+    for r in df.select("k", "d", L.destinations(F.col("d")).alias("x"), L.link_segments(F.col("d")).alias("s")).collect():
+        assert r.x == docs[r.k][1], r.k
+        assert "".join(p.before + (p.destination or "") for p in r.s) == r.d, r.k
+    got = spark.createDataFrame([("> # Title\n\n- ## In list\n  > ### Deep #\n1. # One\n",), (long_block + "# After\n",)], "d string").select(M.headings(F.col("d")).alias("h")).collect()
+    assert [(h.level, h.text) for h in got[0].h] == [(1, "Title"), (2, "In list"), (3, "Deep"), (1, "One")] and [h.text for h in got[1].h] == ["After"]
+    text = spark.createDataFrame([("a\x01{{n}}\x02a{{m}}",)], "t string").select(T.interpolate(F.col("t"), {"n": F.lit("{{m}}")}).alias("x")).first().x
+    assert text == "a\x01{{m}}\x02a{{m}}"

@@ -408,13 +408,13 @@ def test_queries_over_whole_lines_and_all_documents(spark, tmp_path):
     rows = [(10, f"{long}\nbody [x](y.md)\nmore\nlast\nsecond {long}", "en", "s"), (70, long, "de", "s"), (None, "no id " * 20, "en", "s"), (71, "x " * 3_000 + "\nlink line", None, None), (5000, "short\nlink", "en", "s")]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    heads = {(r.path.split("/doc-")[1].split(".")[0][:4], r.pos): r.text for r in run("headings_ordered_whole")}
+    heads = {(r.path.split("/doc-")[1].split(".")[0][:4], r.pos): r.text for r in run("headings_ordered")}
     assert heads["10", 0] == long and heads["10", 1] == f"second {long}" and heads["70", 0] == long and heads["5000", 0] == "short"
     assert heads["71", 0] == ("x " * 3_000).strip() and heads["row-", 0] == ("no id " * 20).strip() and len(heads) == 6
-    found = {r.destination for r in run("links_extract_whole") if "#" in r.destination and "#nope" not in r.destination}
+    found = {r.destination for r in run("links_extract") if "#" in r.destination and "#nope" not in r.destination}
     assert len(found) == 3 and all(d.startswith("../../") for d in found)
-    assert not [r for r in run("broken_anchors_whole") if r.destination in found]
-    assert len({r.path for r in run("split_chunks_whole")}) == 5
+    assert not [r for r in run("broken_anchors") if r.destination in found]
+    assert len({r.path for r in run("split_chunks")}) == 5
 
 
 def test_queries_over_whole_texts(spark, tmp_path):
@@ -425,14 +425,14 @@ def test_queries_over_whole_texts(spark, tmp_path):
     spark.createDataFrame([("TIN",)], "p_type string").write.parquet(f"{tmp_path}/part.parquet")
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
     slug = lambda t: "".join("-" if c.isspace() else c for c in t.lower() if c.isalnum() or c.isspace() or c == "-").strip("-")
-    assert {r.doc_id: r.slug for r in run("slugify_whole")} == {i: t if t is None else slug(t) for i, t in enumerate(texts)}
-    quoted = {r.v: r.quoted for r in run("yaml_quote_whole")}
+    assert {r.doc_id: r.slug for r in run("slugify")} == {i: t if t is None else slug(t) for i, t in enumerate(texts)}
+    quoted = {r.v: r.quoted for r in run("yaml_quote")}
     assert all(t in quoted for t in texts if t is not None) and quoted[texts[2]] == texts[2]
     assert quoted[texts[0]] != texts[0] and quoted[texts[1]] != texts[1]
-    likely = {r.doc_id: r.likely for r in run("likely_file_path_whole") if r.v == texts[r.doc_id] and r.v}
+    likely = {r.doc_id: r.likely for r in run("likely_file_path") if r.v == texts[r.doc_id] and r.v}
     assert likely == {0: True, 1: False, 2: False, 4: False}
-    prompts = {r.doc_id: r.prompt for r in run("prompt_render_whole")}
+    prompts = {r.doc_id: r.prompt for r in run("prompt_render")}
     assert all(prompts[i] == f"To German: s{i} {{{{unknown}}}} {texts[i]} [{{{{source}}}}]" for i in (0, 1, 2, 4))
-    fields = {r.doc_id: r for r in run("field_block_roundtrip_whole")}
+    fields = {r.doc_id: r for r in run("field_block_roundtrip")}
     assert {i: r.title for i, r in fields.items()} == {i: texts[i].strip() for i in range(3)}
     assert all(r.body == "the body" and r.source_field == f"s{i}" and f"[[title]]\n{texts[i].strip()}\n[[/title]]" in r.blocks for i, r in fields.items())
