@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import connected_components
 from .text import checkpoint_ready, free_name, row_key, written
 
 #: Depth of the tree below the token count, least tokens and fixed tokens of a template, documents from
 #: which on a template recurs, and the share of equal tokens that joins a line to a template.
 DEPTH, MIN_TOKENS, MIN_FIXED, MIN_DOCS, SIMILARITY = 4, 3, 3, 3, 0.75
+#: Most lines and tokens of a lot, where all lines with a run are compared.
+LOT, LOT_TOKENS = 512, 100_000
 #: Documents from which on the same line without digits recurs.
 EXACT_DOCS = 2
 WILD = "<*>"
@@ -24,35 +31,105 @@ def line_hash(masked: str) -> str:
     return f"cast(conv(substring(md5({masked}), 1, 15), 16, 10) as bigint)"
 
 
-def templates(kinds: DataFrame, depth: int, similarity: float, min_fixed: int) -> DataFrame:
-    """mh, th, base, wild of distinct lines (mh, h): a line's hash, its template's, and the line and wild places that make it.
-
-    h are the hashes of a line's tokens. Two lines of n tokens of which at most m = n - similarity * n
-    differ agree in one of m + 1 runs of the tokens below the leading ones. For every leaf and run the
-    line with the least hash is asked: of those that have similarity * n tokens in common with a line,
-    the least leads it. A leader and all that it leads make a template, in which the tokens that they
-    don't share are wild, if that leaves similarity * n tokens; other lines are their own template.
-    Templates have min_fixed tokens that are neither wild nor masked. All of it is partial sums and
-    equi-joins on a few numbers: nothing depends on how many lines a leaf has.
+def _links(similarity: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """a, b from sorted blocks (run, x, y, lot, part, h): links between similar lines, as many as join their parts."""
+
+    def block(lot: np.ndarray, part: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int]]:
+        names, label = np.unique(part, return_inverse=True)
+        need = similarity * h.shape[1] - 1e-9
+        later = np.arange(len(lot))
+        for i in range(len(lot)):
+            # a block of two lots compares one with the other, as each has a block of its own
+            js = later[(label != label[i]) & ((lot > lot[i]) if lot[0] != lot[-1] else (later > i))]
+            if not len(js):
+                continue
+            for other in np.unique(label[js[(h[js] == h[i]).sum(axis=1) >= need]]).tolist():
+                yield int(names[label[i]]), int(names[other])
+                label[label == other] = label[i]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def links(rows: pa.Table) -> pa.RecordBatch:
+            keys = np.stack([rows[c].to_numpy() for c in ("run", "x", "y")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            lot, part, h = rows["lot"].to_numpy(), rows["part"].to_numpy(), rows["h"].combine_chunks()
+            found = []
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows], strict=True):
+                order = np.argsort(lot[i:j], kind="stable")
+                found += block(lot[i:j][order], part[i:j][order], h.slice(i, j - i).flatten().to_numpy().reshape(j - i, -1)[order])
+            return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                t = t if held is None else pa.concat_tables([held, t])
+                last = [t[c][-1].as_py() for c in ("run", "x", "y")]
+                same = np.logical_and.reduce([t[c].to_numpy() == v for c, v in zip(("run", "x", "y"), last, strict=True)])
+                cut = int(np.argmax(same))
+                held = t.slice(cut)
+                if cut:
+                    yield links(t.slice(0, cut))
+        if held is not None:
+            yield links(held)
+
+    return run
+
+
+def classes(kinds: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """mh, base of distinct lines (mh, h): the least line of each line's class, itself if it is alone.
+
+    Lines of a leaf that have similarity * n tokens in common are linked, and a class is whatever links
+    connect. Two lines of n tokens of which at most m = n - similarity * n differ agree in one of m + 1
+    runs of the tokens below the leading ones. All lines with a run are compared with the least of them;
+    where these links leave lines of a run in several parts, all pairs from different parts are
+    compared, in blocks of two lots of a bounded size. So no link between parts is lost, whatever the
+    number of lines with a run; runs that the same lines have are taken once.
     """
-    wild = f"xxhash64('{WILD}')"
     sized = kinds.select("mh", "h", F.size("h").alias("n"), F.expr(f"size(h) - cast(ceil({similarity} * size(h) - 1e-9) as int) + 1").alias("k"))
     bound = lambda j: f"cast(floor({j} * greatest(n - {depth}, 0) / k) as int)"
     run = f"xxhash64(n, slice(h, 1, {depth}), j, slice(h, {depth} + 1 + {bound('j')}, {bound('(j + 1)')} - {bound('j')}))"
     runs = sized.select("mh", F.explode(F.expr(f"transform(sequence(0, k - 1), j -> {run})")).alias("run")).repartition("run")
-    least = runs.groupBy("run").agg(F.min("mh").alias("lead"), F.max("mh").alias("most")).where("lead <> most").drop("most")
-    asked = runs.join(least.hint("shuffle_hash"), "run").where("lead <> mh").select("mh", "lead").distinct()
-    both = asked.join(kinds.hint("shuffle_hash"), "mh").join(kinds.select(F.col("mh").alias("lead"), F.col("h").alias("u")).hint("shuffle_hash"), "lead")
+    least = runs.groupBy("run").agg(F.min("mh").alias("lead"), F.max("mh").alias("most"), F.count("*").alias("lines")).where("lead <> most").drop("most")
+    asked = runs.join(least.hint("shuffle_hash"), "run").where("lead <> mh").checkpoint()
+    both = asked.select("mh", "lead").distinct().join(kinds.hint("shuffle_hash"), "mh").join(kinds.select(F.col("mh").alias("lead"), F.col("h").alias("u")).hint("shuffle_hash"), "lead")
+    alike = f"size(h) = size(u) and slice(h, 1, {depth}) = slice(u, 1, {depth}) and size(filter(zip_with(h, u, (x, y) -> x = y), e -> e)) >= {similarity} * size(h) - 1e-9"
+    linked = both.where(alike).select("mh", "lead").checkpoint()
+    # a line's part is the least lead of its least lead; links between parts join them at the end
+    first = linked.unionByName(linked.select(F.col("lead").alias("mh"), "lead")).groupBy("mh").agg(F.least(F.min("mh"), F.min("lead")).alias("lead"))
+    near = first.join(first.select(F.col("mh").alias("lead"), F.col("lead").alias("part")), "lead").select("mh", "part").checkpoint()
+    apart = linked.join(near, "mh").join(near.select(F.col("mh").alias("lead"), F.col("part").alias("b")), "lead").where("part <> b").select(F.col("part").alias("a"), "b")
+    # a run of two lines is settled by then
+    more = asked.where("lines > 2")
+    more = more.select("run", "mh").unionByName(more.select("run", F.col("lead").alias("mh")).distinct())
+    more = more.join(near, "mh", "left").select("run", "mh", F.coalesce("part", "mh").alias("part")).checkpoint()
+    mixed = more.groupBy("run").agg(F.count("*").alias("lines"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.bit_xor(F.xxhash64("mh")).alias("who")).where("lo <> hi")
+    mixed = mixed.groupBy("who", "lines").agg(F.min("run").alias("run")).select("run", "lines")
+    rows = more.join(mixed, "run").join(kinds.hint("shuffle_hash"), "mh")
+    rows = rows.withColumn("lots", F.expr(f"cast(ceil(lines / greatest(1, least({LOT}, {LOT_TOKENS} div size(h)))) as int)")).withColumn("lot", F.expr("cast(pmod(xxhash64(mh), lots) as int)"))
+    rows = rows.select("run", "lot", "part", "h", F.explode(F.expr("sequence(0, lots - 1)")).alias("o")).select("run", F.least("lot", "o").alias("x"), F.greatest("lot", "o").alias("y"), "lot", "part", "h")
+    links = rows.repartition("run", "x", "y").sortWithinPartitions("run", "x", "y").mapInArrow(_links(similarity), "a bigint, b bigint")
+    joined = connected_components(apart.unionByName(links)).select(F.col("node").alias("part"), F.col("component").alias("base"))
+    found = kinds.select("mh").join(near, "mh", "left").select("mh", F.coalesce("part", "mh").alias("part"))
+    return found.join(joined, "part", "left").select("mh", F.coalesce("base", "part").alias("base"))
+
+
+def templates(kinds: DataFrame, depth: int, similarity: float, min_fixed: int) -> DataFrame:
+    """mh, th, base, wild of distinct lines (mh, h): a line's hash, its template's, and the line and wild places that make it.
+
+    h are the hashes of a line's tokens. The lines of a class (see `classes`) make a template, in which
+    the tokens that they don't share are wild. Templates have min_fixed tokens that are neither wild nor
+    masked; the lines of a class that keeps fewer are their own templates, as are lines without a class.
+    """
+    wild = f"xxhash64('{WILD}')"
+    classed = classes(kinds, depth, similarity).checkpoint()
+    heads = kinds.select(F.col("mh").alias("base"), F.col("h").alias("u"))
+    both = classed.where("mh <> base").join(kinds.hint("shuffle_hash"), "mh").join(heads.hint("shuffle_hash"), "base")
     differ = "filter(transform(zip_with(h, u, (x, y) -> x = y), (e, i) -> if(e, -1, i)), i -> i >= 0)"
-    led = both.where(f"size(h) = size(u) and slice(h, 1, {depth}) = slice(u, 1, {depth})").select("mh", "lead", F.size("h").alias("n"), F.expr(differ).alias("wild"))
-    led = led.where(f"n - size(wild) >= {similarity} * n - 1e-9").groupBy("mh").agg(F.min(F.struct("lead", "n", "wild")).alias("x")).select("mh", "x.*").checkpoint()
-    # a line that leads stays with those that it leads
-    leads = led.select(F.col("lead").alias("mh")).distinct()
-    members = led.join(leads, "mh", "left_anti")
-    places = members.select("lead", "n", F.explode("wild").alias("i")).groupBy("lead").agg(F.first("n").alias("n"), F.collect_set("i").alias("wild"))
-    made = places.where(f"n - size(wild) >= {similarity} * n - 1e-9").select("lead", F.array_sort("wild").alias("wild"))
-    belongs = members.select("mh", "lead").unionByName(leads.select("mh", F.col("mh").alias("lead"))).join(made, "lead").select("mh", F.col("lead").alias("base"), "wild")
-    found = kinds.select("mh").join(belongs, "mh", "left").select("mh", F.coalesce("base", "mh").alias("base"), F.coalesce("wild", F.array().cast("array<int>")).alias("wild"))
+    places = both.select("base", F.explode(F.expr(differ)).alias("i")).groupBy("base").agg(F.collect_set("i").alias("wild"))
+    made = places.join(heads.hint("shuffle_hash"), "base").where(f"size(filter(u, (x, i) -> x <> {wild} and not array_contains(wild, i))) >= {min_fixed}")
+    found = classed.join(made.select("base", F.array_sort("wild").alias("wild")), "base", "left")
+    found = found.select("mh", F.expr("if(wild is null, mh, base)").alias("base"), F.coalesce("wild", F.array().cast("array<int>")).alias("wild"))
     found = found.join(kinds.select(F.col("mh").alias("base"), "h").hint("shuffle_hash"), "base").withColumn("h", F.expr(f"transform(h, (x, i) -> if(array_contains(wild, i), {wild}, x))"))
     return found.where(f"size(filter(h, x -> x <> {wild})) >= {min_fixed}").select("mh", F.xxhash64("h").alias("th"), "base", "wild")
 
@@ -64,8 +141,8 @@ def recurring_lines(
     """doc_id, rk, line_no, template, n_docs, first_doc: every line whose template recurs in min_docs documents.
 
     A line's tokens (between white space) that hold a digit are wild. The tree's first level is the
-    number of tokens, the next `depth` levels are the leading tokens; inside a leaf, similar lines are
-    generalised to one template (see `templates`). Lines with fewer than min_tokens tokens and templates
+    number of tokens, the next `depth` levels are the leading tokens; inside a leaf, lines that similarity
+    links, directly or through others, are generalised to one template (see `classes` and `templates`). Lines with fewer than min_tokens tokens and templates
     with fewer than min_fixed fixed tokens never count. first_doc marks the lines of the document with
     the lowest doc_id (then key) that has the template.
 

@@ -105,7 +105,7 @@ WHERE t.slot <= (SELECT max(slot) FROM taken WHERE rank = blocks - 1)
 """
 
 _LINES = """
-WITH texts AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS node FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+WITH RECURSIVE texts AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS node FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 cut AS (SELECT node, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM texts),
 split AS (SELECT *, list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda x: x <> '') AS w, NOT regexp_matches(line, '[0-9]') AS exact FROM cut),
 lines AS (
@@ -113,26 +113,20 @@ lines AS (
   FROM split WHERE len(w) >= 3 OR (len(w) >= 1 AND exact)),
 leaves AS (SELECT *, len(t) || ' ' || array_to_string(t[1 : 4], ' ') AS leaf, array_to_string(t, ' ') AS masked FROM lines),
 seen AS (SELECT * FROM leaves WHERE leaf IN (SELECT leaf FROM leaves GROUP BY leaf HAVING min(node) <> max(node))),
-kinds AS (
-  SELECT DISTINCT leaf, masked, t, len(t) AS n, len(t) - CAST(ceil(0.75 * len(t)) AS BIGINT) + 1 AS k, greatest(len(t) - 4, 0) AS rest, ('0x' || substr(md5(masked), 1, 15))::BIGINT AS mh
-  FROM seen WHERE len(t) >= 3),
-runs AS (
-  SELECT leaf, masked, mh, j || ':' || array_to_string(t[5 + (j * rest) // k : 4 + ((j + 1) * rest) // k], ' ') AS run FROM (SELECT *, unnest(range(k)) AS j FROM kinds)),
-least AS (SELECT leaf, run, arg_min(masked, mh) AS lead FROM runs GROUP BY leaf, run HAVING count(*) > 1),
-asked AS (SELECT DISTINCT r.leaf, r.masked, l.lead FROM runs r JOIN least l ON l.leaf = r.leaf AND l.run = r.run AND l.lead <> r.masked),
-led AS (
-  SELECT a.leaf, a.masked, arg_min(a.lead, y.mh) AS lead
-  FROM asked a JOIN kinds x ON x.leaf = a.leaf AND x.masked = a.masked JOIN kinds y ON y.leaf = a.leaf AND y.masked = a.lead
-  WHERE len(list_filter(list_zip(x.t, y.t), lambda z: z[1] = z[2])) >= 0.75 * x.n GROUP BY a.leaf, a.masked),
-led_to AS (
-  SELECT leaf, masked, lead FROM led WHERE (leaf, masked) NOT IN (SELECT (leaf, lead) FROM led) UNION SELECT leaf, lead, lead FROM led),
-tokens AS (SELECT g.leaf, g.lead, unnest(range(k.n)) AS i, unnest(k.t) AS x FROM led_to g JOIN kinds k ON k.leaf = g.leaf AND k.masked = g.masked),
-places AS (SELECT leaf, lead, i, min(x) AS x, min(x) = max(x) AS same FROM tokens GROUP BY leaf, lead, i),
+kinds AS (SELECT leaf, masked, any_value(t) AS t, row_number() OVER (ORDER BY masked) AS kind FROM seen WHERE len(t) >= 3 GROUP BY leaf, masked),
+edges AS (
+  SELECT x.kind AS a, y.kind AS b FROM kinds x JOIN kinds y ON y.leaf = x.leaf AND y.kind <> x.kind
+  WHERE len(list_filter(list_zip(x.t, y.t), lambda z: z[1] = z[2])) >= 0.75 * len(x.t)),
+reach AS (
+  SELECT a AS root, a AS kind FROM edges GROUP BY a HAVING min(b) > a UNION SELECT r.root, e.b FROM reach r JOIN edges e ON e.a = r.kind),
+classes AS (SELECT kind, min(root) AS class FROM reach GROUP BY kind),
+tokens AS (SELECT c.class, unnest(range(len(k.t))) AS i, unnest(k.t) AS x FROM classes c JOIN kinds k ON k.kind = c.kind),
+places AS (SELECT class, i, min(x) AS x, min(x) = max(x) AS same FROM tokens GROUP BY class, i),
 made AS (
-  SELECT leaf, lead, list(CASE WHEN same THEN x ELSE '<*>' END ORDER BY i) AS x FROM places GROUP BY leaf, lead HAVING count(*) FILTER (same) >= 0.75 * count(*)),
+  SELECT class, list(CASE WHEN same THEN x ELSE '<*>' END ORDER BY i) AS x FROM places GROUP BY class HAVING count(*) FILTER (same AND x <> '<*>') >= 3),
 grown AS (
   SELECT k.leaf, k.masked, array_to_string(coalesce(m.x, k.t), ' ') AS template
-  FROM kinds k LEFT JOIN led_to g ON g.leaf = k.leaf AND g.masked = k.masked LEFT JOIN made m ON m.leaf = g.leaf AND m.lead = g.lead
+  FROM kinds k LEFT JOIN classes c ON c.kind = k.kind LEFT JOIN made m ON m.class = c.class
   WHERE len(list_filter(coalesce(m.x, k.t), lambda v: v <> '<*>')) >= 3),
 placed AS (SELECT s.node, s.doc_id, s.line_no, s.leaf, s.masked, s.exact, g.template FROM seen s LEFT JOIN grown g ON g.leaf = s.leaf AND g.masked = s.masked),
 stats AS (SELECT leaf, template, count(DISTINCT node) AS n_docs, min(node) AS first FROM placed WHERE template IS NOT NULL GROUP BY leaf, template HAVING count(DISTINCT node) >= 3),

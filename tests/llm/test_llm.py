@@ -326,27 +326,19 @@ def _brute_lines(rows, similarity=lines.SIMILARITY):
             leaves[len(m), m[: lines.DEPTH]].add(m)
             placed.append((i, no, m))
     template = {}
-    order = lambda m: int(hashlib.md5(" ".join(m).encode()).hexdigest()[:15], 16)
     for leaf in leaves.values():
-        lead = {}
-        for m in leaf:
-            n = len(m)
-            need = math.ceil(similarity * n - 1e-9)
-            k, rest = n - need + 1, max(n - lines.DEPTH, 0)
-            for j in range(k):
-                cut = slice(lines.DEPTH + j * rest // k, lines.DEPTH + (j + 1) * rest // k)
-                first = min((x for x in leaf if x[cut] == m[cut]), key=order)
-                if first != m and sum(x == y for x, y in zip(first, m, strict=True)) >= need:
-                    lead[m] = min(lead.get(m, first), first, key=order)
-        groups = defaultdict(set)
-        for m, x in lead.items():
-            groups[x] |= {x} | ({m} if m not in lead.values() else set())
-        for m in leaf:
-            template[m] = m
-        for ms in groups.values():
-            t = tuple(next(iter(x)) if len(x) == 1 else "<*>" for x in map(set, zip(*ms, strict=True)))
-            if sum(len(set(x)) == 1 for x in zip(*ms, strict=True)) >= similarity * len(t) - 1e-9:
-                template |= dict.fromkeys(ms, t)
+        left = set(leaf)
+        while left:
+            group, todo = set(), [left.pop()]
+            while todo:
+                m = todo.pop()
+                group.add(m)
+                near = {x for x in left if sum(map(str.__eq__, x, m)) >= similarity * len(m) - 1e-9}
+                left -= near
+                todo += near
+            t = tuple(x[0] if len(set(x)) == 1 else "<*>" for x in zip(*group, strict=True))
+            general = sum(x != "<*>" for x in t) < lines.MIN_FIXED
+            template |= {m: m if general else t for m in group}
     template = {m: " ".join(t) for m, t in template.items() if sum(x != "<*>" for x in t) >= lines.MIN_FIXED}
     who = defaultdict(set)
     for i, _, m in placed:
@@ -363,6 +355,48 @@ def test_lines_against_brute_force(spark):
     assert got == _brute_lines(rows)
 
 
+def _least(first, line):
+    """line(i) for the first i whose hash is below those of the other lines."""
+    order = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    return next(line(i) for i in map(_letters, range(100_000)) if order(line(i)) < min(map(order, first)))
+
+
+def _letters(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_similar_lines_are_linked_past_the_least_line_of_a_run(spark):
+    # the three have only the run "p" in common, whose least line is similar to none of them
+    three = ["a b c d p q r s", "a b c d p u v s", "a b c d p w x s"]
+    rows = list(enumerate([*three, _least(three, lambda i: f"a b c d p {i} {i}y {i}z")]))
+    got = lines.recurring_lines(docs_of(spark, rows)).collect()
+    assert {(r.doc_id, r.template, r.n_docs, r.first_doc) for r in got} == {(i, "a b c d p <*> <*> s", 3, i == 0) for i in range(3)}
+    assert {r.doc_id for r in lines.dedup_lines(docs_of(spark, rows)).collect()} == {0, 3}
+
+
+def test_a_class_keeps_its_links_whatever_it_generalises_to(spark):
+    # each is similar to the first alone: together they leave half of their tokens
+    rows = list(enumerate(["a b c d e f g h", "a b c d x y g h", "a b c d e f z w"]))
+    got = lines.recurring_lines(docs_of(spark, rows)).collect()
+    assert {(r.doc_id, r.template, r.n_docs) for r in got} == {(i, "a b c d <*> <*> <*> <*>", 3) for i in range(3)}
+    # a class that leaves less than three fixed tokens doesn't hide the lines that recur by themselves
+    rows = [(i, f"{i} {i} a b c") for i in range(3)] + [(3, "3 3 a b d")]
+    got = lines.recurring_lines(docs_of(spark, rows)).collect()
+    assert {(r.doc_id, r.template, r.n_docs) for r in got} == {(i, "<*> <*> a b c", 3) for i in range(3)}
+
+
+@pytest.mark.parametrize("lot", [2, 7])
+def test_runs_of_many_lines_in_lots(spark, monkeypatch, lot):
+    monkeypatch.setattr(lines, "LOT", lot)
+    rng = random.Random(lot)
+    # two families of lines with links, one without many, all with the run "p"
+    kinds = [("efg", "u"), ("hij", "v"), ("klmnopqrst", "w")]
+    rows = [(i, "\n".join(f"a b c d p {' '.join(rng.choice(letters) for _ in range(6))} {end}" for letters, end in kinds for _ in range(6))) for i in range(12)]
+    want = _brute_lines(rows)
+    got = {(r.doc_id, r.line_no, r.template) for r in lines.recurring_lines(docs_of(spark, rows)).collect()}
+    assert got == want and len({t for _, _, t in want}) > 1
+
+
 def test_equal_lines_recur_at_any_length_from_two_documents(spark):
     rng = random.Random(4)
     words = "a b c d e f g".split()
