@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.binding import let
 from ..functions.texts import lines
 
 LINE = T.StructType().add("type", "string").add("content", "string")
@@ -181,17 +182,18 @@ def serialize_hunks(hunks: Column, old_file: str | None = None, new_file: str |
 
 
 def mismatches(edits: DataFrame, key: str = "path") -> DataFrame:
-    """Rows key, hunk, line, expected, actual of a table (key, text, hunks): a join of hunk lines with text lines.
+    """Rows key, hunk, line, expected, actual of a table (key, text, hunks), each row by itself: keys may recur or be NULL.
 
     The lines that a hunk expects are numbered in the original; a line behind its end is `<EOF>`.
     """
-    wanted = (
-        edits.select(key, F.posexplode("hunks").alias("hunk", "h"))
-        .select(key, "hunk", F.expr("if(h.old_count = 0, h.old_start, greatest(h.old_start - 1, 0))").alias("first"), F.posexplode(F.expr("filter(h.lines, x -> x.type <> 'ADD')")).alias("i", "x"))
-        .select(key, "hunk", (F.col("first") + F.col("i") + 1).alias("line"), F.col("x.content").alias("expected"))
-    )
-    there = edits.select(key, F.posexplode(lines(F.col("text"))).alias("p", "actual")).select(key, (F.col("p") + 1).alias("line"), "actual")
-    joined = wanted.join(there, [key, "line"], "left").withColumn("actual", F.coalesce("actual", F.lit("<EOF>")))
-    return joined.where("expected <> actual").select(key, "hunk", "line", "expected", "actual")
 
+    def of_hunk(rows: Column, h: Column, k: Column) -> Column:
+        first = F.when(h["old_count"] == 0, h["old_start"]).otherwise(F.greatest(h["old_start"] - 1, F.lit(0)))
+        wanted = F.filter(h["lines"], lambda x: x["type"] != "ADD")
+        return F.transform(
+            wanted,
+            lambda x, i: F.struct(k.alias("hunk"), (first + i + 1).alias("line"), x["content"].alias("expected"), F.coalesce(F.get(rows, first + i), F.lit("<EOF>")).alias("actual")),
+        )
 
+    found = let(lines(F.col("text")), lambda rows: F.flatten(F.transform("hunks", lambda h, k: of_hunk(rows, h, k))))
+    return edits.select(key, F.explode(F.filter(found, lambda x: x["expected"] != x["actual"])).alias("x")).select(key, "x.*")

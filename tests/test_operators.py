@@ -155,6 +155,18 @@ def test_diff_columns(spark):
     assert text == "@@ -1,2 +1,2 @@\n-a\n+x\n b\n"
 
 
+def test_lines_that_differ_in_any_text(spark, tmp_path):
+    rows = [(1, "a\nb"), (1, "c\nd\ne\n\n"), (None, "f\ng"), (2, ""), (3, "\n\n"), (4, "h\r\ni"), (5, "j\rk"), (6, None), (7, "\nx"), (8, "not there\nnot there"), (9, "y\x01\n\u2028"), (10, "z\n\u2028")]
+    rows = [(i, t, "en", "s") for i, t in rows]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as c:
+        c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = c.execute(catalog.ORACLE_SQL["diff_validate"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["diff_validate"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # mirrors
 
 
