@@ -56,7 +56,7 @@ def should_validate(destination: Column) -> Column:
 
 def url_decode(x: Column) -> Column:
     """Form decoding (`+` is a space); what can't be decoded stays as it is."""
-    return F.coalesce(F.try_url_decode(x), x)
+    return let(x, lambda v: F.when(v.contains("%") | v.contains("+"), F.coalesce(F.try_url_decode(v), v)).otherwise(v))
 
 
 def normalize_anchor(anchor: Column) -> Column:
@@ -76,11 +76,12 @@ def with_references(content: Column) -> Column:
         full = F.regexp_replace(text, F.concat(F.lit(r"(?i)\[([^\[\]]*)\]\["), label, F.lit(r"\]")), F.concat(F.lit("[$1]"), to))
         return F.regexp_replace(full, F.concat(F.lit(r"(?i)(?<!\])(\["), label, F.lit(r"\])(?:\[\])?(?![\[(:])")), F.concat(F.lit("$1"), to))
 
-    def resolved(found: Column) -> Column:
-        bare = F.regexp_replace(content, _DEFINED, "")
-        return F.when(F.size(found) == 0, content).otherwise(F.aggregate(found, bare, inline))
+    def resolved(text: Column, found: Column) -> Column:
+        bare = F.regexp_replace(text, _DEFINED, "")
+        return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, bare, inline))
 
-    return let(F.regexp_extract_all(content, F.lit(_DEFINED), F.lit(0)), resolved)
+    inlined = lambda t: let(F.regexp_extract_all(t, F.lit(_DEFINED), F.lit(0)), lambda found: resolved(t, found))
+    return let(content, lambda t: F.when(t.contains("]:"), inlined(t)).otherwise(t))
 
 
 def destinations(content: Column, block_aware: bool = True) -> Column:
@@ -116,6 +117,8 @@ _PIECE = (
     r"|\]\([ \t]*(?:<[^>\n]*(?=>)|[^()\s<][^()\s]*+(?:\([^()\s]*+\)[^()\s]*+)*+(?=\s+[\"'(]|[ \t]*\)))"
     r"|^ {0,3}\[[^\[\]\n]+\]:[ \t]*(?:<[^>\n]*(?=>)|[^\s<]\S*+(?=[ \t]*$|[ \t]+[\"'(]))"
 )
+#: The same for a text that has neither code nor definitions.
+_PLAIN_PIECE = r"\]\([ \t]*(?:<[^>\n]*(?=>)|[^()\s<][^()\s]*+(?:\([^()\s]*+\)[^()\s]*+)*+(?=\s+[\"'(]|[ \t]*\)))"
 _LEAD = r"^(?:\]\([ \t]*<?| {0,3}\[[^\[\]\n]+\]:[ \t]*<?)"
 
 
@@ -126,7 +129,9 @@ def link_segments(content: Column) -> Column:
     block) gives the text back, whatever characters it has, so that destinations can be exchanged by
     position.
     """
-    marked = F.regexp_replace(escaped(content), _PIECE, MARK + "$0" + MARK)
+    cut = lambda x, piece: F.regexp_replace(x, piece, MARK + "$0" + MARK)
+    plain = lambda x: ~(x.contains("`") | x.contains("~~~") | x.contains("    ") | x.contains("\t") | x.contains("]:"))
+    marked = let(escaped(content), lambda x: F.when(plain(x), cut(x, _PLAIN_PIECE)).otherwise(cut(x, _PIECE)))
     # odd pieces are matches, even ones the text between them
     pairs = let(
         F.split(marked, MARK),

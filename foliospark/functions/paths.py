@@ -18,6 +18,10 @@ def _text(x: Column | str) -> Column:
 
 def segments(path: Column) -> Column:
     """The names of a path once `.` and `..` are folded; leading `..` of a relative path stay."""
+    return let(path, _segments)
+
+
+def _segments(path: Column) -> Column:
     absolute = path.startswith("/")
 
     def step(acc: Column, s: Column) -> Column:
@@ -34,12 +38,13 @@ def segments(path: Column) -> Column:
 
 def normalize(path: Column) -> Column:
     """The path without `.`, `..` (where it has something to go up from) and repeated slashes."""
-    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(segments(path), "/"))
+    folded = lambda p: F.concat(F.when(p.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(_segments(p), "/"))
+    return let(path, lambda p: F.when(p.rlike(r"(?:^|/)\.{0,2}(?:/|\z)"), folded(p)).otherwise(p))
 
 
 def parent(path: Column) -> Column:
     """The directory of a file: its path up to the last slash, '' without one."""
-    return F.when(path.rlike("^/[^/]*$"), F.lit("/")).otherwise(F.regexp_replace(path, "/?[^/]*$", ""))
+    return let(path, lambda p: F.when(p.rlike("^/[^/]*$"), F.lit("/")).otherwise(F.regexp_replace(p, "/?[^/]*$", "")))
 
 
 def file_name(path: Column) -> Column:
@@ -48,19 +53,19 @@ def file_name(path: Column) -> Column:
 
 def resolve(directory: Column, path: Column) -> Column:
     """A path seen from a directory, normalised; an absolute path is its own."""
-    joined = F.when(path.startswith("/"), path).when(directory == "", path).otherwise(F.concat(directory, F.lit("/"), path))
-    return normalize(joined)
+    joined = lambda d, p: F.when(p.startswith("/"), p).when(d == "", p).otherwise(F.concat(d, F.lit("/"), p))
+    return normalize(let(F.struct(directory.alias("d"), path.alias("p")), lambda x: joined(x["d"], x["p"])))
 
 
 def resolve_link(file: Column, path: Column, root: Column | str = "") -> Column:
     """Target of a link: an absolute one from the root of the repository, another from the file's directory."""
     root = _text(root)
-    return F.when(path.startswith("/"), normalize(F.concat(root, path))).otherwise(resolve(parent(file), path))
+    return let(path, lambda p: F.when(p.startswith("/"), normalize(F.concat(root, p))).otherwise(resolve(parent(file), p)))
 
 
 def relativize(directory: Column, path: Column) -> Column:
     """The way from a directory to a path: `..` for each name that they don't share, then the rest."""
-    both = F.struct(segments(directory).alias("a"), segments(path).alias("b"))
+    both = lambda x: F.struct(_segments(x["d"]).alias("a"), _segments(x["p"]).alias("b"))
 
     def way(x: Column) -> Column:
         a, b = x["a"], x["b"]
@@ -74,7 +79,7 @@ def relativize(directory: Column, path: Column) -> Column:
         ups = let(common, lambda c: F.concat(F.array_repeat(F.lit(".."), F.size(a) - c), F.slice(b, c + 1, F.greatest(F.size(b) - c, F.lit(0)))))
         return F.array_join(ups, "/")
 
-    return F.when(directory.isNotNull() & path.isNotNull(), let(both, way))
+    return let(F.struct(directory.alias("d"), path.alias("p")), lambda x: F.when(x["d"].isNotNull() & x["p"].isNotNull(), let(both(x), way)))
 
 
 def under(path: Column, root: Column | str) -> Column:
@@ -93,8 +98,8 @@ def relative_to(path: Column, root: Column | str) -> Column:
 def mirror(path: Column, source_root: Column | str, target_root: Column | str) -> Column:
     """The same relative path below the other root; NULL for a path outside the source root."""
     target = _text(target_root)
-    rest = relative_to(path, source_root)
-    return F.when(target == "", rest).otherwise(normalize(F.concat(target, F.lit("/"), rest)))
+    rest = let(path, lambda p: relative_to(p, source_root))
+    return let(rest, lambda r: F.when(target == "", r).otherwise(normalize(F.concat(target, F.lit("/"), r))))
 
 
 def ancestors(path: Column) -> Column:
@@ -112,10 +117,14 @@ def is_translatable(path: Column, source_root: Column | str, include: str, exclu
 
     Exclusions are held against the path below the root.
     """
-    ok = under(path, source_root) & file_name(path).rlike(full(include))
-    for x in exclusions:
-        ok &= ~relative_to(path, source_root).rlike(full(x))
-    return F.coalesce(ok, F.lit(False))
+
+    def belongs(p: Column) -> Column:
+        ok = under(p, source_root) & file_name(p).rlike(full(include))
+        for x in exclusions:
+            ok &= ~relative_to(p, source_root).rlike(full(x))
+        return F.coalesce(ok, F.lit(False))
+
+    return let(path, belongs)
 
 
 def full(regex: str) -> str:

@@ -76,6 +76,22 @@ def test_front_matter(spark):
     assert apply(spark, lambda c: FM.get_property(FM.parse_properties(c), "date"), (text,), ("x",)) == ["16.05.2025", None]
 
 
+def test_closed_headings_and_plain_pieces(spark):
+    texts = ["# a b ## \n## c#\n# #\n#\t\t\n# d # e #\t\n> - ### f  ###\n#  g h  \n####### no\n# \n# i\\#", "[a](b.md) (x) [c](<d e> \"t\")](f.md", "a [b](c(d).md) `[e](f.md)` [g](h.md)"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.orderBy("i").select(M.headings(F.col("t")).alias("h"), L.link_segments(F.col("t")).alias("s")).collect()
+    assert [(h.level, h.text) for h in got[0].h] == [(1, "a b"), (2, "c#"), (1, "#"), (1, "\t"), (1, "d # e"), (3, "f"), (1, "g h"), (1, "i\\#")]
+    assert ["".join(x.before + (x.destination or "") for x in r.s) for r in got] == texts
+    assert [[x.destination for x in r.s if x.destination] for r in got] == [[], ["b.md", "d e", "f.md"][:2], ["c(d).md", "h.md"]]
+
+
+def test_a_value_is_computed_once(spark):
+    plan = lambda c: spark.range(1).select(F.concat(F.lit("a"), "id").alias("x")).select(c.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    once = F.regexp_replace("x", "QQ", "")
+    for c in (P.resolve(P.parent(F.col("x")), once), P.mirror(once, "a", "b"), P.relativize(once, F.col("x")), FM.serialize_properties(FM.parse_properties(once)), L.destinations(once), L.url_decode(once)):
+        assert plan(c).count("QQ") == 1
+
+
 def test_set_keeps_places(spark):
     change = lambda c: FM.serialize_properties(FM.set_property(FM.set_property(FM.parse_properties(c), "b", F.array(F.lit("2"))), "new", F.array(F.lit("n"))))
     assert apply(spark, change, ("---\na: x\nb: y\nc: z\n---\n",)) == ["---\na: x\nb: '2'\nc: z\nnew: n\n---\n"]
