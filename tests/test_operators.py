@@ -170,6 +170,14 @@ def test_lines_that_differ_in_any_text(spark, tmp_path):
 # mirrors
 
 
+def test_documents_are_read_once_for_each_use(spark):
+    docs = table(spark, DOC, ("source/a.md", "# x\n[b](b.md#y)"))
+    nodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate ")
+    assert nodes(R.correct_links(docs, docs, docs.select("path"), "source", "mirror")) <= 3
+    assert nodes(I.link_errors(docs)) <= 3
+    assert nodes(R.translate_anchors(docs.selectExpr("path source_path", "path target_path", "'y' anchor"), docs, docs)) == 0
+
+
 def _mirror(spark, source, target, files=(), **kw):
     src = table(spark, DOC, *source)
     out = R.correct_links(table(spark, DOC, *target), src, table(spark, "path string", *[(p,) for p, _ in source], *[(f,) for f in files]), "src", "out/es", **kw)
