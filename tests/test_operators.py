@@ -11,6 +11,7 @@ from foliospark.operators import diffs as D
 from foliospark.operators import history as H
 from foliospark.operators import integrity as I
 from foliospark.operators import mirror as R
+from foliospark.operators import report
 from foliospark.operators import scan as S
 from foliospark.operators import split as C
 from foliospark.operators import translate as X
@@ -29,6 +30,21 @@ def table(spark, schema, *rows):
 DOC = "path string, content string"
 
 
+# reports
+
+
+def test_progress_is_numbered_in_ranges(spark):
+    rows = spark.range(5_000).selectExpr("if(id = 7, null, (id * 7919) % 5000 - 100) k", "id % 3 g")
+    got = report.progress(rows, ["g", "k"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number() windowspecdefinition(range#") == 1
+    first = sorted(((r.g, (r.k is not None, r.k or 0)), r.completed, r.total) for r in got.collect())
+    assert [c for _, c, _ in first] == list(range(1, 5_001)) and {t for _, _, t in first} == {5_000}
+    assert report.progress(rows.where("k = -1000"), ["k"]).count() == 0
+    same = report.progress(spark.range(50).selectExpr("1 k"), ["k"]).collect()
+    assert sorted(r.completed for r in same) == list(range(1, 51))
+
+
 # scans
 
 
