@@ -10,7 +10,6 @@ import difflib
 import re
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,40 +120,34 @@ def apply_diff(text: str, hunks: list[dict[str, Any]]) -> str:
     return "\n".join(out) + ("\n" if out and (final or not out[-1]) else "")
 
 
-@F.pandas_udf(T.StringType())
-def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else make_diff(a, b) for a, b in zip(old, new, strict=True)])
+# plain functions get a hundred rows at once; Arrow's batches are of 10,000, each with all its texts and diffs
 
 
-@F.pandas_udf(PARSED)
-def parsed_diff(diff: pd.Series) -> pd.DataFrame:
-    """struct(hunks, error): hunks NULL with an error, empty for a blank diff."""
-
-    def one(d: str | None) -> tuple[Any, str | None]:
-        if d is None:
-            return None, None
-        try:
-            return parse_diff(d), None
-        except DiffError as e:
-            return None, str(e)
+@F.udf(T.StringType(), useArrow=False)
+def unified_diff(old: str | None, new: str | None) -> str | None:
+    return None if old is None or new is None else make_diff(old, new)
 
-    return pd.DataFrame([one(d) for d in diff], columns=["hunks", "error"])
 
+@F.udf(PARSED, useArrow=False)
+def parsed_diff(diff: str | None) -> tuple[Any, str | None]:
+    """struct(hunks, error): hunks NULL with an error, empty for a blank diff."""
+    if diff is None:
+        return None, None
+    try:
+        return parse_diff(diff), None
+    except DiffError as e:
+        return None, str(e)
 
 
-@F.pandas_udf(APPLIED)
-def applied_diff(text: pd.Series, diff: pd.Series) -> pd.DataFrame:
+@F.udf(APPLIED, useArrow=False)
+def applied_diff(text: str | None, diff: str | None) -> tuple[str | None, str | None]:
     """struct(text, error): a diff that can't be read or doesn't fit gives an error and no text."""
-
-    def one(t: str | None, d: str | None) -> tuple[str | None, str | None]:
-        if t is None or d is None:
-            return None, None
-        try:
-            return apply_diff(t, parse_diff(d)), None
-        except DiffError as e:
-            return None, str(e)
-
-    return pd.DataFrame([one(t, d) for t, d in zip(text, diff, strict=True)], columns=["text", "error"])
+    if text is None or diff is None:
+        return None, None
+    try:
+        return apply_diff(text, parse_diff(diff)), None
+    except DiffError as e:
+        return None, str(e)
 
 
 def looks_like_diff(x: Column) -> Column:

@@ -171,6 +171,14 @@ def test_diff_columns(spark):
     assert text == "@@ -1,2 +1,2 @@\n-a\n+x\n b\n"
 
 
+def test_diffs_take_few_rows_at_once(spark):
+    rows = spark.range(3).selectExpr("concat('a', id) old", "concat('b', id) new")
+    diff = D.unified_diff(F.col("old"), F.col("new"))
+    for made in (diff, D.parsed_diff(diff), D.applied_diff(F.col("old"), diff)):
+        plan = rows.select(made.alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 def test_lines_that_differ_in_any_text(spark, tmp_path):
     rows = [(1, "a\nb"), (1, "c\nd\ne\n\n"), (None, "f\ng"), (2, ""), (3, "\n\n"), (4, "h\r\ni"), (5, "j\rk"), (6, None), (7, "\nx"), (8, "not there\nnot there"), (9, "y\x01\n\u2028"), (10, "z\n\u2028")]
     rows = [(i, t, "en", "s") for i, t in rows]
